@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.llm import pieces
+from lectern.llm import decontam, pieces, pii, simhash, toxicity
 
-ALL = (pieces.op1_pieces,)
+ALL = (pieces.op1_pieces, simhash.op4_simhash, pii.op7_pii, toxicity.op9_toxicity, decontam.op10_decontam)
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontam": decontam.OP10_SQL}
