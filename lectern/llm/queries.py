@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, pieces, pii, simhash, toxicity
+from lectern.llm import chat, decontam, html, lattice, pieces, pii, quality, secrets, simhash, toxicity
 
-ALL = (pieces.op1_pieces, simhash.op4_simhash, pii.op7_pii, toxicity.op9_toxicity, decontam.op10_decontam)
+ALL = (
+    pieces.op1_pieces,
+    lattice.op2_lattice,
+    chat.op3_chat,
+    simhash.op4_simhash,
+    quality.op5_quality,
+    secrets.op6_secrets,
+    pii.op7_pii,
+    html.op8_html,
+    toxicity.op9_toxicity,
+    decontam.op10_decontam,
+)
 
 
 def queries() -> dict:
@@ -12,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontam": decontam.OP10_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op10_decontam": decontam.OP10_SQL}
