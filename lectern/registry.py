@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from lectern.plans import base, text_queries  # noqa: F401
+
 FLAGSHIP = "search_hits"
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
