@@ -28,7 +28,7 @@ from lectern.llm.common import map_texts, table
 
 SPACE = "▁"
 #: Chunks that a task remembers, and the longest of them in characters.
-KEPT_CHUNKS, KEPT_CHARS = 600_000, 64
+KEPT_CHUNKS, KEPT_CHARS = 200_000, 64
 #: Chunks that are merged side by side.
 BLOCK_CHUNKS = 4096
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
