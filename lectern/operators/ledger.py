@@ -30,6 +30,16 @@ def with_cost(usage: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("cost", cost).drop("rule", "first")
 
 
+def with_cost_streaming(usage: DataFrame, rules: DataFrame) -> DataFrame:
+    """``with_cost`` for a stream: the price list is an array in each row's expression, tried in order."""
+    if (n := rules.count()) > MOST_RULES:
+        raise ValueError(f"{n} price rules; at most {MOST_RULES} are taken")
+    listed = rules.agg(F.sort_array(F.collect_list(F.struct("rule_no", "pattern", "in_price", "out_price", "cache_read"))).alias("rules"))
+    p = F.coalesce(F.get(F.filter("rules", lambda r: F.regexp_like(F.col("model"), r["pattern"])), F.lit(0)), F.get("rules", F.lit(0)))
+    cost = (F.col("input") * p["in_price"] + F.col("cache_write") * p["in_price"] * CACHE_WRITE + F.col("cache_read_tokens") * p["in_price"] * p["cache_read"] + F.col("output") * p["out_price"]) / MILLION
+    return usage.crossJoin(F.broadcast(listed)).withColumn("cost", cost).drop("rules")
+
+
 def by_feature(usage: DataFrame) -> DataFrame:
     """Calls, tokens and cost by feature; everything that asks is one row, whose calls are the final answers."""
     asks = F.startswith("feature", F.lit("Ask"))

@@ -82,9 +82,9 @@ def recent_calls(spark, sf_dir):
     return usage(spark, sf_dir).orderBy(F.desc("at"), F.desc("event_id")).limit(30).select("event_id", "feature", F.round("cost", 9).alias("cost"))
 
 
-@query(f"""WITH {USAGE} SELECT strftime(called, '%Y-%m-%dT%H:%M:%S.%g') || 'Z,' || feature || ',' || model || ',' || input || ',' || output || ',' || cache_write || ',' || cache_read_tokens || ',' || printf('%.3f', cost) AS line FROM usage""")
+@query(f"""WITH {USAGE} SELECT strftime(called, '%Y-%m-%dT%H:%M:%S.%g') || 'Z,' || feature || ',' || model || ',' || input || ',' || output || ',' || cache_write || ',' || cache_read_tokens || ',' || printf('%.6f', cost + 1e-9) AS line FROM usage""")
 def usage_csv(spark, sf_dir):
-    fields = [F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "feature", "model", "input", "output", "cache_write", "cache_read_tokens", F.format_string("%.3f", "cost")]
+    fields = [F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "feature", "model", "input", "output", "cache_write", "cache_read_tokens", F.format_string("%.6f", F.col("cost") + 1e-9)]
     cols = [ledger.csv_field((F.col(c) if isinstance(c, str) else c).cast("string")) for c in fields]
     return usage(spark, sf_dir).select(F.concat_ws(",", *cols).alias("line"))
 
