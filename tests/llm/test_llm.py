@@ -264,8 +264,8 @@ def test_op5(spark, small, texts, docs):
             assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, signs, dup, rep)
             assert r["base_failed"] == (n < 20 or 100 * rep > 30 * n) and (not r["base_failed"] or not r["kept"])
     body = "The first line of the tale tells of a small and very old house by the sea. It was empty for years."
-    cleaned, *_, share, kept = quality.judge("\n".join([body, "Home | About | Shop | Contact", "We use cookies to improve this site.", body, "no end here at all", "More of the story follows after this line, as it should, with names and days and all that came of it."]))
-    assert cleaned == body + "\nMore of the story follows after this line, as it should, with names and days and all that came of it." and kept and 0.5 < share < 1
+    cleaned, *_, share, kept = quality.judge("\n".join([body, "Home | About | Shop | Contact", "We use cookies to improve this site.", "It rained.", "It rained.", "no end here at all", "More of the story follows after this line, as it should, with names and days and all that came of it."]))
+    assert cleaned == body + "\nIt rained.\nMore of the story follows after this line, as it should, with names and days and all that came of it." and kept and 0.5 < share < 1
     assert not quality.judge("A | b | c | d\n" * 30)[-1] and quality.clean(docs.limit(0)).count() == 0
 
 
