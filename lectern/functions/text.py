@@ -185,3 +185,16 @@ def format_duration(minutes: Column) -> Column:
 def remaining_words(words: Column, listen_words: Column, position: Column, completed: Column) -> Column:
     left = F.greatest(F.lit(0), F.coalesce(listen_words, words) - position * WORDS_A_SENTENCE)
     return F.when(completed, F.lit(0)).otherwise(left).cast("long")
+
+
+def take_markers(c: Column, pattern: str) -> Column:
+    """(text, positions): paragraphs that are markers taken out, and the paragraph that each one precedes.
+
+    ``pattern`` has one group, the marker's number.
+    """
+    parts = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: trim(p)), lambda p: p != "")
+    is_marker = lambda p: p.rlike(f"^{pattern}$")
+    kept = F.filter(parts, lambda p: ~is_marker(p))
+    before = F.transform(parts, lambda p, i: F.struct(F.regexp_extract(p, f"^{pattern}$", 1).alias("n"), F.size(F.filter(F.slice(parts, 1, i), lambda q: ~is_marker(q))).alias("para"), is_marker(p).alias("m")))
+    found = F.transform(F.filter(before, lambda b: b["m"]), lambda b: F.struct(b["n"].cast("int").alias("n"), b["para"].alias("para")))
+    return F.struct(F.array_join(kept, "\n\n").alias("text"), found.alias("positions"))

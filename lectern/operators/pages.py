@@ -95,3 +95,15 @@ def paragraph_pages(paragraphs: DataFrame, starts: DataFrame) -> DataFrame:
     both = marks.unionByName(paragraphs.select("doc", "p", F.lit(None).cast("int").alias("page"), F.lit(1).alias("kind")))
     by = Window.partitionBy("doc").orderBy("p", "kind", "page").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("page", F.last("page", ignorenulls=True).over(by)).where("kind = 1").select("doc", "p", "page")
+
+
+def detect_printed_number(lines: Column) -> Column:
+    """The page number printed in the first or last three lines with text, if any."""
+    filled = F.filter(F.transform(lines, lambda l: F.trim(l)), lambda l: l != "")
+    n = F.size(filled)
+    edges = F.concat(F.slice(filled, 1, 3), F.reverse(F.slice(filled, F.greatest(n - 2, F.lit(1)), 3)))
+    found = lambda l, pattern: F.nullif(F.regexp_extract(l, pattern, 1), F.lit(""))
+    number = lambda l: F.coalesce(
+        found(l, r"(?i)^(?:page\s+)?([0-9]{1,3})$"), found(l, r"^([0-9]{1,3})\s+[A-Za-z•|].{2,90}$"), found(l, r"^.{2,90}[A-Za-z|•]\s+([0-9]{1,3})$")
+    )
+    return F.get(F.filter(F.transform(edges, number), lambda x: x.isNotNull()), F.lit(0)).cast("int")

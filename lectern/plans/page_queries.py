@@ -167,3 +167,19 @@ def remaining_words_exact(spark, sf_dir):
     docs = readings(spark, sf_dir)
     rows = docs.select("doc_id", "position", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s"))
     return rows.groupBy("doc_id").agg(F.sum(F.when(F.col("pos") >= F.col("position"), T.word_count(F.col("s.text"))).otherwise(0)).alias("words_left"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda z: trim(z)), lambda z: z <> '') AS l FROM documents)
+SELECT doc_id, doc_id % 900 AS printed FROM p""")
+def printed_numbers(spark, sf_dir):
+    """Documents as pages that end in their number."""
+    lines = F.concat(F.split("text", "\n"), F.array(F.format_string("Page %d", F.col("doc_id") % 900)))
+    return table(spark, sf_dir, "documents").select("doc_id", pages.detect_printed_number(lines).cast("long").alias("printed"))
+
+
+@query("SELECT doc_id, 0 AS n, 0 AS para FROM documents UNION ALL SELECT doc_id, 1, len(list_filter(string_split(text, chr(10)), lambda z: trim(z) <> '')) FROM documents")
+def markers(spark, sf_dir):
+    """Image markers before the first paragraph and after the last, and where they stood."""
+    text = F.concat(F.lit("[[img0]]\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\n[[img1]]"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.take_markers(text, r"\[\[img([0-9]+)\]\]").alias("t"))
+    return rows.select("doc_id", F.explode("t.positions").alias("x")).select("doc_id", F.col("x.n").cast("long").alias("n"), F.col("x.para").cast("long").alias("para"))
