@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lectern.shared import settle, shared_dir
+
+__all__ = ["map_texts", "settle", "shared_dir", "table"]
+
 #: Rows that a Python task holds in its output before it hands them on.
 SLICE_ROWS = 256
 
@@ -19,37 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder of its own; a cluster gets an
-    error, since a folder of one machine would be invisible to the others.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get()
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    folder = tempfile.mkdtemp(prefix="lectern-")
-    spark.sparkContext.setCheckpointDir(f"file://{folder}")
-    return f"file://{folder}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage, gives Spark true sizes for later joins, and survives the loss of any
-    executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_texts(
     df: DataFrame,
     schema: StructType | str,
