@@ -366,8 +366,11 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``ids``, ``starts`` and ``n_bytes``: pieces of each whole text and the bytes where they start."""
+def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``id_col``, ``ids``, ``starts`` and ``n_bytes``: pieces of each whole text and the bytes where they start.
+
+    With ``decoded`` the text that the ids decode to is added in the same pass, so ids need not go to Python again.
+    """
     blob = df.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def make():
@@ -379,11 +382,13 @@ def encode(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
 
         def run(texts):
             got = model.encode_all([t or "" for t in texts])
-            return lists([g[0] for g in got]), lists([g[1] for g in got]), [int(g[1][-1]) for g in got]
+            back = [[model.decode(g[0].tolist()) for g in got]] if decoded else []
+            return lists([g[0] for g in got]), lists([g[1] for g in got]), [int(g[1][-1]) for g in got], *back
 
         return run
 
-    return map_texts(df, "ids array<int>, starts array<int>, n_bytes bigint", make, id_col, text_col)
+    more = ", decoded string" if decoded else ""
+    return map_texts(df, "ids array<int>, starts array<int>, n_bytes bigint" + more, make, id_col, text_col)
 
 
 def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -399,7 +404,7 @@ def decode(df: DataFrame, path: str | None = None, ids_col: str = "ids", to: str
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(table(spark, sf_dir, "documents")))
+    done = encode(table(spark, sf_dir, "documents"), decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
