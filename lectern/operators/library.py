@@ -50,8 +50,9 @@ def merge_progress(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").select(key, F.coalesce("_lp", "_p").alias("position"), (F.coalesce("_c", F.lit(False)) | F.coalesce("_lc", F.lit(False))).alias("completed"))
 
 
-def patch(base: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Fields of ``patches`` that are not null replace those of ``base``."""
-    p = patches.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
-    kept = [c for c in base.columns if c not in columns]
-    return base.join(p, key, "left").select(*kept, *(F.coalesce(f"_{c}", c).alias(c) for c in columns))
+def patch(base: DataFrame, patches: DataFrame, key: str, columns: list[str], maps: tuple[str, ...] = ()) -> DataFrame:
+    """Fields of ``patches`` that are not null replace those of ``base``; ``maps`` are merged key by key."""
+    p = patches.select(key, *(F.col(c).alias(f"_{c}") for c in (*columns, *maps)))
+    kept = [c for c in base.columns if c not in columns and c not in maps]
+    merged = [F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.map_zip_with(F.coalesce(c, F.col(f"_{c}")), f"_{c}", lambda k, a, b: F.coalesce(b, a))).alias(c) for c in maps]
+    return base.join(p, key, "left").select(*kept, *(F.coalesce(f"_{c}", c).alias(c) for c in columns), *merged)

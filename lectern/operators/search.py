@@ -39,7 +39,9 @@ def search_hits(sents: DataFrame, titles: DataFrame, queries: DataFrame, id_col:
 def search_groups(hits: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Hits of each document and query, and of the query in all."""
     counted = hits.groupBy("qid", id_col).agg(F.count("*").alias("hits"))
-    return counted.withColumn("total", F.sum("hits").over(Window.partitionBy("qid")))
+    # a row for each query of the batch, whose size was checked
+    totals = F.broadcast(hits.groupBy("qid").agg(F.count("*").alias("total")))
+    return counted.join(totals, "qid")
 
 
 def capped(hits: DataFrame, limit: int = 500, id_col: str = "doc_id") -> DataFrame:

@@ -37,12 +37,12 @@ def bibliography(spark, sf_dir):
     return sources(spark, sf_dir).select("id", study.bibliography(*(F.col(c) for c in ("title", "author", "publisher", "year", "url"))).alias("entry"))
 
 
-@query(f"WITH {_BIB} SELECT id % 50 AS shelf, string_agg(entry, chr(10) || chr(10) ORDER BY lower(entry), id) AS list FROM bib GROUP BY 1")
+@query(f"WITH {_BIB} SELECT id // 50 AS shelf, string_agg(entry, chr(10) || chr(10) ORDER BY lower(entry), id) AS list FROM bib GROUP BY 1")
 def bibliography_list(spark, sf_dir):
     """Entries of each shelf in order."""
     rows = sources(spark, sf_dir).select("id", study.bibliography(*(F.col(c) for c in ("title", "author", "publisher", "year", "url"))).alias("entry"))
     ordered = F.sort_array(F.collect_list(F.struct(F.lower("entry").alias("k"), "id", "entry")))
-    return rows.groupBy((F.col("id") % 50).alias("shelf")).agg(F.array_join(F.transform(ordered, lambda e: e["entry"]), "\n\n").alias("list"))
+    return rows.groupBy(F.floor(F.col("id") / 50).alias("shelf")).agg(F.array_join(F.transform(ordered, lambda e: e["entry"]), "\n\n").alias("list"))
 
 
 _WHO = "CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'John Boyd, ' WHEN 2 THEN 'John Boyd and Mary Ann Coe, ' WHEN 3 THEN 'John Boyd, Mary Coe, and Ed Poe, ' ELSE 'A One et al., ' END"
@@ -139,9 +139,13 @@ def paper_sources(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(used.hint("merge"), "doc_id", "left_semi")
 
 
-@query()
+_BLOCKS = """a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
+b AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(x, '</?(?:p|h1|br)>'), lambda z: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(z, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda z: z <> '') AS l FROM a)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT page_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS text FROM b")
 def html_paragraphs(spark, sf_dir):
-    return packages.html_paragraphs(table(spark, sf_dir, "pages"))
+    return packages.html_paragraphs(table(spark, sf_dir, "pages")).withColumn("k", F.col("k").cast("long"))
 
 
 _LINKED = "pg AS (SELECT page_id, unnest(range(4)) AS k FROM pages)"
