@@ -10,12 +10,12 @@ Candidates are then verified by counting shared distinct shingles as text.
 Words are runs of letters and digits of the lower-cased text. Defined results: a null or empty
 text and one of fewer than five words has no shingle and matches nothing; very long texts are
 searched whole; rows of one id count as one document, null ids as one too; repeated items
-(same id) count as one item; an empty table gives no pairs; other columns are ignored.
+(same id) count as one item, items of null id are ignored; an empty table gives no pairs; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import settle, table
@@ -59,13 +59,12 @@ def contained(
     item_text_col: str = "text",
 ) -> DataFrame:
     """Pairs ``id_col``, ``item_col`` with ``n_item``, ``n_shared`` (bigint) and ``containment`` of at least ``threshold``."""
+    items = items.where(F.col(item_col).isNotNull())
     of_items = settle(shingle_rows(items, item_col, item_text_col).select("id", shingle_hash().alias("h"), shingle_text().alias("s")).distinct())
     sizes = of_items.groupBy("id").agg(F.count("*").alias("n_item"))
     # Size classes are powers of two; a sketch is as long as the largest item of its class needs.
     needed = F.floor(F.lit(1 - threshold + 1e-9) * F.pow(F.lit(2.0), F.ceil(F.log2("n_item")))) + 1
     ranked = of_items.select("id", "h", "s").join(sizes.hint("shuffle_hash"), "id")
-    from pyspark.sql import Window
-
     least = F.row_number().over(Window.partitionBy("id").orderBy("h", "s"))
     sketch = settle(ranked.withColumn("least", least).where(F.col("least") <= needed).select(F.col("id").alias("item"), F.col("h").alias("item_h")))
     seen = (
@@ -86,7 +85,7 @@ def contained(
         .agg(F.count_distinct("s").alias("n_shared"))
     )
     sizes = settle(sizes.withColumnRenamed("id", "of_item"))
-    found = shared.join(sized(sizes, sizes.count()), F.col("item").eqNullSafe(F.col("of_item")))
+    found = shared.join(sized(sizes, sizes.count()), F.col("item") == F.col("of_item")))
     return found.where(F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - F.lit(1e-9)).select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),
@@ -99,7 +98,8 @@ def contained(
 def without(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those whose id is in ``found``; a null id stays only if no null was found."""
     gone = settle(found.select(F.col(id_col).alias("gone_id")).distinct())
-    return docs.join(sized(gone, gone.count()), F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    few = sized(gone, gone.count())
+    return docs.join(few, docs[id_col].eqNullSafe(few["gone_id"]), "left_anti")
 
 
 def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

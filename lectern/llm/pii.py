@@ -326,7 +326,8 @@ def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", tex
     """A tagger fitted to the documents of least hash that may hold data (None: there are none)."""
     may = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("chosen_id")).where("chosen_id is not null").distinct()
     chosen = settle(may.orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(max_docs))
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("chosen_id")).select("chosen_id", F.col(text_col).alias("t"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select("chosen_id", "t")
 
     def cut(batches):
         import pandas as pd

@@ -266,12 +266,13 @@ def one_of_each(df: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id",
     """The rows of ``df`` whose id is their component's, one of each; rows with a null id stay."""
     found = settle(near_duplicates(df, distance, id_col, text_col).select(F.col(id_col).alias("gone_id"), "component_id"))
     gone = settle(found.where("gone_id <> component_id").select("gone_id").distinct())
-    kept = df.join(gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge"), F.col(id_col) == F.col("gone_id"), "left_anti")
+    gone = gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge")
+    kept = df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
     repeated = settle(found.where("gone_id = component_id").groupBy("gone_id").agg(F.count("*").alias("rows")).where("rows > 1").select("gone_id"))
     if not (n := repeated.count()):
         return kept
     few = repeated.hint("broadcast" if n <= BROADCAST_IDS else "merge")
-    single = kept.join(few, F.col(id_col) == F.col("gone_id"), "left_anti")
+    single = kept.join(few, kept[id_col] == few["gone_id"], "left_anti")
     row = F.struct(*(F.col(c) for c in kept.columns))
-    one = kept.join(few, F.col(id_col) == F.col("gone_id"), "left_semi").groupBy(id_col).agg(F.min(row).alias("_row")).select("_row.*")
+    one = kept.join(few, kept[id_col] == few["gone_id"], "left_semi").groupBy(id_col).agg(F.min(row).alias("_row")).select("_row.*")
     return single.unionByName(one)

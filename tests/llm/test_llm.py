@@ -20,13 +20,13 @@ from lectern.llm import queries as llm
 
 LONG = "a long tale of the sea and of the land, told twice. " * 4000
 TEXTS = [None, "", " ", "one", "One two three four five six.", LONG, "é è ñ ß 😀 ▁ literal\n\tline", "same text here for all of us", "same text here for all of us", "\x00\x1f odd\r\nlines\x0b\x0c"]
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, id string, fp string, spans string, score string, word string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, ids string, id string, fp string, spans string, score string, word string, gone_id string, chosen_id string"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     """Nulls, empty and long texts, repeated rows, and columns named like the operators' own."""
-    rows = [(k, t, "en", None, 1, "x", "y", "z", "s", "c", "w") for k, t in enumerate(TEXTS)]
+    rows = [(k, t, "en", None, 1, "x", "y", "z", "s", "c", "w", "g", "h") for k, t in enumerate(TEXTS)]
     return spark.createDataFrame([*rows, (7, "same text here for all of us", *rows[0][2:]), (None, "no id", *rows[0][2:])], SCHEMA)
 
 
@@ -410,7 +410,7 @@ def test_op10_cases(spark, docs):
     w = item.split()
     edited = " ".join([*w[:7], "CHANGED", *w[8:]])
     rows = [(1, f"{LONG} {item.upper()}, {LONG}"), (2, edited), (3, " ".join(w[:14]) + " and then"), (4, None), (5, ""), (6, "the quick"), (1, "other row of one"), (None, item)]
-    items = [(1, item), (1, item), (2, "short one here"), (3, None), (None, None)]
+    items = [(1, item), (1, item), (2, "short one here"), (3, None), (None, None), (None, item)]
     found = decontam.contained(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string"))
     got = {(r["doc_id"], r["item_id"]): r["containment"] for r in found.collect()}
     assert set(got) == {(1, 1), (3, 1), (None, 1)} and got[1, 1] == 1.0 and got[3, 1] == pytest.approx(10 / 12)
