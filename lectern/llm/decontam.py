@@ -85,7 +85,7 @@ def contained(
         .agg(F.count_distinct("s").alias("n_shared"))
     )
     sizes = settle(sizes.withColumnRenamed("id", "of_item"))
-    found = shared.join(sized(sizes, sizes.count()), F.col("item") == F.col("of_item")))
+    found = shared.join(sized(sizes, sizes.count()), F.col("item") == F.col("of_item"))
     return found.where(F.col("n_shared") >= F.col("n_item") * F.lit(threshold) - F.lit(1e-9)).select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),
