@@ -32,7 +32,7 @@ from lectern.llm.pieces import NORMAL, SPACE, _fields, model_bytes
 
 FOLDS = 10
 #: Rounds of expected counts; more change held-out scores by less than a hundredth of a digit a word.
-ROUNDS = 1
+ROUNDS = 2
 #: Distinct words whose scores every task holds.
 HEAD_WORDS = 200_000
 #: Distinct words that a counting task holds before it hands on their counts.
