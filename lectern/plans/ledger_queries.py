@@ -278,9 +278,10 @@ def error_log(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT c_custkey AS id, [c_custkey % 5, c_custkey % 7, 99] AS x, [c_custkey % 3, 99] AS y FROM customer)
-SELECT id, list_sort(list_distinct(list_concat(x, y))) AS both, list_sort(list_distinct(list_filter(x, lambda z: NOT list_contains(y, z)))) AS less FROM a""")
+SELECT id, array_to_string(list_sort(list_distinct(list_concat(x, y))), ',') AS both, array_to_string(list_sort(list_distinct(list_filter(x, lambda z: NOT list_contains(y, z)))), ',') AS less FROM a""")
 def set_ops(spark, sf_dir):
     """Selections: the union with another one, and what is left without it."""
     k = F.col("c_custkey")
+    joined = lambda a: F.array_join(F.transform(F.array_sort(a), lambda e: e.cast("string")), ",")
     x, y = F.array(k % 5, k % 7, F.lit(99).cast("long")), F.array(k % 3, F.lit(99).cast("long"))
-    return table(spark, sf_dir, "customer").select(k.alias("id"), F.array_sort(F.array_union(x, y)).alias("both"), F.array_sort(F.array_except(x, y)).alias("less"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), joined(F.array_union(x, y)).alias("both"), joined(F.array_except(x, y)).alias("less"))

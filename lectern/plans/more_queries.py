@@ -105,7 +105,7 @@ def answer_notes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Q: "), T.trim(F.col("o_orderpriority"))).alias("comment"), F.get(study.parse_tags(F.lit("AI")), F.lit(0)).alias("tag"))
 
 
-@query("SELECT doc_id, list_sort(list_filter(['a' || CASE WHEN doc_id % 2 = 0 THEN 9 ELSE 1 END, CASE WHEN doc_id % 2 = 0 THEN 'b2' END, 'c' || (doc_id % 5)], lambda x: x IS NOT NULL)) AS coaching FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(list_filter(['a' || CASE WHEN doc_id % 2 = 0 THEN 9 ELSE 1 END, CASE WHEN doc_id % 2 = 0 THEN 'b2' END, 'c' || (doc_id % 5)], lambda x: x IS NOT NULL)), ',') AS coaching FROM documents")
 def patch_maps(spark, sf_dir):
     """Maps merged key by key: a patch replaces and adds, other keys stay."""
     number = lambda x: F.lit(x).cast("long")
@@ -113,4 +113,4 @@ def patch_maps(spark, sf_dir):
     patches = base.where("doc_id % 2 = 0").select("doc_id", F.create_map(F.lit("a"), number(9), F.lit("b"), number(2)).alias("coaching"))
     merged = library.patch(base, patches, "doc_id", [], ("coaching",))
     pairs = F.transform(F.map_entries("coaching"), lambda e: F.concat(e["key"], e["value"].cast("string")))
-    return merged.select("doc_id", F.array_sort(pairs).alias("coaching"))
+    return merged.select("doc_id", F.array_join(F.array_sort(pairs), ",").alias("coaching"))

@@ -62,10 +62,10 @@ def short_notes(spark, sf_dir):
     return sources(spark, sf_dir).select("id", study.short_note(F.col("title"), F.col("author"), F.when(F.col("id") % 7 == 0, F.col("id").cast("string"))).alias("note"))
 
 
-@query("SELECT o_orderkey AS id, list_sort(list_distinct(list_filter([lower(trim(o_orderpriority)), 'a' || (o_custkey % 9), lower(trim(o_orderstatus))], lambda t: t <> ''))) AS tags FROM orders")
+@query("SELECT o_orderkey AS id, array_to_string(list_sort(list_distinct(list_filter([lower(trim(o_orderpriority)), 'a' || (o_custkey % 9), lower(trim(o_orderstatus))], lambda t: t <> ''))), ',') AS tags FROM orders")
 def parse_tags(spark, sf_dir):
     text = F.concat_ws(", #", "o_orderpriority", F.concat(F.lit("A"), (F.col("o_custkey") % 9).cast("string")), F.lit(" "), "o_orderstatus")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array_sort(study.parse_tags(text)).alias("tags"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(F.array_sort(study.parse_tags(text)), ",").alias("tags"))
 
 
 #: A note on each reading: two sentences from the one at its position.
