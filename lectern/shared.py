@@ -20,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     folder = tempfile.mkdtemp(prefix="lectern-")
     spark.sparkContext.setCheckpointDir(f"file://{folder}")
