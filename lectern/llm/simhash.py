@@ -264,7 +264,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(df: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose id is their component's, one of each; rows with a null id stay."""
-    found = settle(near_duplicates(df, distance, id_col, text_col).select(F.col(id_col).alias("gone_id"), "component_id"))
+    return keep_first(df, near_duplicates(df, distance, id_col, text_col), id_col)
+
+
+def keep_first(df: DataFrame, named: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is the ``component_id`` that ``named`` has for it, one of each; rows with a null id stay."""
+    found = settle(named.select(F.col(id_col).alias("gone_id"), "component_id"))
     gone = settle(found.where("gone_id <> component_id").select("gone_id").distinct())
     gone = gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge")
     kept = df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
