@@ -7,7 +7,8 @@ buckets stay small. In a bucket the fingerprints are sorted by Gray rank, so nei
 most bits. Eight neighbours form a node that keeps the bits on which all agree; eight nodes form
 an upper node. The search walks pairs of nodes from the top, adds up differences in the bits that
 are newly fixed at each level, and drops a pair, with all that lies below, once they exceed the
-distance. Each bucket hands on a spanning forest of the links that it found, never all pairs, and
+distance. A bucket of many rows has the upper levels of its tree as tables: chunks of neighbours in
+Gray order and nodes over 64 chunks, whose pairs are dropped in the same way before any row is copied. Each bucket hands on a spanning forest of the links that it found, never all pairs, and
 components follow by star contraction.
 
 Defined results: a null text counts as empty, and an empty text has fingerprint zero and links
@@ -24,6 +25,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ DISTANCE = 4
 SEED = 42
 #: Children of an index node.
 FAN = 8
-#: Rows of a bucket beyond which it is dealt out as pairs of chunks of half this size.
+#: Rows of a bucket beyond which its Gray index is spread over tasks, in chunks of half this size.
 BUCKET_ROWS = 2048
 #: Classes for each bucket up to which a number of blocks is kept.
 CLASSES_A_BUCKET = 256
@@ -42,7 +44,7 @@ CLASSES_A_BUCKET = 256
 PAIRS_AT_ONCE = 4_000_000
 #: Shingles hashed at once.
 SHINGLES_AT_ONCE = 1 << 16
-#: Rows of a table of hot buckets that may be sent to every executor.
+#: Rows of a table of hot buckets or index nodes that may be sent to every executor.
 BROADCAST_ROWS = 100_000
 #: Ids of dropped rows that may be sent to every executor.
 BROADCAST_IDS = 1_000_000
@@ -142,8 +144,8 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the buckets in a partition sorted by bucket; a bucket may go over several batches."""
+def _link_batches(distance: int):
+    """A function of batches sorted by bucket that gives its links; a bucket may go over several batches."""
 
     def search(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         change = np.r_[True, (keys[1:] != keys[:-1]).any(1)]
@@ -156,7 +158,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for block in np.unique(cost):
             mine = np.flatnonzero(cost == block)
             a, b = ends[mine[0]] - size[mine[0]], ends[mine[-1]]
-            i, j = close_pairs(fps[a:b], bucket[a:b])
+            i, j = close_pairs(fps[a:b], bucket[a:b], distance)
             label = forest(b - a, i, j)
             child = np.flatnonzero(label != np.arange(b - a))
             src.append(fps[a:b][label[child]])
@@ -164,18 +166,21 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         cols = [np.concatenate(x).view(np.int64) for x in (src, dst)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["src", "dst"])
 
-    keys, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        keys = np.concatenate([keys, np.stack(cols[:3], 1).astype(np.int64)])
-        fps = np.concatenate([fps, cols[3].astype(np.int64).view(np.uint64)])
-        last = np.flatnonzero((keys != keys[-1]).any(1))
-        cut = last[-1] + 1 if len(last) else 0
-        if cut:
-            yield search(keys[:cut], fps[:cut])
-            keys, fps = keys[cut:], fps[cut:]
-    if len(fps):
-        yield search(keys, fps)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fps = np.zeros((0, 3), np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            keys = np.concatenate([keys, np.stack(cols[:3], 1).astype(np.int64)])
+            fps = np.concatenate([fps, cols[3].astype(np.int64).view(np.uint64)])
+            last = np.flatnonzero((keys != keys[-1]).any(1)) if len(keys) else []
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield search(keys[:cut], fps[:cut])
+                keys, fps = keys[cut:], fps[cut:]
+        if len(fps):
+            yield search(keys, fps)
+
+    return run
 
 
 def masks(classes: int, distance: int = DISTANCE) -> list[int]:
@@ -188,61 +193,128 @@ def masks(classes: int, distance: int = DISTANCE) -> list[int]:
     return [sum(c) - (sum(c) >> 63 << 64) for c in combinations(blocks, m - distance)]
 
 
+def _gray_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with their Gray rank, as a signed number."""
+    for batch in batches:
+        fps = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gray_rank(fps).view(np.int64))], names=["k", "v", "fp", "gray"])
+
+
+def _chunk_batches(chunk_rows: int):
+    """A function of batches sorted by bucket and Gray rank that numbers chunks of neighbours in one bucket."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        last, chunk, held = None, -1, 0
+        for batch in batches:
+            k, v = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            out = np.empty(len(k), np.int64)
+            at = 0
+            while at < len(k):
+                if last != (k[at], v[at]) or held == chunk_rows:
+                    last, chunk, held = (k[at], v[at]), chunk + 1, 0
+                other = np.flatnonzero((k[at:] != k[at]) | (v[at:] != v[at]))
+                n = min(int(other[0]) if len(other) else len(k) - at, chunk_rows - held)
+                out[at : at + n] = base + chunk
+                at, held = at + n, held + n
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), batch.column(2)], names=["k", "v", "chunk", "fp"])
+
+    return number
+
+
+def _nodes(rows: DataFrame, name: str) -> DataFrame:
+    """One row for each node ``name``: the bits on which all fingerprints below it agree, and which bits these are."""
+    found = rows.groupBy("k", "v", name).agg(F.bit_and("ones").alias("ones"), F.bit_or("any").alias("any"))
+    return settle(found)
+
+
+def _near_nodes(nodes: DataFrame, name: str, distance: int, within: DataFrame | None = None) -> DataFrame:
+    """``a``, ``b``: pairs of nodes of one bucket whose shared bits differ in ``distance`` places at most."""
+    left = nodes.select("k", "v", *(F.col(c).alias(f"{c}_a") for c in nodes.columns if c not in ("k", "v")))
+    right = nodes.select("k", "v", *(F.col(c).alias(f"{c}_b") for c in nodes.columns if c not in ("k", "v")))
+    fixed = F.bitwise_not(F.col("ones_a").bitwiseXOR(F.col("any_a"))).bitwiseAND(F.bitwise_not(F.col("ones_b").bitwiseXOR(F.col("any_b"))))
+    near = F.bit_count(F.col("ones_a").bitwiseXOR(F.col("ones_b")).bitwiseAND(fixed)) <= distance
+    ordered = F.col(f"{name}_a") <= F.col(f"{name}_b")
+    if within is None:
+        met = left.join(right.hint("broadcast" if nodes.count() <= BROADCAST_ROWS else "merge"), ["k", "v"])
+    else:
+        met = left.join(within.hint("merge"), F.col("upper_a") == F.col("up_a")).drop("k", "v").join(right.drop("k", "v").hint("merge"), F.col("upper_b") == F.col("up_b"))
+    return met.where(ordered & near).select(F.col(f"{name}_a").alias("a"), F.col(f"{name}_b").alias("b"))
+
+
+def _hot_links(hot: DataFrame, distance: int) -> DataFrame:
+    """Links inside buckets of many rows, through the Gray index over the whole bucket.
+
+    Neighbours in Gray order form chunks, and neighbouring chunks upper nodes. Pairs of upper nodes whose shared bits
+    differ too much go with all that lies below; then so do pairs of chunks. Rows are copied for the pairs that are left.
+    """
+    ranked = hot.mapInArrow(_gray_batches, "k bigint, v bigint, fp bigint, gray bigint")
+    ordered = ranked.repartitionByRange("k", "v", "gray").sortWithinPartitions("k", "v", "gray").select("k", "v", "fp")
+    rows = settle(ordered.mapInArrow(_chunk_batches(max(2, BUCKET_ROWS // 2)), "k bigint, v bigint, chunk bigint, fp bigint"))
+    chunks = _nodes(rows.withColumns({"ones": F.col("fp"), "any": F.col("fp")}), "chunk")
+    chunks = chunks.withColumn("upper", F.shiftright("chunk", 6))
+    # a node over chunks of two buckets is told apart by its bucket
+    uppers = _nodes(chunks, "upper").withColumn("up", F.xxhash64("k", "v", "upper"))
+    chunks = chunks.withColumn("upper", F.xxhash64("k", "v", "upper"))
+    wide = settle(_near_nodes(uppers.drop("upper"), "up", distance).withColumnsRenamed({"a": "up_a", "b": "up_b"}))
+    # pairs of upper nodes come in one order of their names, those of their chunks in any
+    both = wide.union(wide.where("up_a <> up_b").select("up_b", "up_a"))
+    pairs = settle(_near_nodes(chunks, "chunk", distance, both).distinct())
+    mine = rows.select("chunk", "fp")
+    placed = mine.join(pairs.hint("merge"), F.col("chunk") == F.col("a")).select("a", "b", "fp").union(
+        mine.join(pairs.where("a <> b").hint("merge"), F.col("chunk") == F.col("b")).select("a", "b", "fp")
+    )
+    dealt = placed.select("a", "b", F.lit(0).cast("bigint").alias("pair"), "fp").repartition("a", "b").sortWithinPartitions("a", "b")
+    return dealt.mapInArrow(_link_batches(distance), "src bigint, dst bigint")
+
+
 def links(classes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``src``, ``dst``: links that connect the distinct fingerprints of column ``fp`` as all close pairs would."""
-    spark = classes.sparkSession
     chosen = masks(classes.count(), distance)
     keyed = classes.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(chosen)))).alias("b")
+        "fp", F.explode(F.array(*(F.struct(F.lit(k).cast("bigint").alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for k, m in enumerate(chosen)))).alias("b")
     ).select("fp", "b.k", "b.v")
-    counted = settle(keyed.groupBy("k", "v").agg(F.count("*").alias("rows")).where(F.col("rows") > BUCKET_ROWS))
-    hot = counted.count()
-    if hot:
-        few = hot <= BROADCAST_ROWS
-        keyed = keyed.join(counted.hint("broadcast" if few else "merge"), ["k", "v"], "left")
-        parts = F.coalesce(F.ceil(F.col("rows") * 2 / BUCKET_ROWS).cast("int"), F.lit(1))
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("mine"))))
-        keyed = (
-            keyed.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", other)
-            .withColumn("pair", F.least("mine", "other").cast("bigint") * (1 << 31) + F.greatest("mine", "other"))
-        )
-    else:
-        keyed = keyed.withColumn("pair", F.lit(0).cast("bigint"))
-    dealt = keyed.select(F.col("k").cast("bigint"), "v", "pair", "fp").repartition("k", "v", "pair").sortWithinPartitions("k", "v", "pair")
-    del spark
-    return dealt.mapInArrow(_link_batches, "src bigint, dst bigint").distinct()
+    hot = settle(keyed.groupBy("k", "v").agg(F.count("*").alias("rows")).where(F.col("rows") > BUCKET_ROWS).select("k", "v"))
+    n_hot = hot.count()
+    mark = hot.hint("broadcast" if n_hot <= BROADCAST_ROWS else "merge")
+    cool = keyed.join(mark, ["k", "v"], "left_anti") if n_hot else keyed
+    dealt = cool.select("k", "v", F.lit(0).cast("bigint").alias("pair"), "fp").repartition("k", "v").sortWithinPartitions("k", "v")
+    found = dealt.mapInArrow(_link_batches(distance), "src bigint, dst bigint")
+    if n_hot:
+        found = found.union(_hot_links(keyed.join(mark, ["k", "v"], "left_semi").select("k", "v", "fp"), distance))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: each linked node but the roots, with the smallest node of its component.
 
     Star contraction: link every neighbour that is larger to the least neighbour, then every
-    smaller one, until nothing changes. Rounds grow with the logarithm of the component's size.
+    smaller one, until only stars are left. Rounds grow with the logarithm of the component's size;
+    each is one job that writes its edges.
     """
 
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
-
-    def star(near: DataFrame, only_below: bool) -> DataFrame:
-        if only_below:
-            near = near.where("v < u")
-        least = settle(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        joined = near.join(least, "u")
-        if only_below:
-            made = joined.select(F.col("m").alias("src"), F.col("v").alias("dst")).union(least.select(F.col("m").alias("src"), F.col("u").alias("dst")))
+    def star(e: DataFrame, below: bool) -> DataFrame:
+        """Edges (src < dst) after each node has met its least neighbour (``below``: of those smaller than itself)."""
+        near = e.select(F.col("dst").alias("u"), F.col("src").alias("v"))
+        if not below:
+            near = near.union(e.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("m", "u").alias("m"))
+        met = near.join(least, F.col("u") == F.col("of"))
+        if below:
+            # a node's edge to its least neighbour stays; the others go there too
+            made = met.select(F.col("m").alias("src"), F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("dst"))
         else:
-            made = joined.where("v > u").select(F.col("m").alias("src"), F.col("v").alias("dst"))
-        return settle(made.where("src <> dst").distinct())
+            made = met.where("v > u").select(F.col("m").alias("src"), F.col("v").alias("dst"))
+        return made.where("src <> dst")
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.col("src").alias("u"), F.col("dst").alias("v")).union(e.select(F.col("dst").alias("u"), F.col("src").alias("v")))
+    def stars(e: DataFrame) -> bool:
+        """Whether each node is either a root or linked to one root alone."""
+        ends = e.select(F.col("dst").alias("u"), F.lit(1).alias("tail"), F.lit(0).alias("head")).union(e.select(F.col("src").alias("u"), F.lit(0).alias("tail"), F.lit(1).alias("head")))
+        return ends.groupBy("u").agg(F.sum("tail").alias("tails"), F.max("head").alias("heads")).where("tails > 1 or (tails = 1 and heads = 1)").isEmpty()
 
-    edges = settle(edges)
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
-        edges = star(both(star(both(edges), False)), True)
+    edges = settle(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    while not stars(edges):
+        edges = settle(star(star(edges, False).distinct(), True).distinct())
     return edges.select(F.col("dst").alias("node"), F.col("src").alias("root"))
 
 
@@ -269,14 +341,14 @@ def one_of_each(df: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id",
 
 def keep_first(df: DataFrame, named: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` whose id is the ``component_id`` that ``named`` has for it, one of each; rows with a null id stay."""
-    found = settle(named.select(F.col(id_col).alias("gone_id"), "component_id"))
-    gone = settle(found.where("gone_id <> component_id").select("gone_id").distinct())
-    gone = gone.hint("broadcast" if gone.count() <= BROADCAST_IDS else "merge")
-    kept = df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
-    repeated = settle(found.where("gone_id = component_id").groupBy("gone_id").agg(F.count("*").alias("rows")).where("rows > 1").select("gone_id"))
-    if not (n := repeated.count()):
+    of_id = named.groupBy(F.col(id_col).alias("gone_id")).agg(F.max(F.col(id_col) != F.col("component_id")).alias("gone"), F.count("*").alias("rows"))
+    told = settle(of_id.where("gone or rows > 1").select("gone_id", "gone"))
+    n = told.count()
+    told = told.hint("broadcast" if n <= BROADCAST_IDS else "merge")
+    kept = df.join(told.where("gone"), df[id_col] == told["gone_id"], "left_anti")
+    if told.where("not gone and gone_id is not null").isEmpty():
         return kept
-    few = repeated.hint("broadcast" if n <= BROADCAST_IDS else "merge")
+    few = told.where("not gone")
     single = kept.join(few, kept[id_col] == few["gone_id"], "left_anti")
     row = F.struct(*(F.col(c) for c in kept.columns))
     one = kept.join(few, kept[id_col] == few["gone_id"], "left_semi").groupBy(id_col).agg(F.min(row).alias("_row")).select("_row.*")
