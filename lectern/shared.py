@@ -36,4 +36,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage and gives Spark true sizes."""
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
+    jvm = df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    # what later jobs of this application read goes when the application ends
+    place.getFileSystem(df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
