@@ -1,9 +1,11 @@
 """Operator 7: personal data, by patterns and a character-level bidirectional LSTM with a CRF.
 
 The patterns give the base spans of four kinds. The network is trained in numpy on windows of at
-most ``max_docs`` documents, labelled by those spans and by rewritten forms of them (spelled-out
-addresses, other separators) that no pattern covers. It reads overlapping windows around every
-place that may hold personal data (a digit, an at sign, a spelled-out address); the scores of
+most ``MAX_WINDOWS`` places of ``max_docs`` documents: places as they stand, labelled by the patterns,
+and stretches of text with data planted in them, alone and side by side, in the forms that the
+patterns cover and in others (spelled-out addresses, other separators, numbers that run into each
+other, at which a pattern stops). It reads overlapping windows around every place that can hold
+personal data of these kinds, which all have a digit, an at sign or a spelled-out address; the scores of
 overlapping windows are averaged by their distance from the window's rim, and one Viterbi pass
 under the CRF's transitions runs over each whole region. Spans of the network that keep clear of
 base spans and hold what their kind needs are added.
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from lectern.llm.common import map_texts, settle, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents that the network is trained on at most, windows of them, and passes over these.
-MAX_DOCS, MAX_WINDOWS, PASSES = 600, 1600, 6
-#: Characters of a window, from one window to the next, and around a place that may hold data.
-WINDOW, STRIDE, AROUND = 64, 32, 24
+#: Documents that the network is trained on at most, windows of them, stretches with planted data, and passes over these.
+MAX_DOCS, MAX_WINDOWS, PLANTED, PASSES = 600, 900, 2200, 8
+#: Characters of a place that is taken for training at once.
+PLACE = 192
+#: Characters of a window, from one window to the next, and around a number and an at sign that may belong to data.
+WINDOW, STRIDE, AROUND, AROUND_AT = 64, 32, 24, 56
 #: Cells of each direction.
 CELLS = 20
 TAGS = 1 + 2 * len(KINDS)
@@ -41,7 +45,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]").search
-_PLACES = re.compile(r"[0-9]+|@|\bat\b(?=.{1,40}?\bdot\b)|\[at\]|\(at\)", re.IGNORECASE)
+_PLACES = re.compile(r"[0-9]+|@|\bat\b(?=[^\n]{1,80}?\bdot\b)|\[at\]|\(at\)", re.IGNORECASE)
+_MAY_HOLD = re.compile(r"[0-9@]|\bdot\b|[\[(]at[\])]", re.IGNORECASE).search
 
 
 def luhn(digits: str) -> bool:
@@ -87,11 +92,12 @@ _LOCAL_CHAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 
 def regions(text: str) -> list[tuple[int, int]]:
     """Stretches of the text that the network reads."""
-    if "@" not in text and not _ANY_DIGIT(text) and "dot" not in text and "(at)" not in text and "[at]" not in text:
+    if not _MAY_HOLD(text):
         return []
     out: list[list[int]] = []
     for m in _PLACES.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        around = AROUND if m.group()[0].isdigit() else AROUND_AT
+        a, b = max(0, m.start() - around), min(len(text), m.end() + around)
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
@@ -168,15 +174,18 @@ class Tagger:
         dh_all = np.stack([dout[..., :CELLS], dout[::-1, :, CELLS:]])
         d["x"], d["h"] = np.zeros_like(p["x"]), np.zeros_like(p["h"])
         dh = dc = np.zeros((2, b, CELLS), np.float32)
+        steps = np.empty((2, t, b, 4 * CELLS), np.float32)
         for k in range(t - 1, -1, -1):
             i, f, o, g, old_c, tc, old_h = seen[k]
             dh = dh + dh_all[:, k]
             dc = dc + dh * o * (1 - tc * tc)
             da = np.concatenate([dc * g * i * (1 - i), dc * old_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], -1)
-            for way in (0, 1):
-                np.add.at(d["x"][way], both[way][:, k], da[way])
+            steps[:, k] = da
             d["h"] += old_h.transpose(0, 2, 1) @ da
             dh, dc = da @ p["h"].transpose(0, 2, 1), dc * f
+        for way in (0, 1):
+            is_symbol = (np.arange(SYMBOLS)[:, None] == both[way].T.reshape(1, -1)).astype(np.float32)
+            d["x"][way] = is_symbol @ steps[way].reshape(-1, 4 * CELLS)
         return float((z - gold).mean()), d
 
     def fit(self, x: np.ndarray, tags: np.ndarray, passes: int = PASSES, batch: int = 64, rate: float = 0.02, seed: int = 7) -> list[float]:
@@ -253,9 +262,11 @@ def plausible(kind: int, span: str) -> bool:
     numbers = re.findall("[0-9]+", span)
     digits = sum(map(len, numbers))
     if kind == 0:
-        return bool(re.search(r"@|\bat\b", span, re.IGNORECASE) and re.search(r"\.|\bdot\b", span, re.IGNORECASE))
+        return bool(re.search(r"(?:@|\bat\b).*?[A-Za-z0-9].*?(?:\.|\bdot\b).*?[A-Za-z0-9]", span, re.IGNORECASE | re.DOTALL))
     if kind == 1:
         return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    if re.search("[A-Za-z]", span) and (kind == 2 or not span[:3].lower() == "tel"):
+        return False
     if kind == 2:
         return 14 <= digits <= 19 and luhn("".join(numbers))
     return 10 <= digits <= 15 and len(numbers) > 1
@@ -280,69 +291,127 @@ def all_spans(texts: list[str | None], tagger: Tagger | None) -> tuple[list, lis
 def rewritten(kind: int, span: str, r: random.Random) -> str:
     """Another way in which people write the same datum."""
     if kind == 0:
-        at, dot = r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", ".")])
-        return span.replace("@", at).replace(".", dot)
+        at, dot = r.choice([(" at ", " dot "), (" AT ", " DOT "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", "."), (" @ ", ".")])
+        made = span.replace("@", at).replace(".", dot)
+        return made.upper() if r.random() < 0.25 else made
     if kind == 1:
-        return span.replace(".", r.choice(["[.]", " . ", "(.)"]))
+        return span.replace(".", r.choice(["[.]", " . ", "(.)", "[dot]"]))
+    digits = re.sub("[^0-9]", "", span)
     if kind == 2:
-        digits = re.sub("[^0-9]", "", span)
-        return r.choice([".", " - ", "_", "  "]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
-    return r.choice([lambda s: s.replace("+", "00 "), lambda s: s.replace("+", ""), lambda s: s.replace(" ", "/"), lambda s: "Tel " + s[1:]])(span)
-
-
-def training_windows(texts: list[str], limit: int = MAX_WINDOWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Windows with tags: as they stand, and with their spans rewritten."""
-    r = random.Random(seed)
-    xs, ys = [], []
-    places = [(t, a, b) for t in texts for a, b in regions(t)]
-    r.shuffle(places)
-    for t, a, b in places:
-        part = t[a:b]
-        for again in (False, True):
-            pieces, tags, at = [], [], 0
-            for s, kind, e in sorted(base_spans(part)):
-                if s < at:
-                    continue
-                span = rewritten(kind, part[s:e], r) if again else part[s:e]
-                pieces += [part[at:s], span]
-                tags += [0] * (s - at) + [1 + 2 * kind] + [2 + 2 * kind] * (len(span) - 1)
-                at = e
-            if again and not pieces:
-                continue
-            text = "".join([*pieces, part[at:]])
-            tags += [0] * (len(part) - at)
-            for s in window_starts(len(text)):
-                x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-                piece = symbols(text[s : s + WINDOW])
-                x[: len(piece)], y[: len(piece)] = piece, tags[s : s + WINDOW]
-                xs.append(x)
-                ys.append(y)
-            if len(xs) >= limit:
-                return np.stack(xs[:limit]), np.stack(ys[:limit])
-    return (np.stack(xs), np.stack(ys)) if xs else (np.zeros((0, WINDOW), np.int64),) * 2
+        return r.choice([".", " - ", "_", "  ", "/"]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    cut = len(digits) - r.choice((7, 8))
+    area, rest = digits[max(0, cut - 3) : cut], digits[cut:]
+    return r.choice([f"00{digits[: max(1, cut - 3)]} {area} {rest}", f"({area}) {rest[:3]}-{rest[3:]}", f"+{digits[:2]}/{digits[2:5]}/{digits[5:]}", f"0{area}/{rest}", span.replace("+", "00 ")])
+
+
+def luhn_number(r: random.Random, length: int) -> str:
+    """A number whose last digit makes it pass."""
+    head = "".join(r.choice("0123456789") for _ in range(length - 1))
+    return next(head + d for d in "0123456789" if luhn(head + d))
+
+
+def datum(kind: int, words: list[str], r: random.Random) -> str:
+    """A datum as the patterns know it, its names made of the corpus's words."""
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda: r.choice(words)
+    if kind == 0:
+        local = r.choice([name(), f"{name()}.{name()}", f"{name()}{number(2)}", f"{name()}.{number(2)}", f"{name()}_{name()}"])
+        return f"{local}@{name()}{r.choice(['', number(1)])}.{r.choice(['', name() + '.', 'example.'])}{r.choice(['com', 'org', 'net', 'de', 'example'])}".lower()
+    if kind == 1:
+        return ".".join(str(r.randrange(256)) for _ in range(4))
+    if kind == 2:
+        digits = luhn_number(r, r.choice((14, 15, 16, 16, 16, 16, 19)))
+        return r.choice(["", "", " ", "-"]).join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    country, area, rest = str(r.randrange(1, 99)), number(3), number(7)
+    return r.choice([f"+{country} ({area}) {rest[:3]}-{rest[3:]}", f"+{country} {area} {rest}", f"+{country}-{area}-{rest[:3]}-{rest[3:]}", f"+{country}{area}{rest}"])
+
+
+def planted(stretch: str, words: list[str], r: random.Random) -> tuple[str, list[int]]:
+    """A stretch of text with one to three data put in at a border of words, alone or side by side, and its tags."""
+    cuts = [m.start() for m in re.finditer(r"\s", stretch)] or [len(stretch)]
+    at = r.choice(cuts)
+    text, tags = stretch[:at], [0] * at
+    for k in range(r.choice((1, 1, 2, 3))):
+        kind = r.randrange(len(KINDS))
+        span = datum(kind, words, r)
+        if r.random() < 0.45:
+            span = rewritten(kind, span, r)
+        gap = " " if k == 0 or r.random() < 0.6 else f" {r.choice(words)} "
+        text += gap + span
+        tags += [0] * len(gap) + [1 + 2 * kind] + [2 + 2 * kind] * (len(span) - 1)
+    return text + stretch[at:], tags + [0] * (len(stretch) - at)
+
+
+def unclear(text: str) -> bool:
+    """Whether a pattern gives up a run of digits here, so that its labels can't be trusted."""
+    spans = base_spans(text)
+    runs = [*_CARD.finditer(text), *_PHONE.finditer(text)]
+    return any(sum(c.isdigit() for c in m.group()) >= 10 and not any(s < m.end() and m.start() < e for s, _, e in spans) for m in runs)
+
+
+def windows_of(text: str, tags: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for s in window_starts(len(text)):
+        x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
+        piece = symbols(text[s : s + WINDOW])
+        x[: len(piece)], y[: len(piece)] = piece, tags[s : s + WINDOW]
+        out.append((x, y))
+    return out
+
+
+def training_windows(places: list[str], stretches: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with tags: places as they stand, labelled by the patterns, and stretches with data planted in them."""
+    r, out = random.Random(seed), []
+    for part in places:
+        if unclear(part):
+            continue
+        tags = [0] * len(part)
+        for s, kind, e in base_spans(part):
+            tags[s:e] = [1 + 2 * kind] + [2 + 2 * kind] * (e - s - 1)
+        out += windows_of(part, tags)
+    r.shuffle(out)
+    out = out[:MAX_WINDOWS]
+    words = sorted({w for t in stretches for w in re.findall(r"[A-Za-z]{2,12}", t)}) or ["ann"]
+    for k in range(PLANTED if stretches else 0):
+        text, tags = planted(stretches[k % len(stretches)], words, r)
+        first = next(i for i, t in enumerate(tags) if t)
+        # one window that holds the data, at any place in it
+        start = max(0, min(first - r.randrange(0, WINDOW // 2), len(text) - WINDOW))
+        out += windows_of(text[start : start + WINDOW], tags[start : start + WINDOW])
+    return (np.stack([x for x, _ in out]), np.stack([y for _, y in out])) if out else (np.zeros((0, WINDOW), np.int64),) * 2
 
 
 def train(docs: DataFrame, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Tagger | None:
-    """A tagger fitted to the documents of least hash that may hold data (None: there are none)."""
+    """A tagger fitted to a sample of places and stretches of the documents of least hash (None: there are none).
+
+    The sample is of all places of these documents, by least hash; its size bounds what comes to the driver.
+    """
     may = docs.where(F.col(text_col).rlike("[0-9@]")).select(F.col(id_col).alias("chosen_id")).where("chosen_id is not null").distinct()
     chosen = settle(may.orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(max_docs))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select("chosen_id", "t")
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("chosen_id")).select(F.xxhash64("chosen_id").alias("h"), "t")
 
     def cut(batches):
         import pandas as pd
 
         for part in batches:
-            # windows are cut where the texts are, so that the driver gets at most a few for each
-            got = [(int(h), s) for h, t in zip(part["h"], part["t"], strict=True) for a, b in regions(t)[:8] for s in [t[a : min(b, a + 4 * WINDOW)]]]
-            yield pd.DataFrame(got, columns=["h", "s"]).astype({"h": "int64", "s": "str"})
-
-    found = rows.select(F.xxhash64("chosen_id").alias("h"), "t").mapInPandas(cut, "h bigint, s string").orderBy("h", "s").limit(4 * max_docs).collect()
-    x, y = training_windows([r["s"] for r in found])
-    if not len(x):
+            # places are cut where the texts are, so that the driver gets a sample of them
+            got, at = [], 0
+            for h, t in zip(part["h"], part["t"], strict=True):
+                found = regions(t)
+                got += [(int(h), True, t[s : min(b, s + PLACE)]) for a, b in found for s in range(a, b, PLACE)]
+                free = [(x, y) for x, y in zip([0, *(b for _, b in found)], [*(a for a, _ in found), len(t)], strict=True) if y - x > WINDOW]
+                got += [(int(h), False, t[s : min(y, s + 2 * WINDOW)]) for x, y in free for s in range(x, y, 2 * WINDOW)]
+            yield pd.DataFrame(got, columns=["h", "place", "s"]).astype({"h": "int64", "place": "bool", "s": "str"})
+
+    found = settle(rows.mapInPandas(cut, "h bigint, place boolean, s string"))
+    order = [F.xxhash64("h", "s"), "s"]
+    take = lambda place, n: [r["s"] for r in found.where(F.col("place") == place).orderBy(*order).limit(n).collect()]
+    places = take(True, MAX_WINDOWS)
+    if not places:
         return None
     tagger = Tagger()
-    tagger.fit(x, y)
+    tagger.fit(*training_windows(places, take(False, PLANTED)))
     return tagger
 
 

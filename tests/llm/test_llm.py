@@ -318,12 +318,38 @@ def test_op7(spark, small, texts, docs):
 def test_tagger_learns_and_reconciles(con):
     texts = [t for _, t in con.execute("select doc_id, text from documents").fetchall()]
     texts += [f"words here {k} mail ann.{k}@mail{k % 9}.example.com and more from 10.{k}.7.9 then +1 ({200 + k}) 555-{1000 + k} so" for k in range(120)]
-    x, y = pii.training_windows(texts)
+    places = [t[a:b] for t in texts for a, b in pii.regions(t)][:900]
+    stretches = [t[k : k + 128] for t in texts for k in range(0, len(t) - 128, 400) if not pii.regions(t[k : k + 128])]
+    x, y = pii.training_windows(places, stretches)
     tagger = pii.Tagger()
     losses = tagger.fit(x, y)
-    assert losses[-1] < 0.3 * losses[0]
-    base, every = pii.all_spans(["please write to bob.17 [at] mail3 [dot] example [dot] com for this"], tagger)
-    assert base == [[]]
+    assert losses[-1] < 0.1 * losses[0]
+    added = {}
+    for text in (
+        "please write to bob.17 [at] mail3 [dot] example [dot] com for this",
+        "write to ANN AT MAIL DOT COM for this",
+        "host 10[.]1[.]2[.]3 was down",
+        "then +1 (269) 555-3296 4524132264652876 and onrend of",
+    ):
+        base, every = pii.all_spans([text], tagger)
+        added[text] = [(pii.KINDS[k], text[s:e]) for s, k, e in every[0] if (s, k, e) not in base[0]]
+    assert list(added.values()) == [
+        [("email", "bob.17 [at] mail3 [dot] example [dot] com")],
+        [("email", "ANN AT MAIL DOT COM")],
+        [("ip", "10[.]1[.]2[.]3")],
+        [("phone", "+1 (269) 555-3296"), ("card", "4524132264652876")],
+    ]
+    # new data in new stretches: most are found, hardly anything else is
+    import random
+
+    r, right, wrong, missed = random.Random(99), 0, 0, 0
+    words = "river stone house winter garden letter window market silver forest".split()
+    for k in range(300):
+        text, tags = pii.planted(stretches[(7 * k) % len(stretches)], words, r)
+        want = set(pii.tag_spans(tags))
+        got = set(pii.all_spans([text], tagger)[1][0])
+        right, wrong, missed = right + len(want & got), wrong + len(got - want), missed + len(want - got)
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.7, (right, wrong, missed)
     # numeric gradients
     tagger.p = {k: a.astype(np.float64) for k, a in tagger.p.items()}
     loss, d = tagger.gradients(x[:4], y[:4])
