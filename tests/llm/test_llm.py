@@ -394,6 +394,45 @@ def test_op8_cases(spark):
     assert html.main_text(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_op8_template(spark):
+    """Pages without article elements and with neutral names: the template tells what is extracted."""
+    import random
+
+    r = random.Random(4)
+    words = "river stone house winter garden letter window market silver forest".split()
+    rows, want = [], {}
+    for k in range(12):
+        paras = [" ".join(r.choices(words, k=20)) + f" {k}." for _ in range(3)]
+        body = f"<h1>Title {k}</h1><p>{paras[0]}</p><div class=t2><p>{paras[1]}</p><p>{paras[2]}</p></div>"
+        extra = "<div class=x9><p>Now and then</p></div>" if k % 3 == 0 else ""
+        rows.append((k, f"http://plain.example/{k}", f"<html><body><div class=a1><p>Home Page</p><p>All stories</p></div><div class=a2>{body}</div>{extra}<div class=a3><p>Reach us at any time</p></div></body></html>"))
+        want[k] = "\n\n".join([f"Title {k}", *paras])
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html.main_text(df).collect()}
+    # what only some pages have is no part of the template, and may be text of theirs
+    assert got == {k: t + ("\n\nNow and then" if k % 3 == 0 else "") for k, t in want.items()}
+    plain = {x["page_id"]: x["text"] for x in html.main_text(df, with_template=False).collect()}
+    assert all("Home Page" in t and "Reach us" in t for t in plain.values())
+    same = html.main_text(spark.createDataFrame([(k, "http://same.example/", rows[0][2]) for k in range(5)], "page_id int, url string, html string"))
+    assert {x["text"] for x in same.collect()} == {plain[0]}
+
+
+def test_op8_keeps_what_names_do_not_exclude():
+    page = """<html><body class="has-sidebar"><article class="post no-comments"><h1>A</h1><p class="share-price">Up</p><div class="side-effects">None <span class="ad">Buy <span>it</span> now</span>seen</div>
+      <section class="related-work">Old</section><div class="ad-box">Buy</div><p>a < b &lt; c</p></article><div class="social-share">Like</div></body></html>"""
+    assert html.extract(page, None) == "A\n\nUp\n\nNone seen\n\nOld\n\na < b < c"
+
+
+def test_op8_hostile_pages():
+    """Time and room grow with a page, whatever is in it."""
+    import time
+
+    for page in ("<a " * 340_000, "<div>" * 150_000, '<a x="' * 170_000, "<p '>" * 170_000, "<!--" * 250_000, "<script>" * 120_000, "</div>" * 150_000, "<div><p>" * 100_000 + "</div>" * 100_000, "&" * 1_000_000):
+        began = time.time()
+        html.extract(page, 5)
+        assert time.time() - began < 5, page[:20]
+
+
 def test_restoring():
     words = "idiot stupid moron loser and the of a with for people clown".split()
     grams = collections.Counter(p[k : k + 3] for w in words for p in [f"^^{w}$"] for k in range(len(p) - 2))
