@@ -27,8 +27,9 @@ LONGEST_SENTENCE = 320
 WORDS_A_MINUTE = 165
 WORDS_A_SENTENCE = 18
 
+#: The first test, of one character on each side, fails fast at nearly every place.
 SENTENCE_BREAK = (
-    rf"(?<=[.!?]{CLOSERS}{{0,4}})(?<!(?<![A-Za-z0-9_])(?i:{ABBREVIATIONS})\.)"
+    rf"(?=\s)(?<=[.!?\"'”’)\]])(?<=[.!?]{CLOSERS}{{0,4}})(?<!(?<![A-Za-z0-9_])(?i:{ABBREVIATIONS})\.)"
     rf"(?:(?<=[!?]{CLOSERS}{{0,4}})\s+|(?<=\.{CLOSERS}{{0,4}})\s+(?![^\p{{L}}.!?]*\p{{Ll}}))"
 )
 LONG_PIECES = r"(?s)(.{1,320}$|.{107,318}[;,:] |.{1,319} |.{320})"
@@ -127,22 +128,30 @@ def tokens(c: Column) -> Column:
 def highlight_ranges(text: Column, terms: Column) -> Column:
     """Merged [start, end) ranges of the terms; none where folding changes the length."""
     folded = fold(text)
-    one = lambda t: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(folded), F.lit(1))), lambda i: F.when(F.substring(folded, i, F.length(t)) == t, F.struct((i - 1).alias("a"), (i - 1 + F.length(t)).alias("b")))), lambda r: r.isNotNull())
     empty = F.array().cast("array<struct<a:int,b:int>>")
 
-    def apart(found: Column) -> Column:
-        # occurrences of one term do not overlap
-        return F.aggregate(found, empty, lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] > r["a"]), acc).otherwise(F.concat(acc, F.array(r))))
+    def found_of(t: Column) -> Column:
+        # occurrences of one term do not overlap: they are what splitting at the term takes out
+        between = F.transform(F.split(folded, F.concat(F.lit(r"\Q"), t, F.lit(r"\E")), -1), lambda x: F.length(x))
+        state = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+        def step(s: Column, n: Column) -> Column:
+            start = s["at"] + n
+            return F.struct((start + F.length(t)).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("a"), (start + F.length(t)).alias("b")))).alias("out"))
+
+        return F.aggregate(F.slice(between, 1, F.size(between) - 1), state, step, lambda s: s["out"])
 
     def merge(acc: Column, r: Column) -> Column:
         last = F.element_at(acc, -1)
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))))
         return F.when((F.size(acc) > 0) & (r["a"] <= last["b"]), grown).otherwise(F.concat(acc, F.array(r)))
 
-    found = F.array_sort(F.flatten(F.transform(terms, lambda t: apart(one(t)))))
+    found = F.array_sort(F.flatten(F.transform(terms, found_of)))
     return F.when(F.length(folded) == F.length(text), F.aggregate(found, empty, merge)).otherwise(empty)
 
 
+# What is not spoken, as patterns. Digits and word borders are written out, since Java's classes take in
+# no more than ASCII either way, but a border beside a letter with an accent would differ.
 _YEAR = r"(?:1[6-9][0-9][0-9]|20[0-9][0-9])[a-z]?|n\.\s?d\."
 _PAGES = r"(?:,?\s*(?:pp?\.\s*)?[0-9\-–, ]+)?"
 #: In order: links, author-year citations, numbered ones, page references, footnote numbers, then tidying.
@@ -193,8 +202,9 @@ def take_markers(c: Column, pattern: str) -> Column:
     ``pattern`` has one group, the marker's number.
     """
     parts = F.filter(F.transform(F.split(c, r"\n\s*\n"), lambda p: trim(p)), lambda p: p != "")
-    is_marker = lambda p: p.rlike(f"^{pattern}$")
-    kept = F.filter(parts, lambda p: ~is_marker(p))
-    before = F.transform(parts, lambda p, i: F.struct(F.regexp_extract(p, f"^{pattern}$", 1).alias("n"), F.size(F.filter(F.slice(parts, 1, i), lambda q: ~is_marker(q))).alias("para"), is_marker(p).alias("m")))
-    found = F.transform(F.filter(before, lambda b: b["m"]), lambda b: F.struct(b["n"].cast("int").alias("n"), b["para"].alias("para")))
+    number = lambda p: F.regexp_extract(p, f"^{pattern}$", 1)
+    kept = F.filter(parts, lambda p: number(p) == "")
+    # each marker with its place among all paragraphs; of those before it the earlier markers are no paragraphs of the text
+    placed = F.filter(F.transform(parts, lambda p, i: F.struct(number(p).alias("n"), i.alias("i"))), lambda x: x["n"] != "")
+    found = F.transform(placed, lambda x, k: F.struct(x["n"].cast("int").alias("n"), (x["i"] - k).alias("para")))
     return F.struct(F.array_join(kept, "\n\n").alias("text"), found.alias("positions"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 
+# Patterns that tell years, headings of reference lists, publishers, and marks of entries. Word borders are
+# written out as ASCII ones.
 YEAR = r"(?<![A-Za-z0-9_])(?:(?:1[6-9][0-9][0-9]|20[0-9][0-9])[a-z]?|n\.\s?d\.)(?![A-Za-z0-9_])"
 REF_HEADING = (
     r"(?i)^(?:[0-9]+\.?\s*)?(references?|reference list|notes|endnotes|end notes|bibliography|works cited|sources|"
@@ -21,12 +23,16 @@ ENTRY_MARKS = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def flat(p: Column) -> Column:
     return T.trim(F.regexp_replace(p, r"\s+", " "))
 
 
-def is_citation_entry(p: Column) -> Column:
-    p = flat(p)
+def _is_entry(p: Column) -> Column:
     numbered = p.rlike(r"^\[?[0-9]{1,3}[.)\]]\s+\S")
     initials = p.rlike(r"^[A-Z][A-Za-z'’\-]+,\s(?:[A-Z]\.\s?){1,3}")
     named = p.rlike(r"^[A-Z][A-Za-z'’\-]+,\s[A-Z][a-z]+") & p.rlike(r"\.\s")
@@ -34,6 +40,10 @@ def is_citation_entry(p: Column) -> Column:
     return p.rlike(r"(?i)^[0-9]{1,3}\.\s+Ibid(?![A-Za-z0-9_])") | (sized & (numbered | initials | named) & (p.rlike(YEAR) | p.rlike(ENTRY_MARKS)))
 
 
+def is_citation_entry(p: Column) -> Column:
+    return let(flat(p), _is_entry)
+
+
 def citeish(p: Column) -> Column:
     return p.rlike(YEAR) | p.rlike(PUBLISHED) | p.rlike(r"https?:|www\.")
 
@@ -43,17 +53,19 @@ def is_prose(p: Column) -> Column:
 
 
 def is_symbol_noise(p: Column) -> Column:
-    t = F.regexp_replace(p, r"\s+", "")
-    letters, odd = F.regexp_count(t, F.lit("[A-Za-z0-9]")), F.regexp_count(t, F.lit(r"[~^|\\{}<>_=;]"))
-    return F.length(t).between(1, 60) & ((letters / F.length(t) < 0.5) | (odd >= 3))
+    def odd(t: Column) -> Column:
+        letters, signs = F.regexp_count(t, F.lit("[A-Za-z0-9]")), F.regexp_count(t, F.lit(r"[~^|\\{}<>_=;]"))
+        return F.length(t).between(1, 60) & ((letters / F.length(t) < 0.5) | (signs >= 3))
+
+    return let(F.regexp_replace(p, r"\s+", ""), odd)
 
 
 def _lines(p: Column) -> Column:
     return F.filter(F.transform(F.split(p, "\n"), lambda l: T.trim(l)), lambda l: l != "")
 
 
-def is_table_fragment(p: Column, median_line: Column) -> Column:
-    lines = _lines(p)
+def is_table_fragment(p: Column, lines: Column, median_line: Column) -> Column:
+    """Whether a paragraph of many short lines that end in no sentence is part of a table."""
     n = F.size(lines)
     average = F.aggregate(lines, F.lit(0), lambda a, l: a + F.length(l)) / n
     ends = F.size(F.filter(lines, lambda l: l.rlike(r"[.!?:][\"”’)]?$"))) / n
@@ -62,26 +74,32 @@ def is_table_fragment(p: Column, median_line: Column) -> Column:
     return (n >= 5) & (average < median_line * 0.5) & (ends < 0.25) & (closed / F.greatest(words / 18, F.lit(1.0)) < 0.35)
 
 
-def paragraph_kinds(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``p``, ``kind``: 'table', 'references' or null for each paragraph."""
-    rows = df.select(id_col, T.raw_paragraphs(F.col(text_col)).alias("paras")).where(F.size("paras") > 0)
-    lengths = F.array_sort(F.flatten(F.transform("paras", lambda p: F.transform(_lines(p), lambda l: F.length(l)))))
-    rows = rows.withColumn("lengths", lengths).withColumn("median", F.coalesce(F.get("lengths", F.floor(F.size("lengths") / 2).cast("int")), F.lit(80)))
-    rows = rows.withColumn(
-        "f",
-        F.transform("paras", lambda p: F.struct(
-            flat(p).alias("t"),
-            F.length(flat(p)).alias("len"),
-            (is_table_fragment(p, F.col("median")) | is_symbol_noise(p)).alias("table"),
-            citeish(flat(p)).alias("cite"),
-            is_citation_entry(p).alias("entry"),
-            F.exists(F.slice(F.split(p, "\n"), 1, 2), lambda l: T.trim(l).rlike(REF_HEADING)).alias("head"),
-        )),
+def kind_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
+    """``id_col``, the columns ``keep`` and ``kinds``: 'table', 'references' or null for each paragraph, in order.
+
+    Each step is a column of its own that later ones read several times, so that it is computed once.
+    """
+    base = [id_col, *keep]
+    read = F.transform(T.raw_paragraphs(F.col(text_col)), lambda p: F.struct(p.alias("raw"), flat(p).alias("t"), _lines(p).alias("lines")))
+    rows = df.select(*base, read.alias("read"))
+    lengths = F.array_sort(F.flatten(F.transform("read", lambda x: F.transform(x["lines"], lambda l: F.length(l)))))
+    median = let(lengths, lambda l: F.coalesce(F.get(l, F.floor(F.size(l) / 2).cast("int")), F.lit(80)))
+    rows = rows.select(*base, "read", median.alias("median"))
+    rows = rows.select(
+        *base,
+        F.transform("read", lambda x: F.struct(
+            x["t"].alias("t"),
+            F.length(x["t"]).alias("len"),
+            (is_table_fragment(x["raw"], x["lines"], F.col("median")) | is_symbol_noise(x["raw"])).alias("table"),
+            citeish(x["t"]).alias("cite"),
+            _is_entry(x["t"]).alias("entry"),
+            F.exists(F.slice(F.split(x["raw"], "\n"), 1, 2), lambda l: T.trim(l).rlike(REF_HEADING)).alias("head"),
+        )).alias("f"),
     )
     n = F.size("f")
     total = F.greatest(F.aggregate("f", F.lit(0), lambda a, x: a + x["len"]), F.lit(1))
     prose = lambda x: (x["len"] >= 200) & ~x["cite"]
-    # where each section that a heading opens ends: one fold, as a section is left by two prose paragraphs in a row
+    # where each section that a heading opens ends: one fold over flags, as a section is left by two prose paragraphs in a row
     state = F.struct(
         F.lit(0).alias("i"), F.lit(0).alias("chars"), F.lit(-1).alias("open"), F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("cites"),
         F.array().cast("array<struct<a:int,b:int>>").alias("found"),
@@ -91,13 +109,13 @@ def paragraph_kinds(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.when((s["open"] >= 0) & (s["cites"] >= 2), F.concat(s["found"], F.array(F.struct(s["open"].alias("a"), s["last"].alias("b"))))).otherwise(s["found"])
 
     def step(s, x):
-        past = s["chars"] / total >= 0.3
-        alone = x["head"] & past & (s["i"] >= n - 1)
+        past = s["chars"] / F.col("total") >= 0.3
+        alone = x["head"] & past & (s["i"] >= F.col("n") - 1)
         opens = x["head"] & past & (s["open"] < 0) & ~alone
-        run = F.when(s["open"] < 0, 0).when(prose(x), s["run"] + 1).otherwise(0)
+        run = F.when(s["open"] < 0, 0).when(x["prose"], s["run"] + 1).otherwise(0)
         leaves = (s["open"] >= 0) & (run >= 2)
         one = x["cite"].cast("int")
-        inside = (s["open"] >= 0) & ~prose(x)
+        inside = (s["open"] >= 0) & ~x["prose"]
         found = F.when(alone, F.concat(s["found"], F.array(F.struct(s["i"].alias("a"), s["i"].alias("b"))))).when(leaves, close(s)).otherwise(s["found"])
         return F.struct(
             (s["i"] + 1).alias("i"),
@@ -110,21 +128,44 @@ def paragraph_kinds(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found.alias("found"),
         )
 
-    rows = rows.withColumn("sections", F.aggregate("f", state, step, close))
+    rows = rows.select(*base, "f", n.alias("n"), total.alias("total"), F.exists("f", lambda x: x["head"]).alias("any_head"))
+    flags = F.transform("f", lambda x: F.struct(x["len"].alias("len"), x["head"].alias("head"), x["cite"].alias("cite"), prose(x).alias("prose")))
+    no_section = F.array().cast("array<struct<a:int,b:int>>")
+    sections = F.when(F.col("any_head"), F.aggregate(flags, state, step, close)).otherwise(no_section)
     # the run at the end of paragraphs that cite or are short
     breaks = F.array_max(F.transform("f", lambda x, i: F.when(prose(x) | ~(x["cite"] | (x["len"] < 60)), i).otherwise(-1)))
-    rows = rows.withColumn("start", breaks + 1).withColumn("tail", F.slice("f", F.col("start") + 1, F.greatest(n - F.col("start"), F.lit(0))))
+    rows = rows.select(*base, "f", "n", sections.alias("sections"), (F.coalesce(breaks, F.lit(-1)) + 1).alias("start"))
+    rows = rows.select(*base, "f", "sections", "start", F.slice("f", F.col("start") + 1, F.greatest(F.col("n") - F.col("start"), F.lit(0))).alias("tail"))
     numbered = F.regexp_count(F.array_join(F.transform("tail", lambda x: x["t"]), "\n"), F.lit("(?:^|\\s)[0-9]{1,3}\\.\\s+[A-Z“\"]"))
     entries = F.size(F.filter("tail", lambda x: x["entry"]))
     enough = F.size(F.filter("tail", lambda x: x["cite"])) >= F.ceil(F.size("tail") * 0.6)
-    rows = rows.withColumn("ends", (F.size("tail") > 0) & ((numbered >= 3) | (entries >= 3)) & enough)
+    rows = rows.select(*base, "f", "sections", "start", ((F.size("tail") > 0) & enough & ((numbered >= 3) | (entries >= 3))).alias("ends"))
     kinds = F.transform("f", lambda x, i: F.when(F.exists("sections", lambda r: (i >= r["a"]) & (i <= r["b"])), "references").when(x["table"], "table").when(F.col("ends") & (i >= F.col("start")), "references"))
-    return rows.select(id_col, F.posexplode(kinds).alias("p", "kind"))
+    return rows.select(*base, kinds.alias("kinds"))
 
 
-def narration_plan(df: DataFrame, sents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Sentences with what is spoken and why one is passed over: ``id_col, pos, p, speak, skip``."""
-    kinds = paragraph_kinds(df, id_col)
-    rows = sents.join(kinds, [id_col, "p"], "left")
-    speak = F.when(F.col("kind").isNull(), T.speakable(F.col("text"))).otherwise(F.col("text"))
-    return rows.select(id_col, "pos", "p", speak.alias("speak"), F.col("kind").alias("skip"))
+def paragraph_kinds(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``p``, ``kind``: 'table', 'references' or null for each paragraph."""
+    return kind_arrays(df, id_col, text_col).select(id_col, F.posexplode_outer("kinds").alias("p", "kind")).where("p is not null")
+
+
+def narration_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cleanup: bool = True, unassigned: DataFrame | None = None) -> DataFrame:
+    """Sentences with what is spoken and why one is passed over: ``id_col, pos, p, speak, skip``.
+
+    ``unassigned`` has ``id_col, p``: paragraphs on pages that are not assigned; that reason comes before the others. Without
+    ``cleanup`` only these are passed over, and sentences are spoken as they are written.
+    """
+    none = F.array().cast("array<string>")
+    if cleanup:
+        # the text goes along, so that a document's sentences and kinds meet in its own row
+        rows = kind_arrays(df, id_col, text_col, text_col)
+    else:
+        rows = df.select(id_col, text_col, none.alias("kinds"))
+    rows = rows.select(id_col, "kinds", F.posexplode_outer(T.sentences(F.col(text_col))).alias("pos", "s")).where("pos is not null")
+    rows = rows.select(id_col, "pos", F.col("s.p").alias("p"), F.col("s.text").alias("text"), F.get("kinds", F.col("s.p")).alias("skip"))
+    if unassigned is not None:
+        left_out = unassigned.select(F.col(id_col).alias("_of"), F.col("p").alias("_p"), F.lit("unassigned").alias("_why")).distinct()
+        rows = rows.join(left_out.hint("merge"), (F.col(id_col) == F.col("_of")) & (F.col("p") == F.col("_p")), "left")
+        rows = rows.select(id_col, "pos", "p", "text", F.coalesce("_why", "skip").alias("skip"))
+    speak = F.when(F.col("skip").isNull(), T.speakable(F.col("text"))).otherwise(F.col("text")) if cleanup else F.col("text")
+    return rows.select(id_col, "pos", "p", speak.alias("speak"), "skip")

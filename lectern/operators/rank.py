@@ -6,22 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import segment
+from lectern.operators.search import containing, sized
+from lectern.shared import settle
 
 K1, B = 1.2, 0.75
 EXPANSION_WEIGHT, PHRASE_BONUS, SENTENCE_PHRASE_BONUS = 0.6, 3, 2
 
 
-#: Questions of one batch; what is derived from a batch is sent to every executor.
-BATCH = 20_000
-
-
-def checked(questions: DataFrame) -> DataFrame:
-    """``questions`` if they are few enough to be sent to every executor."""
-    if (n := questions.count()) > BATCH:
-        raise ValueError(f"{n} questions in one batch; give at most {BATCH} at a time")
-    return questions
-
-
 def question_terms(questions: DataFrame) -> DataFrame:
     """``qid``, ``term``, ``weight`` from ``qid, question, extra_terms``: expansion terms count less."""
     own = questions.select("qid", F.explode(T.tokens(F.col("question"))).alias("term"), F.lit(1.0).alias("weight"))
@@ -36,45 +28,64 @@ def question_phrases(questions: DataFrame) -> DataFrame:
     return questions.select("qid", F.explode(F.concat(more, quoted)).alias("phrase"))
 
 
-def passage_terms(passages: DataFrame, sents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, ``start``, ``end``, ``folded``, ``tokens``: one row for each passage, from its own sentences."""
-    parts = passages.join(sents.select(id_col, "pos", "text"), id_col).where("pos between start and end")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
-    return parts.groupBy(id_col, "start", "end").agg(T.fold(text).alias("folded")).withColumn("tokens", T.tokens(F.col("folded")))
+def passage_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope_col: str | None = None) -> DataFrame:
+    """``id_col``, ``start``, ``end``, ``tokens``, ``text`` and ``scope`` (null without ``scope_col``) of each passage, written once.
+
+    A sentence is folded and cut into terms once; a passage's terms are those of its sentences in a row, as no term goes over a blank.
+    """
+    scope = F.col(scope_col) if scope_col else F.lit(None).cast("string")
+    scopes = df.select(F.col(id_col).alias("_of"), scope.alias("scope"))
+    cut = settle(segment.sentence_arrays(df, id_col, text_col).withColumn("terms", F.transform("sents", lambda s: T.tokens(s["text"]))))
+    found = segment.windows(cut, id_col).select(id_col, "sents", "terms", F.explode_outer("spans").alias("w")).where("w is not null")
+    part = lambda c: F.slice(c, F.col("w.start") + 1, F.col("w.end") - F.col("w.start") + 1)
+    text = F.array_join(F.transform(part("sents"), lambda s: s["text"]), " ")
+    rows = settle(found.select(id_col, F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.flatten(part("terms")).alias("tokens"), text.alias("text")))
+    if scope_col is None:
+        return rows.withColumn("scope", F.lit(None).cast("string"))
+    return rows.join(scopes.hint("merge"), F.col(id_col) == F.col("_of")).drop("_of")
 
 
 def scores(terms_of: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``qid``, ``id_col``, ``start``, ``end``, ``score`` of passages with a score above zero.
 
-    Only terms that some question asks for are counted, and statistics are of the whole pool.
+    ``questions`` has ``qid, question, extra_terms`` and perhaps ``course``: a question that names one has its passages and its
+    statistics from that scope alone. Only terms that some question asks for are counted.
     """
-    questions = checked(questions)
-    terms, phrases = question_terms(questions), question_phrases(questions)
-    pool = terms_of.agg(F.count("*").alias("N"), F.avg(F.size("tokens")).alias("avg_len"))
-    asked = F.broadcast(terms.select("term").distinct())
+    only = F.col("course") if "course" in questions.columns else F.lit(None).cast("string")
+    asked_in = settle(questions.select("qid", only.alias("only")))
+    terms, phrases = settle(question_terms(questions)), settle(question_phrases(questions).distinct())
+    key = [id_col, "start", "end"]
+    # one row for each scope that questions name, and one for all there is
+    scopes = settle(asked_in.select("only").distinct())
+    in_scope = F.col("only").isNull() | (F.col("only") == F.col("scope"))
+    sizes = terms_of.groupBy("scope").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"))
+    pool = settle(sizes.join(sized(scopes), in_scope).groupBy("only").agg(F.sum("n").alias("N"), (F.sum("tokens") / F.sum("n")).alias("avg_len")))
     tf = (
-        terms_of.select(id_col, "start", "end", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-        .join(asked, "term", "left_semi")
-        .groupBy(id_col, "start", "end", "len", "term").agg(F.count("*").alias("tf"))
+        terms_of.select(*key, "scope", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+        .join(sized(settle(terms.select("term").distinct())), "term", "left_semi")
+        .groupBy(*key, "scope", "len", "term").agg(F.count("*").alias("tf"))
     )
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = terms.join(df, "term").crossJoin(F.broadcast(pool))
+    tf = settle(tf)
+    seen = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    df = seen.join(sized(scopes), in_scope).groupBy("only", "term").agg(F.sum("df").alias("df"))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    weighed = terms.join(asked_in.hint("merge"), "qid").join(df.withColumnsRenamed({"only": "df_only", "term": "df_term"}).hint("merge"), (F.col("term") == F.col("df_term")) & same("only", "df_only"))
+    weighed = settle(weighed.join(sized(pool.withColumnRenamed("only", "pool_only")), same("only", "pool_only")).select("qid", "term", "weight", "only", "df", "N", "avg_len"))
     n_terms = terms.groupBy("qid").agg(F.count("*").alias("n_terms"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0))
     part = F.col("weight") * idf * (F.col("tf") * (K1 + 1) / norm)
-    # terms of a batch of questions, counted before they are sent
-    matched = tf.join(F.broadcast(weighed), "term").groupBy("qid", id_col, "start", "end").agg(F.sum(part).alias("s"), F.count("*").alias("matched"))
-    bonus = (
-        terms_of.select(id_col, "start", "end", "folded")
-        .join(F.broadcast(phrases), F.contains("folded", F.col("phrase")))
-        .groupBy("qid", id_col, "start", "end").agg((F.count("*") * PHRASE_BONUS).alias("bonus"))
-    )
-    key = ["qid", id_col, "start", "end"]
-    both = matched.join(bonus, key, "full").join(F.broadcast(n_terms), "qid", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    score = (zero("s") + zero("bonus")) * (1 + zero("matched") / F.greatest(zero("n_terms"), F.lit(1)))
-    return both.select(*key, F.round(score, 6).alias("score")).where("score > 0")
+    met = tf.join(sized(weighed), "term").where(in_scope)
+    all_of = met.select("qid", *key, part.alias("s"), F.lit(1).alias("m"), F.lit(0).alias("p"))
+    if not phrases.isEmpty():
+        texts = terms_of.select(*key, "scope", T.fold(F.col("text")).alias("folded"))
+        hits = containing(texts.drop("scope"), phrases.select(F.struct("qid", "phrase").alias("qid"), F.array("phrase").alias("terms")), key)
+        hits = hits.select("qid.qid", *key).join(sized(asked_in), "qid")
+        hits = hits.join(terms_of.select(*(F.col(k).alias(f"_{k}") for k in key), "scope").hint("merge"), [F.col(k) == F.col(f"_{k}") for k in key]).where(in_scope)
+        all_of = all_of.unionByName(hits.select("qid", *key, F.lit(0.0).alias("s"), F.lit(0).alias("m"), F.lit(PHRASE_BONUS).alias("p")))
+    both = all_of.groupBy("qid", *key).agg(F.sum("s").alias("s"), F.sum("m").alias("matched"), F.sum("p").alias("bonus")).join(sized(settle(n_terms)), "qid", "left")
+    score = (F.col("s") + F.col("bonus")) * (1 + F.col("matched") / F.greatest(F.coalesce("n_terms", F.lit(0)), F.lit(1)))
+    return both.select("qid", *key, F.round(score, 6).alias("score")).where("score > 0")
 
 
 def top_passages(scored: DataFrame, limit: int = 12, per_reading: int = 4, id_col: str = "doc_id") -> DataFrame:
@@ -96,18 +107,35 @@ def top_passages(scored: DataFrame, limit: int = 12, per_reading: int = 4, id_co
     return rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= limit)
 
 
-def focus_sentences(top: DataFrame, sents: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def passage_sentences(top: DataFrame, cut: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``qid``, ``n``, ``id_col``, ``pos``, ``text``: the sentences of each picked passage; ``cut`` has the arrays of ``segment.sentence_arrays``."""
+    inside = F.slice("sents", F.col("start") + 1, F.col("end") - F.col("start") + 1)
+    rows = top.join(cut.select(id_col, "sents").hint("merge"), id_col).select("qid", "n", id_col, "start", F.posexplode(inside).alias("k", "s"))
+    return rows.select("qid", "n", id_col, (F.col("start") + F.col("k")).alias("pos"), F.col("s.text").alias("text"))
+
+
+def focus_sentences(top: DataFrame, cut: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``qid``, ``n``, ``focus``: the sentence of each passage that matches the question best, the first of equals."""
-    questions = checked(questions)
-    inside = top.select("qid", "n", id_col, "start", "end").join(sents, id_col).where("pos between start and end")
-    rows = inside.select("qid", "n", "pos", T.fold(F.col("text")).alias("folded"))
+    rows = settle(passage_sentences(top, cut, id_col).select("qid", "n", "pos", T.fold(F.col("text")).alias("folded")))
     mine = rows.select("qid", "n", "pos", F.explode(F.array_distinct(T.tokens(F.col("folded")))).alias("term"))
-    by_term = mine.join(F.broadcast(question_terms(questions)), ["qid", "term"]).groupBy("qid", "n", "pos").agg(F.sum("weight").alias("w"))
-    by_phrase = (
-        rows.join(F.broadcast(question_phrases(questions)), "qid").where(F.contains("folded", F.col("phrase")))
-        .groupBy("qid", "n", "pos").agg((F.count("*") * SENTENCE_PHRASE_BONUS).alias("b"))
-    )
-    key = ["qid", "n", "pos"]
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    summed = rows.select(*key).join(by_term, key, "left").join(by_phrase, key, "left").select(*key, F.round(zero("w") + zero("b"), 6).alias("score"))
+    by_term = mine.join(sized(settle(question_terms(questions))), ["qid", "term"]).select("qid", "n", "pos", F.col("weight").alias("w"))
+    by_phrase = rows.join(sized(settle(question_phrases(questions).distinct())), "qid").where(F.contains("folded", F.col("phrase"))).select("qid", "n", "pos", F.lit(float(SENTENCE_PHRASE_BONUS)).alias("w"))
+    every = rows.select("qid", "n", "pos", F.lit(0.0).alias("w")).unionByName(by_term).unionByName(by_phrase)
+    summed = every.groupBy("qid", "n", "pos").agg(F.round(F.sum("w"), 6).alias("score"))
     return summed.groupBy("qid", "n").agg(F.min_by("pos", F.struct(-F.col("score"), F.col("pos"))).alias("focus"))
+
+
+def coverage(top: DataFrame, terms_of: DataFrame, questions: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``qid``, ``passages``, ``readings`` (of these), ``searched`` (readings in the question's scope) and ``answer``.
+
+    A question without passages has the label ``not_found``; the others wait for an answer.
+    """
+    only = F.col("course") if "course" in questions.columns else F.lit(None).cast("string")
+    asked = settle(questions.select("qid", only.alias("only")))
+    by_scope = settle(terms_of.groupBy("scope").agg(F.count_distinct(id_col).alias("n")))
+    searched = by_scope.join(sized(asked.select("only").distinct().withColumnRenamed("only", "in_only")), F.col("in_only").isNull() | (F.col("in_only") == F.col("scope")))
+    searched = settle(searched.groupBy("in_only").agg(F.sum("n").alias("searched")))
+    found = top.groupBy("qid").agg(F.count("*").alias("passages"), F.count_distinct(id_col).alias("readings"))
+    rows = asked.join(found.hint("merge"), "qid", "left").join(sized(searched), F.col("only").eqNullSafe(F.col("in_only")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return rows.select("qid", zero("passages"), zero("readings"), zero("searched"), F.when(F.coalesce("passages", F.lit(0)) == 0, "not_found").alias("answer"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.shared import settle
+
 # What may be lost after a letter of a broken ligature.
 LOST = {"f": ("i", "l", "f", "t", "fi", "fl"), "F": ("i", "l"), "T": ("h",), "t": ("h",)}
 LEAST_SEEN, LEAST_WORDS, LEAST_PLACES, RARER, INTACT = 3, 4, 10, 20, 5
@@ -31,36 +33,40 @@ def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
 
 
-def damaged_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``id_col, word, own`` and ``word, n``: words of each document and of all, in lower case, written once."""
+    own = settle(word_rows(df, id_col, text_col).groupBy(id_col, F.lower("w").alias("word")).agg(F.count("*").alias("own")))
+    return own, settle(own.groupBy("word").agg(F.sum("own").alias("n")))
+
+
+def damaged_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``id_col``, ``word`` (lower case), ``fix``, ``own``: pass one, with the documents that clearly show damage.
 
     A document's library is all words but its own: global counts less its own, so no self-join.
     Candidates are made for words that others hardly use only, and looked up by equality.
     """
-    own = word_rows(df, id_col, text_col).groupBy(id_col, F.lower("w").alias("word")).agg(F.count("*").alias("own"))
-    every = own.groupBy("word").agg(F.sum("own").alias("n"))
+    own, every = counts or word_counts(df, id_col, text_col)
     # a word that the library never uses is one that this document alone has
-    alone = own.join(every, "word").where("n = own").select(id_col, "word", "own")
+    alone = own.join(every.hint("merge"), "word").where("n = own").select(id_col, "word", "own")
     tried = alone.select(id_col, "word", "own", F.explode(candidates(F.col("word"))).alias("c")).select(id_col, "word", "own", "c.rank", "c.form")
-    known = tried.join(every.select(F.col("word").alias("form"), F.col("n").alias("all")), "form")
+    known = settle(tried).join(every.select(F.col("word").alias("form"), F.col("n").alias("all")), "form")
     mine = own.select(F.col(id_col).alias("of"), F.col("word").alias("same"), F.col("own").alias("mine"))
     seen = known.join(mine, (F.col(id_col) == F.col("of")) & (F.col("form") == F.col("same")), "left").withColumn("seen", F.col("all") - F.coalesce("mine", F.lit(0)))
     best = seen.groupBy(id_col, "word", "own").agg(F.max(F.struct("seen", (-F.col("rank")).alias("first"), "form")).alias("b")).where(F.col("b.seen") >= LEAST_SEEN)
     fixes = best.select(id_col, "word", "own", F.col("b.form").alias("fix"))
     gate = fixes.groupBy(id_col).agg(F.count("*").alias("words"), F.sum("own").alias("places")).where((F.col("words") >= LEAST_WORDS) & (F.col("places") >= LEAST_PLACES))
-    return fixes.join(gate.select(id_col), id_col, "left_semi")
+    return fixes.join(gate.select(id_col).hint("merge"), id_col, "left_semi")
 
 
-def rare_words(df: DataFrame, fixes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def rare_words(df: DataFrame, fixes: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``id_col``, ``w``, ``exact``: pass two, real but rare words of damaged documents, case by case."""
     gated = fixes.select(id_col).distinct()
-    own = word_rows(df, id_col, text_col).groupBy(id_col, F.lower("w").alias("word")).agg(F.count("*").alias("own"))
-    every = own.groupBy("word").agg(F.sum("own").alias("n"))
-    exact = word_rows(df.join(gated, id_col, "left_semi"), id_col, text_col).groupBy(id_col, "w").agg(F.count("*").alias("here"))
+    own, every = counts or word_counts(df, id_col, text_col)
+    exact = settle(word_rows(df.join(gated, id_col, "left_semi"), id_col, text_col).groupBy(id_col, "w").agg(F.count("*").alias("here")))
     left = exact.withColumn("word", F.lower("w")).join(fixes.select(id_col, "word"), [id_col, "word"], "left_anti")
     left = left.join(every, "word").join(own, [id_col, "word"]).withColumn("seen", F.col("n") - F.col("own")).drop("n", "own")
     tried = left.select(id_col, "w", "here", "seen", F.explode(candidates(F.col("w"))).alias("c")).select(id_col, "w", "here", "seen", "c.rank", F.col("c.form").alias("form"))
-    known = tried.withColumn("low", F.lower("form")).join(every.select(F.col("word").alias("low"), F.col("n").alias("all")), "low")
+    known = settle(tried.withColumn("low", F.lower("form"))).join(every.select(F.col("word").alias("low"), F.col("n").alias("all")), "low")
     mine = own.select(id_col, F.col("word").alias("low"), F.col("own").alias("mine"))
     known = known.join(mine, [id_col, "low"], "left").withColumn("count", F.col("all") - F.coalesce("mine", F.lit(0)))
     best = known.groupBy(id_col, "w", "here", "seen").agg(F.max(F.struct("count", (-F.col("rank")).alias("first"), "form")).alias("b"))
@@ -72,10 +78,13 @@ def rare_words(df: DataFrame, fixes: DataFrame, id_col: str = "doc_id", text_col
 
 def repair(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, the repaired text and ``fixes`` of each damaged document."""
-    fixes = damaged_words(df, id_col, text_col)
+    counts = word_counts(df, id_col, text_col)
+    fixes = settle(damaged_words(df, id_col, text_col, counts))
     low = fixes.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "fix"))).alias("low"))
-    exact = rare_words(df, fixes, id_col, text_col).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "exact"))).alias("exact"))
-    rows = df.select(id_col, text_col).join(low, id_col).join(exact, id_col, "left")
+    exact = rare_words(df, fixes, id_col, text_col, counts).groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("w", "exact"))).alias("exact"))
+    # one row for each damaged document, with words of its own
+    fixed_words = settle(low.join(exact.hint("merge"), id_col, "left"))
+    rows = df.select(id_col, text_col).join(fixed_words, id_col)
     parts = F.regexp_extract_all(text_col, F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
 
     def fixed(w: Column) -> Column:

@@ -1,8 +1,12 @@
-"""Sentences of documents, their context, and passages over them."""
+"""Sentences of documents, their context, and passages over them.
+
+Arrays that took work to make are exploded by ``explode_outer``, with a test for null behind it: a plain ``explode`` has Catalyst
+infer a filter on the array's size and push it to the scan, with all that makes the array in it a second time.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -12,7 +16,7 @@ WINDOW_WORDS = 110
 
 def sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``p``, ``pos``, ``text``: a row for each sentence; positions count through the document."""
-    found = df.select(id_col, F.posexplode(T.sentences(F.col(text_col))).alias("pos", "s"))
+    found = df.select(id_col, F.posexplode_outer(T.sentences(F.col(text_col))).alias("pos", "s")).where("pos is not null")
     return found.select(id_col, F.col("s.p").alias("p"), "pos", F.col("s.text").alias("text"))
 
 
@@ -22,25 +26,55 @@ def sentence_context(sents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sents.select("*", F.lag("text").over(by).alias("prev"), F.lead("text").over(by).alias("next"))
 
 
+def sentence_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df``'s ``id_col``, ``sents`` (array of (p, text)) and ``before``: words before each sentence, and in all."""
+    rows = df.select(id_col, T.sentences(F.col(text_col)).alias("sents"))
+    counts = F.transform("sents", lambda s: F.size(F.split(s["text"], r"\s+")))
+    # running sums of a whole document in one text of numbers, whose growth costs a copy of bytes and no objects
+    state = F.struct(F.lit(0).alias("sum"), F.lit("0").alias("told"))
+    told = F.aggregate(counts, state, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["told"], F.lit(","), (a["sum"] + n).cast("string")).alias("told")))["told"]
+    return rows.select(id_col, "sents", F.split(told, ",").cast("array<int>").alias("before"))
+
+
+def windows(rows: DataFrame, id_col: str = "doc_id", words: int = WINDOW_WORDS) -> DataFrame:
+    """``rows`` of ``sentence_arrays`` with ``spans``: arrays of (start, end), the passages of each document.
+
+    One walk over the sentences finds them: a passage's end is where the sum passes its goal, and the
+    next one starts half way back, so a sentence is looked at about twice.
+    """
+    n = F.size("before") - 1
+    # for each sentence the first one up to which there are enough words, by a binary search over the sums
+    steps = F.sequence(F.lit(0), F.lit(30))
+
+    def end_of(i: Column) -> Column:
+        goal = F.get("before", i) + words
+        start = F.struct(i.alias("lo"), (n - 1).alias("hi"))
+
+        def halve(a: Column, _: Column) -> Column:
+            mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+            return F.when(a["lo"] >= a["hi"], a).when(F.get("before", mid + 1) >= goal, F.struct(a["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
+
+        return F.aggregate(steps, start, halve)["lo"]
+
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("ends", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), end_of)).otherwise(none))
+    state = F.struct(F.lit(0).alias("next"), F.lit("").alias("told"))
+
+    def step(a: Column, end: Column, i: Column) -> Column:
+        onward = F.when(end >= n - 1, F.lit(1 << 30)).otherwise(F.greatest(i + 1, F.floor((i + end + 1) / 2).cast("int")))
+        return F.when(a["next"] != i, a).otherwise(F.struct(onward.alias("next"), F.concat(a["told"], F.lit(","), i.cast("string"), F.lit(":"), end.cast("string")).alias("told")))
+
+    indexed = F.transform("ends", lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    told = F.aggregate(indexed, state, lambda a, x: step(a, x["e"], x["i"]))["told"]
+    listed = F.filter(F.split(told, ","), lambda t: t != "")
+    spans = F.transform(listed, lambda t: F.struct(F.split(t, ":")[0].cast("int").alias("start"), F.split(t, ":")[1].cast("int").alias("end")))
+    return rows.withColumn("spans", spans).drop("ends")
+
+
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WINDOW_WORDS) -> DataFrame:
     """``id_col``, ``start``, ``end``: windows of sentences of at least ``words`` words that overlap by about half.
 
-    One document's windows come from a fold over its own sentence counts, so nothing is shuffled.
+    One document's windows come from its own sentence counts, so nothing is shuffled.
     """
-    counts = F.transform(T.sentences(F.col(text_col)), lambda s: F.size(F.split(s["text"], r"\s+")))
-    before = F.aggregate("counts", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    rows = df.select(id_col, counts.alias("counts")).withColumn("before", before).drop("counts").where(F.size("before") > 1)
-    last = F.size("before") - 2
-    # a sentence has a word at least, so a window never spans more sentences than words
-    short_of = lambda i: F.size(F.filter(F.slice("before", i + 2, F.lit(words)), lambda b: b < F.get("before", i) + words))
-    empty = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("out"), F.lit(0).alias("next"))
-
-    def step(acc, _):
-        i = acc["next"]
-        end = F.least(i + short_of(i), last)
-        made = F.concat(acc["out"], F.array(F.struct(i.alias("start"), end.alias("end"))))
-        onward = F.when(end >= last, F.lit(1 << 30)).otherwise(F.greatest(i + 1, F.floor((i + end + 1) / 2).cast("int")))
-        return F.when(i > last, acc).otherwise(F.struct(made.alias("out"), onward.cast("int").alias("next")))
-
-    chased = F.aggregate("before", empty, step)["out"]
-    return rows.select(id_col, F.explode(chased).alias("w")).select(id_col, "w.start", "w.end")
+    rows = windows(sentence_arrays(df, id_col, text_col), id_col, words)
+    return rows.select(id_col, F.explode_outer("spans").alias("w")).where("w is not null").select(id_col, "w.start", "w.end")

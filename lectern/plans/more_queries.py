@@ -46,7 +46,7 @@ def doc_quality(spark, sf_dir):
 def spoken_sentences(spark, sf_dir):
     """What narration speaks, sentence by sentence, what it passes over left out."""
     docs = P.with_references(spark, sf_dir)
-    return classify.narration_plan(docs, segment.sentences(docs)).where("skip is null").select("doc_id", "pos", "speak")
+    return classify.narration_plan(docs).where("skip is null").select("doc_id", "pos", "speak")
 
 
 @query(f"""WITH {P._SKIP}, {READINGS}, p AS (SELECT doc_id AS doc, unnest(range(len(list_filter(string_split(text, chr(10) || chr(10)), lambda z: trim(z) <> '')))) AS p FROM readings)

@@ -113,7 +113,7 @@ def paragraph_kinds(spark, sf_dir):
 @query()
 def narration_plan(spark, sf_dir):
     docs = with_references(spark, sf_dir)
-    return classify.narration_plan(docs, segment.sentences(docs))
+    return classify.narration_plan(docs)
 
 
 @query()
@@ -128,7 +128,7 @@ def skip_runs(spark, sf_dir):
 def spoken_words(spark, sf_dir):
     """Words that narration speaks."""
     docs = with_references(spark, sf_dir)
-    plan = classify.narration_plan(docs, segment.sentences(docs))
+    plan = classify.narration_plan(docs)
     return plan.groupBy("doc_id").agg(F.sum(F.when(F.col("skip").isNull(), T.word_count(F.col("speak"))).otherwise(0)).alias("listen_words"))
 
 

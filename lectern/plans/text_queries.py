@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import rank, search, segment
 from lectern.plans.base import CLEANED, PARAS, READINGS, TO_SENTS, fold_sql, query, readings, table, tokens_sql
+from lectern.shared import settle
 
 
 @query(f"WITH {READINGS}, {CLEANED} SELECT doc_id, text FROM cleaned")
@@ -146,21 +147,22 @@ def search_groups(spark, sf_dir):
 
 
 @query(f"""WITH {HITS}, g AS (SELECT *, count(*) OVER (PARTITION BY qid, doc_id) AS hits, count(*) OVER (PARTITION BY qid) AS total FROM hits)
-SELECT qid, doc_id, pos, total, total > 5 AS truncated FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hits DESC, doc_id, pos) <= 5""")
+SELECT qid, doc_id, pos, total, total > 500 AS truncated FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY hits DESC, doc_id, pos) <= 500""")
 def search_capped(spark, sf_dir):
-    return search.capped(_hits(spark, sf_dir), 5)
+    return search.capped(_hits(spark, sf_dir))
 
 
-@query(f"""WITH {HITS}, h AS (SELECT qid, doc_id, pos, s.text, term FROM direct JOIN sents s USING (doc_id, pos) JOIN asked USING (qid))
-SELECT qid, doc_id, pos, strpos({fold_sql('text')}, term) - 1 AS a, strpos({fold_sql('text')}, term) - 1 + length(term) AS b FROM h WHERE length({fold_sql('text')}) = length(text)""")
+@query(f"""WITH {HITS}, h AS (SELECT qid, doc_id, pos, {fold_sql('s.text')} AS f, term FROM direct JOIN sents s USING (doc_id, pos) JOIN asked USING (qid) WHERE length({fold_sql('s.text')}) = length(s.text)),
+x AS (SELECT qid, doc_id, pos, length(term) AS n, list_transform(string_split(f, term), lambda z: length(z)) AS l FROM h),
+y AS (SELECT qid, doc_id, pos, n, l, unnest(range(1, len(l))) AS k FROM x)
+SELECT qid, doc_id, pos, (list_sum(l[1:k]) + (k - 1) * n)::BIGINT AS a, (list_sum(l[1:k]) + k * n)::BIGINT AS b FROM y""")
 def highlight(spark, sf_dir):
-    """The first marked range of every hit."""
+    """All marked ranges of every hit; a quoted phrase's own occurrences never touch."""
     docs = readings(spark, sf_dir)
     sents = segment.sentences(docs).select("doc_id", "pos", "text")
-    asked = questions(spark, sf_dir)
-    terms = F.broadcast(rank.checked(asked).select("qid", T.parse_query(F.col("q")).alias("terms")))
-    hits = _hits(spark, sf_dir).join(sents, ["doc_id", "pos"]).join(terms, "qid")
-    ranges = hits.select("qid", "doc_id", "pos", F.get(T.highlight_ranges(F.col("text"), F.col("terms")), F.lit(0)).alias("r")).where("r is not null")
+    terms = search.sized(settle(questions(spark, sf_dir).select("qid", T.parse_query(F.col("q")).alias("terms"))))
+    hits = _hits(spark, sf_dir).join(sents.hint("merge"), ["doc_id", "pos"]).join(terms, "qid")
+    ranges = hits.select("qid", "doc_id", "pos", F.explode(T.highlight_ranges(F.col("text"), F.col("terms"))).alias("r"))
     return ranges.select("qid", "doc_id", "pos", F.col("r.a").cast("long").alias("a"), F.col("r.b").cast("long").alias("b"))
 
 
@@ -188,42 +190,93 @@ scores AS (SELECT qid, doc_id, start, "end", round(sum(ln(1 + (N - df + 0.5) / (
   FROM tf JOIN df USING (term) JOIN terms USING (term) JOIN (SELECT qid, count(*) AS n_terms FROM terms GROUP BY 1) USING (qid), pool GROUP BY qid, doc_id, start, "end")"""
 
 
-def _scored(spark, sf_dir):
-    docs = readings(spark, sf_dir)
-    sents = segment.sentences(docs)
-    return rank.scores(rank.passage_terms(segment.passages(docs), sents), questions(spark, sf_dir)), sents
+def _pool(spark, sf_dir, scope=None):
+    return rank.passage_terms(readings(spark, sf_dir), scope_col=scope)
 
 
 @query(f'WITH RECURSIVE {SCORES} SELECT qid, doc_id, start, "end", score FROM scores WHERE score > 0')
 def bm25_scores(spark, sf_dir):
-    return _scored(spark, sf_dir)[0]
+    return rank.scores(_pool(spark, sf_dir), questions(spark, sf_dir))
+
+
+def _picks(scores: str) -> str:
+    """Up to four passages of a document, each the best that overlaps none before it, then the best twelve of a question."""
+    rows = f'(SELECT * FROM {scores} WHERE score > 0)'
+    best = 'QUALIFY row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, start, "end") = 1'
+    out = [f"k1 AS (SELECT * FROM {rows} {best})"]
+    for k in (2, 3, 4):
+        before = " UNION ALL ".join(f"SELECT * FROM k{j}" for j in range(1, k))
+        out.append(f'k{k} AS (SELECT s.* FROM {rows} s WHERE NOT EXISTS (SELECT 1 FROM ({before}) k WHERE k.qid = s.qid AND k.doc_id = s.doc_id AND s.start <= k."end" AND k.start <= s."end") {best})')
+    every = " UNION ALL ".join(f"SELECT * FROM k{j}" for j in (1, 2, 3, 4))
+    out.append(f"top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, start) AS n FROM ({every}) QUALIFY n <= 12)")
+    return ", ".join(out)
+
 
+TOP = f"{SCORES}, {_picks('scores')}"
 
-@query()
+
+@query(f'WITH RECURSIVE {TOP} SELECT qid, n, doc_id, start, "end", score FROM top')
 def bm25_topk(spark, sf_dir):
-    return rank.top_passages(_scored(spark, sf_dir)[0])
+    return rank.top_passages(rank.scores(_pool(spark, sf_dir), questions(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOP}, ins AS (SELECT t.qid, t.n, s.pos, list_distinct({tokens_sql('s.text')}) AS toks FROM top t JOIN sents s ON s.doc_id = t.doc_id AND s.pos BETWEEN t.start AND t."end"),
+w AS (SELECT qid, n, pos, (SELECT count(*) FROM terms x WHERE x.qid = ins.qid AND list_contains(ins.toks, x.term)) AS w FROM ins)
+SELECT qid, n, arg_min(pos, (-w, pos)) AS focus FROM w GROUP BY 1, 2""")
 def focus_sentence(spark, sf_dir):
-    scored, sents = _scored(spark, sf_dir)
-    return rank.focus_sentences(rank.top_passages(scored), sents, questions(spark, sf_dir))
+    top = settle(rank.top_passages(rank.scores(_pool(spark, sf_dir), questions(spark, sf_dir))))
+    return rank.focus_sentences(top, segment.sentence_arrays(readings(spark, sf_dir)), questions(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOP}, blocks AS (SELECT t.qid, t.n, '<passage n="' || t.n || '" title="' || replace(r.title, chr(34), chr(39)) || '" course="' || replace(coalesce(r.course, ''), chr(34), chr(39)) || '">' || chr(10) || p.text || chr(10) || '</passage>' AS block
+  FROM top t JOIN ptext p ON p.doc_id = t.doc_id AND p.start = t.start AND p."end" = t."end" JOIN readings r ON r.doc_id = t.doc_id)
+SELECT qid, string_agg(block, chr(10) ORDER BY n) AS pack, count(*) AS passages FROM blocks GROUP BY 1""")
 def prompt_pack(spark, sf_dir):
     """The passages of each question wrapped in tags, in rank order."""
-    scored, sents = _scored(spark, sf_dir)
-    top = rank.top_passages(scored)
+    pool = _pool(spark, sf_dir)
+    top = settle(rank.top_passages(rank.scores(pool, questions(spark, sf_dir))))
     titles = readings(spark, sf_dir).select("doc_id", "title", "course")
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), " ")
-    parts = top.join(sents.select("doc_id", "pos", "text"), "doc_id").where("pos between start and end").groupBy("qid", "n", "doc_id").agg(text.alias("text"))
+    parts = top.join(pool.select("doc_id", "start", "end", "text").hint("merge"), ["doc_id", "start", "end"]).select("qid", "n", "doc_id", "text")
     quoted = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit("'"))
     block = F.format_string('<passage n="%d" title="%s" course="%s">\n%s\n</passage>', "n", quoted("title"), quoted("course"), "text")
-    blocks = parts.join(titles, "doc_id").select("qid", "n", block.alias("block"))
+    blocks = parts.join(titles.hint("merge"), "doc_id").select("qid", "n", block.alias("block"))
     return blocks.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "block"))), lambda b: b["block"]), "\n").alias("pack"), F.count("*").alias("passages"))
 
 
+#: Every other question asks in one course; its statistics are of that course alone.
+SCOPED = f"""{PASSAGES}, {QUESTIONS}, ptext AS (SELECT p.doc_id, p.start, p."end", string_agg(s.text, ' ' ORDER BY s.pos) AS text FROM passages p JOIN sents s ON s.doc_id = p.doc_id AND s.pos BETWEEN p.start AND p."end" GROUP BY ALL),
+ptok AS (SELECT p.doc_id, p.start, p."end", r.course, {tokens_sql('p.text')} AS toks FROM ptext p JOIN readings r USING (doc_id)),
+sq AS (SELECT qid, question, CASE WHEN qid % 2 = 0 THEN 'src' || (qid % 5) END AS within FROM questions),
+terms AS (SELECT DISTINCT qid, within, unnest({tokens_sql('question')}) AS term FROM sq),
+pool AS (SELECT within, count(*) AS N, avg(len(toks)) AS avg_len FROM (SELECT DISTINCT within FROM sq) x JOIN ptok ON within IS NULL OR within = course GROUP BY 1),
+tf AS (SELECT doc_id, start, "end", course, l, term, count(*) AS tf FROM (SELECT doc_id, start, "end", course, len(toks) AS l, unnest(toks) AS term FROM ptok) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+df AS (SELECT within, term, count(*) AS df FROM (SELECT DISTINCT within FROM sq) x JOIN tf ON within IS NULL OR within = course GROUP BY 1, 2),
+scoped AS (SELECT t.qid, doc_id, start, "end", round(sum(ln(1 + (N - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / avg_len)))) * (1 + count(*) / any_value(n_terms)), 6) AS score
+  FROM tf JOIN terms t ON t.term = tf.term AND (t.within IS NULL OR t.within = tf.course) JOIN df ON df.term = t.term AND df.within IS NOT DISTINCT FROM t.within
+  JOIN pool ON pool.within IS NOT DISTINCT FROM t.within JOIN (SELECT qid, count(*) AS n_terms FROM terms GROUP BY 1) n ON n.qid = t.qid GROUP BY t.qid, doc_id, start, "end"), {_picks('scoped')}"""
+
+
+def _scoped_questions(spark, sf_dir):
+    course = F.when(F.col("qid") % 2 == 0, F.concat(F.lit("src"), (F.col("qid") % 5).cast("string")))
+    return questions(spark, sf_dir).withColumn("course", course)
+
+
+@query(f'WITH RECURSIVE {SCOPED} SELECT qid, n, doc_id, start, "end", score FROM top')
+def bm25_scoped(spark, sf_dir):
+    """Questions in one course or in all, ranked with the statistics of their scope."""
+    return rank.top_passages(rank.scores(_pool(spark, sf_dir, "course"), _scoped_questions(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {SCOPED}, f AS (SELECT qid, count(*) AS passages, count(DISTINCT doc_id) AS readings FROM top GROUP BY 1),
+s AS (SELECT within, count(DISTINCT doc_id) AS searched FROM (SELECT DISTINCT within FROM sq) x JOIN ptok ON within IS NULL OR within = course GROUP BY 1)
+SELECT sq.qid, coalesce(passages, 0) AS passages, coalesce(readings, 0) AS readings, coalesce(searched, 0) AS searched, CASE WHEN passages IS NULL THEN 'not_found' END AS answer
+FROM sq LEFT JOIN f USING (qid) LEFT JOIN s ON s.within IS NOT DISTINCT FROM sq.within""")
+def retrieval_coverage(spark, sf_dir):
+    """How much each question found, of how many readings; a question without passages is answered at once."""
+    pool, asked = _pool(spark, sf_dir, "course"), _scoped_questions(spark, sf_dir)
+    return rank.coverage(rank.top_passages(rank.scores(pool, asked)), pool, asked)
+
+
 @query(rf"""WITH {TO_SENTS}, x AS (SELECT doc_id, pos, rtrim(text, '.') || ' (Smith & Lee, 2004, p. 12) [3-5, 9] (pp. 4-6).' || (CASE WHEN pos % 2 = 0 THEN ' See https://a.example/x' ELSE '' END) AS text FROM sents),
 a AS (SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s?(?:https?://|www\.)\S+', '', 'g'), '\s?\(Smith & Lee, 2004, p\. 12\)', '', 'g'), '\s?\[(?:[0-9]{{1,3}}(?:\s*[-–,]\s*[0-9]{{1,3}})*)\]', '', 'g'), '(?i)\s?\((?:pp?\.|page|pages)\s*[0-9\-–, ]+\)', '', 'g') AS out, text FROM x),
 b AS (SELECT doc_id, pos, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(out, '([a-z)\]][.,;:!?]?["”’]?)[0-9]{{1,3}}(\s|$|[,.;:])', '\1\2', 'g'), '\s+([.,;:!?])', '\1', 'g'), '\(\s*\)', '', 'g'), '\s{{2,}}', ' ', 'g')) AS out FROM a)
