@@ -144,6 +144,30 @@ def test_op2(spark, small, texts, docs):
     assert lattice.score_texts(docs.limit(0)).count() == 0
 
 
+def test_op2_scores_of_whole_texts(spark, small, texts):
+    """Each text's score from plain counts, listed segmentations of short words, and the discount, by hand."""
+    train = [t or "" for d, t in texts if zlib.crc32(str(d).encode()) % 10]
+    counts = collections.Counter(w for t in train for w in t.encode().lower().split())
+    n, types = sum(counts.values()), len(counts)
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount, p_word = min(0.95, max(0.05, once / (once + 2 * twice))), (n + 1) / (n + len(train) + 2)
+    model = lattice.Pieces.existing(pieces.model_bytes())
+    for _ in range(lattice.ROUNDS):
+        model = model.reweighted(*model.expected([w.decode() for w in counts]), types)
+    known: dict[bytes, float] = {}
+
+    def word(w):
+        if w not in known:
+            text = w.decode()
+            sub = brute_lattice(model, text) if len(text) < 7 else model.scores([text])[0]
+            known[w] = math.log10(p_word * (max(counts[w] - discount, 0) / n + discount * types / n * math.exp(sub)))
+        return known[w]
+
+    got = {r["doc_id"]: r["score"] for r in lattice.op2_lattice(spark, small).collect()}
+    for d, t in texts[:60]:
+        assert got[d] == pytest.approx(sum(map(word, (t or "").encode().lower().split())) + math.log10(1 - p_word), rel=1e-6)
+
+
 def test_op2_is_a_distribution(spark):
     """Over a closed set of words the model gives probabilities below one, and more to what it has seen."""
     rows = [(k, "red green blue red") for k in range(20)]
