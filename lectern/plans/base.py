@@ -29,9 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it lies in fewer files, which may have one row group each; a table of many stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as readings: their source is the course, their id the play order."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels")
     quality = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return docs.join(quality, "doc_id", "left").select(
         "doc_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import classify, pages, repair, segment
-from lectern.plans.base import CLEANED, READINGS, TO_SENTS, query, readings, table
+from lectern.plans.base import CLEANED, READINGS, TO_SENTS, query, readings, spread, table
 
 #: Documents as pages of books, each with a running header put on top.
 _NORM = "trim(regexp_replace(regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'))"
@@ -142,7 +142,7 @@ def symbol_noise(spark, sf_dir):
 def damaged(spark, sf_dir):
     """Documents of which every fourth lost the h of its ``th``."""
     text = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("text", "th", "t")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("text"))
 
 
 @query()
