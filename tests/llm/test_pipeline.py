@@ -3,12 +3,12 @@
 import collections
 import re
 
-import numpy as np
 import oracle
 
 import corpus_pipeline as cp
-from lectern.llm import decontam, pieces, pii, simhash, toxicity
+from lectern.llm import decontam, pieces, pii, toxicity
 from lectern.llm.common import settle, table
+from test_similar import brute
 
 
 def test_pipeline(spark, small):
@@ -19,24 +19,13 @@ def test_pipeline(spark, small):
     items = con.execute("select item_id, text from benchmark").fetchall()
 
     labels = table(spark, small, "labels")
-    marks, grams, miss = toxicity.train(docs, labels)
-    model = toxicity.CharacterModel(grams)
+    scorer = toxicity.Scorer(toxicity.train(docs, labels))
     one = settle(cp.drop_toxic(spark, docs, small))
-    want = {d for d, t in texts.items() if toxicity.score_words(toxicity.restored_words(t, model, {}), marks, miss) < 0.5}
+    want = {d for d, t in texts.items() if scorer.score(t) < 0.5}
     assert one.columns == columns and {r["doc_id"] for r in one.collect()} == want
 
     two = settle(cp.drop_near_duplicates(spark, one, small))
-    fps = {d: simhash.fingerprint(texts[d]) for d in want}
-    ids = sorted(fps)
-    v = np.array([fps[i] for i in ids], np.uint64)
-    close = np.bitwise_count(v[:, None] ^ v[None, :]) <= 4
-    label = np.arange(len(ids))
-    while True:
-        new = np.array([label[c].min() for c in close])
-        if (new == label).all():
-            break
-        label = new
-    want = {ids[k] for k in set(label.tolist())}
+    want = brute({d: texts[d] for d in want})
     assert two.columns == columns and {r["doc_id"] for r in two.collect()} == want
 
     three = settle(cp.drop_contaminated(spark, two, small))
