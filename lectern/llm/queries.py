@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, decontam, html, lattice, pieces, pii, quality, secrets, simhash, toxicity
+from lectern.llm import chat, decontam, html, lattice, periodic, pieces, pii, quality, secrets, simhash, toxicity
 
 ALL = (
     pieces.op1_pieces,
@@ -15,6 +15,7 @@ ALL = (
     html.op8_html,
     toxicity.op9_toxicity,
     decontam.op10_decontam,
+    periodic.op11_periodic,
 )
 
 
