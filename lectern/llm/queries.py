@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import chat, decontam, html, lattice, periodic, pieces, pii, quality, secrets, simhash, toxicity
+from lectern.llm import chat, decontam, fptree, html, lattice, lines, periodic, pieces, pii, quality, secrets, simhash, toxicity
 
 ALL = (
     pieces.op1_pieces,
@@ -16,6 +16,8 @@ ALL = (
     toxicity.op9_toxicity,
     decontam.op10_decontam,
     periodic.op11_periodic,
+    lines.op12_lines,
+    fptree.op13_ranked,
 )
 
 
@@ -24,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL, "op10_decontam": decontam.OP10_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op10_decontam": decontam.OP10_SQL, "op12_lines": lines.OP12_SQL, "op13_ranked": fptree.OP13_SQL}
