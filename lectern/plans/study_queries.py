@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import course, segment, study
 from lectern.plans import ledger_queries as L
-from lectern.plans.base import READINGS, TO_SENTS, query, readings, table
+from lectern.plans.base import READINGS, TO_SENTS, query, readings, table, tokens_sql
+from lectern.shared import passing_path
 from lectern.sources import packages
-from lectern.streaming import jobs
+from lectern.streaming import index, jobs
 
 #: Sources from parts: their author line has one to four names.
 _SOURCES = """src AS (SELECT p_partkey AS id, p_name AS title, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'John Boyd' WHEN 2 THEN 'Boyd, John and Mary Ann Coe' WHEN 3 THEN 'John Boyd; Mary Coe & Ed Poe' ELSE 'A One; B Two; C Three; D Four' END AS author,
@@ -243,27 +244,35 @@ def stream_spend(spark, sf_dir):
     rules = spark.createDataFrame(L.RULES, "rule_no int, pattern string, in_price double, out_price double, cache_read double")
     calls = L.raw_usage(jobs.source(spark, f"{sf_dir}/events.parquet"))
     priced = ledger.with_cost_streaming(calls, rules)
-    out = jobs.Versions(spark, spark.createDataFrame([], "day timestamp, feature string, cost double").schema)
-    jobs.spend_by_day(priced, out)
+    out = jobs.spend_by_day(priced, passing_path(spark))
     return out.read().groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.round(F.sum("cost"), 6).alias("cost"))
 
 
+@query(f"""WITH {L.USAGE}, r AS (SELECT strftime(called, '%Y-%m') AS month, event_id, called, CAST(round(cost * 1e9) AS BIGINT) AS nanos FROM usage),
+t AS (SELECT *, sum(nanos) OVER (PARTITION BY month ORDER BY called, event_id) AS spent FROM r), s(share, least) AS (VALUES (80, 160000000), (100, 200000000))
+SELECT month, share, arg_min(event_id, (called, event_id)) AS call_id, min(spent)::BIGINT AS spent FROM t JOIN s ON spent >= least GROUP BY ALL""")
+def stream_alerts(spark, sf_dir):
+    """The call with which each month comes near its limit of twenty cents, and the one that reaches it, told as calls come in."""
+    from lectern.operators import ledger
+
+    rules = spark.createDataFrame(L.RULES, "rule_no int, pattern string, in_price double, out_price double, cache_read double")
+    priced = ledger.with_cost_streaming(L.raw_usage(jobs.source(spark, f"{sf_dir}/events.parquet")), rules)
+    calls = priced.select(F.date_format("at", "yyyy-MM").alias("month"), "at", F.col("event_id").alias("call_id"), F.round(F.col("cost") * 1e9).cast("long").alias("nanos"))
+    return jobs.limit_alerts(calls, passing_path(spark), 200_000_000).read()
+
+
 @query("SELECT user_id AS reading, arg_max(CAST(floor(value) AS BIGINT), (ts, event_id)) AS position, bool_or(event_type = 'purchase') AS completed FROM events GROUP BY 1")
 def stream_progress(spark, sf_dir):
     events = jobs.source(spark, f"{sf_dir}/events.parquet")
     rows = events.select(F.col("user_id").alias("reading"), "ts", "event_id", F.floor("value").cast("long").alias("position"), (F.col("event_type") == "purchase").alias("completed"))
-    out = jobs.Versions(spark, spark.createDataFrame([], "reading bigint, position bigint, completed boolean").schema)
-    jobs.progress(rows, out)
-    return out.read()
+    return jobs.progress(rows, passing_path(spark)).read()
 
 
 @query("SELECT event_id, substr(props, 1, 500) AS message FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 100")
 def stream_errors(spark, sf_dir):
     """The newest hundred errors: a log of that size."""
     rows = jobs.source(spark, f"{sf_dir}/events.parquet").where("event_type = 'error'").select("event_id", "ts", F.substring("props", 1, 500).alias("message"))
-    out = jobs.Versions(spark, spark.createDataFrame([], "event_id bigint, ts timestamp_ntz, message string").schema)
-    jobs.newest(rows, out, 100, F.desc("ts"), F.desc("event_id"))
-    return out.read().select("event_id", "message")
+    return jobs.newest(rows, passing_path(spark), 100, F.desc("ts"), F.desc("event_id")).read().select("event_id", "message")
 
 
 @query("SELECT min(doc_id) AS doc_id, source AS course, 't' || (doc_id // 3) AS title FROM documents GROUP BY 2, 3")
@@ -271,9 +280,7 @@ def stream_import(spark, sf_dir):
     docs = jobs.source(spark, f"{sf_dir}/documents.parquet", 1_000_000)
     title = F.concat(F.lit("t"), F.floor(F.col("doc_id") / 3).cast("string"))
     rows = docs.select("doc_id", F.col("source").alias("course"), title.alias("title"), "text", F.lit(False).alias("has_pages"))
-    out = jobs.Versions(spark, spark.createDataFrame([], "doc_id bigint, course string, title string, text string, has_pages boolean").schema)
-    jobs.imports(rows, out)
-    return out.read().select("doc_id", "course", "title")
+    return jobs.imports(rows, passing_path(spark)).read().select("doc_id", "course", "title")
 
 
 @query(f"WITH {TO_SENTS} SELECT doc_id, count(*) AS sentences FROM sents WHERE doc_id % 10 <> 3 GROUP BY 1")
@@ -285,3 +292,19 @@ def incremental_index(spark, sf_dir):
     index = build(old).join(old.select("doc_id", F.xxhash64("text").alias("hash")), "doc_id")
     now = docs.where("doc_id % 10 <> 3")
     return jobs.refresh_index(index, now, build).groupBy("doc_id").agg(F.count("*").alias("sentences"))
+
+
+_TERMS = f"""docs AS (SELECT doc_id, text FROM readings WHERE doc_id % 10 <> 3), toks AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM docs),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM toks GROUP BY ALL), asked AS (SELECT DISTINCT unnest({tokens_sql('text')}) AS term FROM benchmark)"""
+
+
+@query(f"WITH {READINGS}, {_TERMS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf SEMI JOIN asked USING (term) GROUP BY term")
+def persisted_index(spark, sf_dir):
+    """What an index holds of the items' terms after half the texts, changes to some, the rest, and removals."""
+    docs = readings(spark, sf_dir).select("doc_id", "text")
+    kept = index.PostingIndex(spark, passing_path(spark))
+    kept.update(docs.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" Old words."))).otherwise(F.col("text")).alias("text")))
+    kept.update(docs.where("doc_id % 2 = 1 or doc_id % 4 = 0"))
+    kept.update(docs.limit(0), docs.where("doc_id % 10 = 3").select("doc_id"))
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("term"))
+    return kept.lookup(asked).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

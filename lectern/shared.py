@@ -32,12 +32,44 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lectern-{uuid.uuid4().hex}"
 
 
+class Files:
+    """Names of files under a folder of any file system that Spark knows."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self._path, self.root = spark._jvm.org.apache.hadoop.fs.Path, root
+        self._system = self._path(root).getFileSystem(spark._jsparkSession.sparkContext().hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(f"{self.root}/{name}" if name else self.root)
+
+    def names(self, folder: str = "") -> list[str]:
+        """What is in a folder; nothing, if there is no such folder."""
+        return sorted(s.getPath().getName() for s in self._system.listStatus(self._at(folder))) if self.exists(folder) else []
+
+    def exists(self, name: str = "") -> bool:
+        return self._system.exists(self._at(name))
+
+    def remove(self, name: str) -> None:
+        self._system.delete(self._at(name), True)
+
+    def remove_at_end(self) -> None:
+        """The folder goes when the application ends."""
+        self._system.deleteOnExit(self._at(""))
+
+
+def files_of(spark: SparkSession, root: str) -> Files:
+    return Files(spark, root)
+
+
+def passing_path(spark: SparkSession) -> str:
+    """A new path in the shared folder whose files go when the application ends."""
+    path = fresh_path(spark)
+    files_of(spark, path).remove_at_end()
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage and gives Spark true sizes."""
-    path = fresh_path(df.sparkSession)
+    path = passing_path(df.sparkSession)
     df.write.parquet(path)
-    jvm = df.sparkSession._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    # what later jobs of this application read goes when the application ends
-    place.getFileSystem(df.sparkSession._jsparkSession.sparkContext().hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
