@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -73,27 +74,68 @@ def sentences(c: Column) -> Column:
     return F.flatten(F.transform(paragraphs(c), of))
 
 
+def _folded(c: str) -> str:
+    """What one character folds to, by the rules of Unicode."""
+    plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+    return plain.translate({0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"'}).lower()
+
+
+#: Ranges of characters, besides those of Latin script, that are looked at first.
+PLAIN_RANGES = 16
+
+
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str]:
-    """Characters that decompose to a single base letter, and these letters, by the rules of Unicode."""
-    pairs = []
-    for code in range(0xA0, 0x2C00):
-        c = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
-        if len(base) == 1 and base != c:
-            pairs.append((c, base))
-    pairs += [("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"')]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _fold_tables() -> tuple[str, str, str, str, list[str]]:
+    """Characters that fold to one, and these; the ranges of those that fold to none or to several, as a class
+    of a regular expression, and ranges without any of these that hold most texts; and, longest first, these
+    characters with the letters of each place."""
+    single, several = [], []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        to = _folded(chr(code))
+        if len(to) == 1 and to != chr(code):
+            single.append((chr(code), to))
+        elif len(to) != 1 and not 0x300 <= code <= 0x36F:
+            several.append((code, to))
+    ranges: list[list[int]] = []
+    for code, _ in several:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    longest = sorted(several, key=lambda x: -len(x[1]))
+    # a character without a letter in a place is left out there
+    places = ["".join(to[k] for _, to in longest if len(to) > k) for k in range(len(longest[0][1]))]
+    between = [(a + 1, b - 1) for (_, a), (b, _) in zip([(0, -1), *ranges], [*ranges, (0x110000, 0)], strict=True) if b - a > 1]
+    latin = [r for r in between if r[0] < 0x180]
+    wide = sorted((r for r in between if r[0] >= 0x180), key=lambda r: r[0] - r[1])[:PLAIN_RANGES]
+    named, harmless = ("".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in rs) for rs in (ranges, [*latin, *wide]))
+    return "".join(x for x, _ in single), "".join(y for _, y in single), named, harmless, ["".join(chr(c) for c, _ in longest), *places]
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents and with straight quotes; ligatures are written out."""
-    plain = F.regexp_replace(c, "[̀-ͯ]", "")
-    source, to = _fold_table()
-    plain = F.when(plain.rlike(r"[^\x00-\x7F]"), F.translate(plain, source, to)).otherwise(plain)
-    for ligature in "ﬀﬁﬂﬃﬄﬅﬆ…":
-        plain = F.replace(plain, F.lit(ligature), F.lit(unicodedata.normalize("NFKD", ligature)))
-    return F.lower(plain)
+    """Compatibility decomposition in lower case, without accents and with straight quotes.
+
+    Equal to Unicode's on every character; marks that follow each other keep their order.
+    """
+    source, to, named, harmless, (sources, *places) = _fold_tables()
+
+    def spelled_out(plain: Column) -> Column:
+        parts = F.regexp_extract_all(plain, F.lit(f"([{named}]|[^{named}]+)"), F.lit(1))
+        # a part of one such character is spelled place by place
+        spelled = F.transform(parts, lambda p: F.when(p.rlike(f"^[{named}]"), F.concat(*(F.translate(p, sources, x) for x in places))).otherwise(p))
+        # few ranges pass most texts by
+        return F.when(plain.rlike(f"[^{harmless}]") & plain.rlike(f"[{named}]"), F.array_join(spelled, "")).otherwise(plain)
+
+    def of_one(plain: Column) -> Column:
+        return F.when(plain.rlike(r"[^\x00-\x7F]"), F.translate(plain, source, to)).otherwise(plain)
+
+    plain = F.replace(F.regexp_replace(c, "[\u0300-\u036f]", ""), F.lit("…"), F.lit("..."))
+    return F.lower(_once(_once(plain, spelled_out), of_one))
+
+
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
