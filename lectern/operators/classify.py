@@ -5,7 +5,7 @@ All steps are column expressions over one document's array of paragraphs, so not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -99,10 +99,11 @@ def kind_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     n = F.size("f")
     total = F.greatest(F.aggregate("f", F.lit(0), lambda a, x: a + x["len"]), F.lit(1))
     prose = lambda x: (x["len"] >= 200) & ~x["cite"]
-    # where each section that a heading opens ends: one fold over flags, as a section is left by two prose paragraphs in a row
+    # where each section that a heading opens ends: one fold over flags, as a section is left by two prose paragraphs in a
+    # row. A heading that is one of these two opens the next section; any other one inside a section changes nothing.
     state = F.struct(
         F.lit(0).alias("i"), F.lit(0).alias("chars"), F.lit(-1).alias("open"), F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("cites"),
-        F.array().cast("array<struct<a:int,b:int>>").alias("found"),
+        F.lit(False).alias("headed"), F.array().cast("array<struct<a:int,b:int>>").alias("found"),
     )
 
     def close(s):
@@ -111,21 +112,25 @@ def kind_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     def step(s, x):
         past = s["chars"] / F.col("total") >= 0.3
         alone = x["head"] & past & (s["i"] >= F.col("n") - 1)
-        opens = x["head"] & past & (s["open"] < 0) & ~alone
+        heads = x["head"] & past & ~alone
         run = F.when(s["open"] < 0, 0).when(x["prose"], s["run"] + 1).otherwise(0)
         leaves = (s["open"] >= 0) & (run >= 2)
+        # prose cites nothing, so a section that opens one paragraph back has no citation yet
+        back = leaves & s["headed"]
+        opens = heads & ((s["open"] < 0) | leaves) & ~back
         one = x["cite"].cast("int")
         inside = (s["open"] >= 0) & ~x["prose"]
-        found = F.when(alone, F.concat(s["found"], F.array(F.struct(s["i"].alias("a"), s["i"].alias("b"))))).when(leaves, close(s)).otherwise(s["found"])
+        found = F.when(leaves, close(s)).otherwise(s["found"])
         return F.struct(
             (s["i"] + 1).alias("i"),
             (s["chars"] + x["len"]).alias("chars"),
-            F.when(leaves, -1).when(opens, s["i"]).otherwise(s["open"]).alias("open"),
-            F.when(opens | inside, s["i"]).otherwise(s["last"]).alias("last"),
-            F.when(leaves, 0).otherwise(run).alias("run"),
+            F.when(back, s["i"] - 1).when(opens, s["i"]).when(leaves, -1).otherwise(s["open"]).alias("open"),
+            F.when(back, s["i"] - 1).when(opens | inside, s["i"]).otherwise(s["last"]).alias("last"),
+            F.when(back, 1).when(opens | leaves, 0).otherwise(run).alias("run"),
             # citations between the heading and the last paragraph that is not prose
-            F.when(opens, one).when(inside, s["cites"] + one).otherwise(s["cites"]).alias("cites"),
-            found.alias("found"),
+            F.when(back, 0).when(opens, one).when(inside, s["cites"] + one).otherwise(s["cites"]).alias("cites"),
+            heads.alias("headed"),
+            F.when(alone, F.concat(found, F.array(F.struct(s["i"].alias("a"), s["i"].alias("b"))))).otherwise(found).alias("found"),
         )
 
     rows = rows.select(*base, "f", n.alias("n"), total.alias("total"), F.exists("f", lambda x: x["head"]).alias("any_head"))
@@ -149,6 +154,48 @@ def paragraph_kinds(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return kind_arrays(df, id_col, text_col).select(id_col, F.posexplode_outer("kinds").alias("p", "kind")).where("p is not null")
 
 
+def kinds_of_rows(paras: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``id_col``, ``p``, ``kind`` of paragraphs that come as rows ``id_col, p, raw``, for documents too long for one row.
+
+    Whole sets instead of a walk: two prose paragraphs in a row are a stop, a heading's section ends two
+    paragraphs before the first stop that lies two or more behind it (else with the last paragraph that is not prose), and a paragraph
+    is in a section if the sections begun up to it reach it.
+    """
+    lines = paras.select(id_col, F.explode(_lines(F.col("raw"))).alias("line")).groupBy(id_col, F.length("line").alias("len")).agg(F.count("*").alias("many"))
+    # the middle one of all lengths, from how often each occurs
+    upto = F.sum("many").over(Window.partitionBy(id_col).orderBy("len"))
+    of_all = F.sum("many").over(Window.partitionBy(id_col))
+    middle = lines.withColumns({"upto": upto, "half": F.floor(of_all / 2)}).where(F.col("upto") > F.col("half")).groupBy(id_col).agg(F.min("len").alias("median"))
+    rows = paras.select(id_col, "p", "raw", flat(F.col("raw")).alias("t")).join(middle.hint("shuffle_hash"), id_col, "left")
+    by = Window.partitionBy(id_col).orderBy("p")
+    onward, before = by.rowsBetween(2, Window.unboundedFollowing), by.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(id_col)
+    rows = rows.select(
+        id_col, "p", "t", F.length("t").alias("len"), citeish(F.col("t")).alias("cite"), _is_entry(F.col("t")).alias("entry"),
+        (is_table_fragment(F.col("raw"), _lines(F.col("raw")), F.coalesce("median", F.lit(80))) | is_symbol_noise(F.col("raw"))).alias("table"),
+        F.exists(F.slice(F.split("raw", "\n"), 1, 2), lambda l: T.trim(l).rlike(REF_HEADING)).alias("head"),
+    )
+    rows = rows.withColumns({"prose": (F.col("len") >= 200) & ~F.col("cite"), "end": F.max("p").over(whole), "total": F.greatest(F.sum("len").over(whole), F.lit(1))})
+    rows = rows.withColumns({"past": (F.sum("len").over(before) - F.col("len")) / F.col("total") >= 0.3, "cites": F.sum(F.col("cite").cast("int")).over(before)})
+    stop = F.when(F.col("prose") & F.lag("prose").over(by), F.struct(F.col("p"), F.lag("cites", 2).over(by).alias("cites")))
+    final = F.max_by(F.col("prose"), F.col("p")).over(whole)
+    rows = rows.withColumns({"stop": stop, "final": final, "all": F.sum(F.col("cite").cast("int")).over(whole)})
+    rows = rows.withColumn("ends", F.min("stop").over(onward))
+    last = F.when(F.col("ends").isNotNull(), F.col("ends.p") - 2).otherwise(F.col("end") - F.col("final").cast("int"))
+    cited = F.coalesce("ends.cites", "all") - F.col("cites") + F.col("cite").cast("int")
+    reach = F.when(F.col("head") & F.col("past"), F.when(F.col("p") == F.col("end"), F.col("p")).when(cited >= 2, last))
+    break_ = F.when(F.col("prose") | ~(F.col("cite") | (F.col("len") < 60)), F.col("p"))
+    rows = rows.withColumns({"reach": F.max(reach).over(before), "start": F.coalesce(F.max(break_).over(whole), F.lit(-1)) + 1, "next": F.coalesce(F.lead("t").over(by), F.lit(""))})
+    # a number at the end of a paragraph counts with the first letter of the next
+    tail = F.col("p") >= F.col("start")
+    numbers = F.regexp_count(F.concat(F.lit("\n"), F.col("t"), F.lit("\n"), F.substring("next", 1, 1)), F.lit("\\s[0-9]{1,3}\\.\\s+[A-Z“\"]"))
+    told = lambda c: F.sum(F.when(tail, c)).over(whole)
+    one = F.lit(1)
+    ends = (told(F.col("cite").cast("int")) >= F.ceil(told(one) * 0.6)) & ((told(numbers) >= 3) | (told(F.col("entry").cast("int")) >= 3))
+    kind = F.when(F.col("reach") >= F.col("p"), "references").when(F.col("table"), "table").when(ends & tail, "references")
+    return rows.select(id_col, "p", kind.alias("kind"))
+
+
 def narration_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cleanup: bool = True, unassigned: DataFrame | None = None) -> DataFrame:
     """Sentences with what is spoken and why one is passed over: ``id_col, pos, p, speak, skip``.
 

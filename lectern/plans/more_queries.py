@@ -42,7 +42,7 @@ def doc_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", status.alias("status"))
 
 
-@query()
+@query(f"WITH {P.SPOKEN} SELECT doc_id, pos, speak FROM spoken WHERE skip IS NULL")
 def spoken_sentences(spark, sf_dir):
     """What narration speaks, sentence by sentence, what it passes over left out."""
     docs = P.with_references(spark, sf_dir)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import classify, pages, repair, segment
-from lectern.plans.base import CLEANED, READINGS, TO_SENTS, query, readings, spread, table
+from lectern.plans.base import CLEANED, PARAS, READINGS, SENTS, TO_SENTS, query, readings, spread, table
 
 #: Documents as pages of books, each with a running header put on top.
 _NORM = "trim(regexp_replace(regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g'), '[^a-z#]+', ' ', 'g'))"
@@ -105,18 +105,58 @@ def with_references(spark, sf_dir):
     return readings(spark, sf_dir).withColumn("text", F.concat("text", tail))
 
 
-@query()
+#: The same rules over whole sets: flags of paragraphs, the stop of each heading, and how far sections reach.
+_ENTRIES = "chr(10) || chr(10) || 'References'" + "".join(f" || chr(10) || chr(10) || 'Author{c}, A. B. (20{k:02d}). A title of note. University Press.'" for k, c in enumerate("xyzvw", 10))
+_REFERRED = f"referred AS (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN text || {_ENTRIES} ELSE text END AS text) FROM readings)"
+KINDS = rf"""{READINGS}, {_REFERRED}, {CLEANED.replace("FROM readings", "FROM referred")},
+raws AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) - 1 AS p FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda z: regexp_replace(z, '^\s+|\s+$', '', 'g')), lambda z: z <> '') AS l FROM cleaned)),
+shaped AS (SELECT doc_id, p, raw, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS t, list_filter(list_transform(string_split(raw, chr(10)), lambda z: trim(z)), lambda z: z <> '') AS lines, regexp_replace(raw, '\s+', '', 'g') AS bare FROM raws),
+medians AS (SELECT doc_id, list_sort(flatten(list(list_transform(lines, lambda z: length(z))))) AS l FROM shaped GROUP BY doc_id),
+flags AS (SELECT doc_id, p, t, length(t) AS len,
+  regexp_matches(t, '\b(?:(?:1[6-9]\d\d|20\d\d)[a-z]?|n\.\s?d\.)\b') OR regexp_matches(t, '\b(?:Press|Publish\w*|Journal|Quarterly|Review|University|Vol\.|vol\.|no\.|pp\.|Retrieved|doi|Ibid|op\. cit|Eds?\.)') OR regexp_matches(t, 'https?:|www\.') AS cite,
+  regexp_matches(t, '(?i)^\d{{1,3}}\.\s+Ibid\b') OR (length(t) BETWEEN 15 AND 900 AND (regexp_matches(t, '^\[?\d{{1,3}}[.)\]]\s+\S') OR regexp_matches(t, '^[A-Z][A-Za-z''’\-]+,\s(?:[A-Z]\.\s?){{1,3}}') OR (regexp_matches(t, '^[A-Z][A-Za-z''’\-]+,\s[A-Z][a-z]+') AND regexp_matches(t, '\.\s')))
+    AND (regexp_matches(t, '\b(?:(?:1[6-9]\d\d|20\d\d)[a-z]?|n\.\s?d\.)\b') OR regexp_matches(t, '\b(Press|Publish|Journal|Review|University|Vol\.|vol\.|no\.|pp\.|Retrieved|doi|https?:|ed\.|eds\.|Ibid|Ibid\.|op\. cit)\b'))) AS entry,
+  len(list_filter(string_split(raw, chr(10))[1:2], lambda z: regexp_matches(trim(z), '(?i)^(?:\d+\.?\s*)?(references?|reference list|notes|endnotes|end notes|bibliography|works cited|sources|literature cited|selected bibliography|suggested readings?)\s*:?$'))) > 0 AS head,
+  (len(lines) >= 5 AND list_sum(list_transform(lines, lambda z: length(z))) / len(lines) < coalesce(m.l[len(m.l) // 2 + 1], 80) * 0.5 AND len(list_filter(lines, lambda z: regexp_matches(z, '[.!?:]["”’)]?$'))) / len(lines) < 0.25
+    AND len(regexp_extract_all(raw, '[a-z0-9)\]"”’][.!?]["”’)]?(?:\s|$)')) / greatest(len(regexp_split_to_array(raw, '\s+')) / 18, 1) < 0.35)
+  OR (length(bare) BETWEEN 1 AND 60 AND (len(regexp_extract_all(bare, '[A-Za-z0-9]')) / length(bare) < 0.5 OR len(regexp_extract_all(bare, '[~^|\\{{}}<>_=;]')) >= 3)) AS tabular
+  FROM shaped JOIN medians m USING (doc_id)),
+placed AS (SELECT *, len >= 200 AND NOT cite AS prose, max(p) OVER d AS final, sum(cite::INTEGER) OVER w AS cites, sum(cite::INTEGER) OVER d AS cites_all,
+  (sum(len) OVER w - len) / greatest(sum(len) OVER d, 1) >= 0.3 AS past FROM flags WINDOW d AS (PARTITION BY doc_id), w AS (PARTITION BY doc_id ORDER BY p)),
+stops AS (SELECT *, CASE WHEN prose AND lag(prose) OVER w THEN p END AS stop, lag(cites, 2) OVER w AS cites2, lead(t) OVER w AS next FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+sections AS (SELECT h.doc_id, h.p AS a, CASE WHEN h.p = h.final THEN h.p ELSE coalesce(s.p - 2, h.final - e.prose::INTEGER) END AS b, h.p = h.final OR coalesce(s.cites2, h.cites_all) - h.cites + h.cite::INTEGER >= 2 AS good
+  FROM stops h JOIN stops e ON e.doc_id = h.doc_id AND e.p = h.final LEFT JOIN stops s ON s.doc_id = h.doc_id AND s.p = (SELECT min(x.stop) FROM stops x WHERE x.doc_id = h.doc_id AND x.stop >= h.p + 2) WHERE h.head AND h.past),
+tails AS (SELECT doc_id, coalesce(max(p) FILTER (WHERE prose OR NOT (cite OR len < 60)), -1) + 1 AS start FROM placed GROUP BY doc_id),
+ends AS (SELECT doc_id, any_value(start) AS start, count(*) FILTER (WHERE cite) >= ceil(count(*) * 0.6) AND (sum(len(regexp_extract_all(chr(10) || t || chr(10) || coalesce(next, '')[1:1], '\s\d{{1,3}}\.\s+[A-Z“"]'))) >= 3 OR count(*) FILTER (WHERE entry) >= 3) AS ends
+  FROM stops JOIN tails USING (doc_id) WHERE p >= start GROUP BY doc_id),
+kinds AS (SELECT f.doc_id, f.p, CASE WHEN EXISTS (SELECT 1 FROM sections s WHERE s.doc_id = f.doc_id AND s.good AND f.p BETWEEN s.a AND s.b) THEN 'references' WHEN tabular THEN 'table' WHEN ends AND f.p >= start THEN 'references' END AS kind FROM flags f LEFT JOIN ends USING (doc_id))"""
+#: What is spoken of the given texts, which hold none of the marks that are left out but numbers behind words.
+_AUTHORS = r"\s?\((?:(?:see|e\.g\.,?|cf\.|for example,?)\s+)?[A-Z][^()]{0,160}?\b(?:(?:1[6-9]\d\d|20\d\d)[a-z]?|n\.\s?d\.)(?:,?\s*(?:pp?\.\s*)?[0-9\-–, ]+)?(?:;\s*[^()]{0,160}?\b(?:(?:1[6-9]\d\d|20\d\d)[a-z]?|n\.\s?d\.)(?:,?\s*(?:pp?\.\s*)?[0-9\-–, ]+)?)*\)"
+SPOKEN = rf"""{KINDS}, {PARAS}, {SENTS}, planned AS (SELECT s.doc_id, s.pos, s.p, s.text, k.kind AS skip FROM sents s LEFT JOIN kinds k ON k.doc_id = s.doc_id AND k.p = s.p),
+bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\s?(?:https?://|www\.)\S+|\s?\bdoi:\s?\S+', '', 'g'), '{_AUTHORS}', '', 'g'), '\s?\[(?:\d{{1,3}}(?:\s*[-–,]\s*\d{{1,3}})*)\]', '', 'g'), '(?i)\s?\((?:pp?\.|page|pages)\s*[\d\-–, ]+\)', '', 'g') AS o FROM planned),
+tidy AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(o, '([a-z)\]][.,;:!?]?["”’]?)\d{{1,3}}(\s|$|[,.;:])', '\1\2', 'g'), '\s+([.,;:!?])', '\1', 'g'), '\(\s*\)', '', 'g'), '\s{{2,}}', ' ', 'g')) AS o2 FROM bare),
+spoken AS (SELECT doc_id, pos, p, CASE WHEN skip IS NULL AND regexp_matches(o2, '[A-Za-z]{{2}}') THEN o2 ELSE text END AS speak, skip FROM tidy)"""
+
+
+@query(f"WITH {KINDS} SELECT doc_id, p, kind FROM kinds")
 def paragraph_kinds(spark, sf_dir):
     return classify.paragraph_kinds(with_references(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {KINDS} SELECT doc_id, p, kind FROM kinds")
+def paragraph_kinds_rows(spark, sf_dir):
+    """The same of paragraphs that come as rows, as those of a book do that no row holds."""
+    paras = with_references(spark, sf_dir).select("doc_id", F.posexplode_outer(T.raw_paragraphs(F.col("text"))).alias("p", "raw")).where("p is not null")
+    return classify.kinds_of_rows(paras)
+
+
+@query(f"WITH {SPOKEN} SELECT doc_id, pos, p, speak, skip FROM spoken")
 def narration_plan(spark, sf_dir):
     docs = with_references(spark, sf_dir)
     return classify.narration_plan(docs)
 
 
-@query()
+@query(f"WITH {KINDS}, b AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM kinds) SELECT doc_id, p, kind FROM b WHERE kind IS NOT NULL AND kind IS DISTINCT FROM before")
 def skip_runs(spark, sf_dir):
     """Paragraphs that begin a run of passed-over ones, with the kind of the run."""
     kinds = classify.paragraph_kinds(with_references(spark, sf_dir))
@@ -124,7 +164,7 @@ def skip_runs(spark, sf_dir):
     return kinds.withColumn("before", before).where(F.col("kind").isNotNull() & ~F.col("kind").eqNullSafe(F.col("before"))).select("doc_id", "p", "kind")
 
 
-@query()
+@query(rf"WITH {SPOKEN} SELECT doc_id, sum(CASE WHEN skip IS NULL THEN len(regexp_extract_all(speak, '\S+')) ELSE 0 END)::BIGINT AS listen_words FROM spoken GROUP BY doc_id")
 def spoken_words(spark, sf_dir):
     """Words that narration speaks."""
     docs = with_references(spark, sf_dir)
@@ -145,12 +185,31 @@ def damaged(spark, sf_dir):
     return spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("text"))
 
 
-@query()
+_REPAIRED = """damaged AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, 'th', 't', 'g') ELSE text END AS text FROM documents),
+parts AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]+') AS l FROM damaged)),
+exact AS (SELECT doc_id, w, count(*) AS here FROM parts WHERE regexp_matches(w, '[A-Za-z]') GROUP BY ALL),
+own AS (SELECT doc_id, lower(w) AS word, sum(here)::BIGINT AS own FROM exact GROUP BY ALL), every AS (SELECT word, sum(own)::BIGINT AS n FROM own GROUP BY 1),
+lost(letter, k, x) AS (VALUES ('f', 0, 'i'), ('f', 1, 'l'), ('f', 2, 'f'), ('f', 3, 't'), ('f', 4, 'fi'), ('f', 5, 'fl'), ('F', 0, 'i'), ('F', 1, 'l'), ('T', 0, 'h'), ('t', 0, 'h')),
+tried AS (SELECT w, pos, k, w[:pos] || x || w[pos + 1:] AS form FROM (SELECT w, unnest(range(1, length(w) + 1)) AS pos FROM (SELECT w FROM exact UNION SELECT word FROM own)) JOIN lost ON w[pos] = letter),
+known AS (SELECT w, pos, k, form, lower(form) AS low, n FROM tried JOIN every ON every.word = lower(form)),
+first AS (SELECT o.doc_id, o.word, o.own, arg_max(c.form, (c.n - coalesce(m.own, 0), -c.pos, -c.k)) AS fix, max(c.n - coalesce(m.own, 0)) AS seen
+  FROM own o JOIN every e ON e.word = o.word AND e.n = o.own JOIN known c ON c.w = o.word LEFT JOIN own m ON m.doc_id = o.doc_id AND m.word = c.low GROUP BY ALL HAVING max(c.n - coalesce(m.own, 0)) >= 3),
+shown AS (SELECT doc_id FROM first GROUP BY 1 HAVING count(*) >= 4 AND sum(own) >= 10), fixes AS (SELECT doc_id, word, fix FROM first SEMI JOIN shown USING (doc_id)),
+second AS (SELECT x.doc_id, x.w, x.here, e.n - o.own AS seen, arg_max(c.form, (c.n - coalesce(m.own, 0), -c.pos, -c.k)) AS form, max(c.n - coalesce(m.own, 0)) AS most
+  FROM exact x SEMI JOIN shown USING (doc_id) ANTI JOIN fixes f ON f.doc_id = x.doc_id AND f.word = lower(x.w) JOIN own o ON o.doc_id = x.doc_id AND o.word = lower(x.w) JOIN every e ON e.word = lower(x.w)
+  JOIN known c ON c.w = x.w LEFT JOIN own m ON m.doc_id = x.doc_id AND m.word = c.low GROUP BY ALL),
+rare AS (SELECT s.doc_id, s.w, s.form FROM second s LEFT JOIN exact i ON i.doc_id = s.doc_id AND i.w = s.form WHERE most >= 3 AND most >= 20 * greatest(seen, 1) AND coalesce(i.here, 0) * 5 < s.here),
+done AS (SELECT p.doc_id, p.i, p.w, coalesce(r.form, CASE WHEN fix IS NULL THEN NULL WHEN p.w = upper(p.w) AND length(p.w) > 1 THEN upper(fix) WHEN p.w[1] = upper(p.w[1]) THEN upper(fix[1]) || fix[2:] ELSE fix END) AS t
+  FROM parts p SEMI JOIN shown USING (doc_id) LEFT JOIN fixes f ON f.doc_id = p.doc_id AND f.word = lower(p.w) LEFT JOIN rare r ON r.doc_id = p.doc_id AND r.w = p.w),
+repaired AS (SELECT doc_id, string_agg(coalesce(t, w), '' ORDER BY i) AS text, count(t) AS fixes FROM done GROUP BY doc_id)"""
+
+
+@query(f"WITH {_REPAIRED} SELECT doc_id, text, fixes FROM repaired")
 def repair_words(spark, sf_dir):
     return repair.repair(damaged(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_REPAIRED} SELECT coalesce(sum(fixes), 0)::BIGINT AS words, count(*) FILTER (WHERE fixes > 0) AS documents FROM repaired")
 def repair_summary(spark, sf_dir):
     return repair.repair(damaged(spark, sf_dir)).agg(F.coalesce(F.sum("fixes"), F.lit(0)).alias("words"), F.count_if(F.col("fixes") > 0).alias("documents"))
 

@@ -15,8 +15,4 @@ def con(small):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, small, con, name):
-    df = QUERIES[name](spark, small)
-    if name in SQL:
-        assert oracle.compare(df, SQL[name], con) == ""
-    else:
-        assert df.columns and df.count() >= 0
+    assert oracle.compare(QUERIES[name](spark, small), SQL[name], con) == ""
