@@ -7,11 +7,16 @@ layer of the same content at the same places was there before (so that cycles en
 empties at the fixpoint. A layer knows where each of its characters came from, so what is found in
 it is reported as a span of the original text.
 
+What stands in front of an encoded stretch, as a path, a name or a stray letter, may shift it.
+Base64 is therefore read from each of the first four characters of its stretch, and hexadecimal from each of
+the first two. Where the bytes are no text as a whole, the runs of ASCII text in them are layers, and compressed data
+begin wherever their head stands (raw deflate, which has none: at those first characters and behind ``CUTS``).
+
 Defined results: a null or empty text has no spans; texts of any length are scanned whole; rows of
 one id are scanned on their own; an empty table gives an empty one; other columns are ignored.
-Compressed stretches are unpacked to their end, all members of them, in pieces that overlap; a
-layer that is broken, is not text, or holds a longer block than ``MOST_HELD`` is counted in
-``given_up``, besides what its readable pieces hold.
+Compressed stretches are unpacked to their end, all members of them, in pieces that overlap, whatever
+their bytes are; a layer that is broken or holds a longer block than ``MOST_HELD`` is counted in
+``given_up``, besides what its readable pieces hold. What only looks like the head of compressed data is not counted.
 """
 
 from __future__ import annotations
@@ -46,10 +51,21 @@ BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64 that follow each other, and one of them.
 WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t\r]*\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
-#: Pairs of hexadecimal digits.
-HEX_BYTES = re.compile(r"(?:[0-9A-Fa-f]{2}){12,}")
+_HEX_LINE = re.compile(r"[0-9A-Fa-f]+")
+#: Hexadecimal digits of twelve bytes or more.
+HEX_RUN = re.compile(r"[0-9A-Fa-f]{24,}")
+#: Runs of text among other bytes; what often stands in front of an encoded stretch, and how many of these are tried.
+ASCII_RUN = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+CUTS, MOST_CUTS = re.compile(r"[/_-]"), 8
+#: Heads of compressed data: gzip, zlib, bzip2, xz.
+HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00")
 _SIGNED = re.compile(r"[0-9+/=_]|[a-z][A-Z]")
 
+
+class Guess(bytes):
+    """Bytes that may be deflated, which nothing but their reading tells."""
+
+
 #: Where each character of a layer begins and ends in the text.
 Places = tuple[np.ndarray, np.ndarray]
 
@@ -179,18 +195,30 @@ def as_text(data: bytes) -> str | None:
     return text if text and 20 * _odd(text) <= len(text) else None
 
 
-def _base64_bytes(stretch: str) -> bytes | None:
+def _base64_bytes(stretch: str) -> bytes:
+    """The bytes of base64 letters of either kind; a single letter left over says nothing."""
     bare = stretch.rstrip("=")
-    if len(bare) % 4 == 1 or not _SIGNED.search(stretch):
-        return None
+    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
     try:
         return base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
+        return b""
 
 
-def _hex_bytes(stretch: str) -> bytes | None:
-    return bytes.fromhex(stretch) if HEX_BYTES.fullmatch(stretch) else None
+def _hex_bytes(stretch: str) -> bytes:
+    return bytes.fromhex(stretch[: len(stretch) // 2 * 2])
+
+
+def _reads(data: bytes) -> bool:
+    """Whether bytes that have the head of compressed data give text at their beginning."""
+    opener = _opener(data)
+    if opener is None:
+        return False
+    try:
+        out = opener().decompress(data[: 1 << 16], 4096)
+    except (OSError, EOFError, zlib.error, lzma.LZMAError):
+        return False
+    return len(ASCII_RUN.findall(out)) > 0
 
 
 def _blocks(text: str) -> list[list[tuple[int, int]]]:
@@ -216,6 +244,14 @@ def _blocks(text: str) -> list[list[tuple[int, int]]]:
     return out
 
 
+def _hex_blocks(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of hexadecimal digits, and blocks of lines that hold nothing else."""
+    out = [[m.span()] for m in HEX_RUN.finditer(text)]
+    if "\n" in text:
+        out += [lines for lines in _blocks(text) if len(lines) > 1 and all(_HEX_LINE.fullmatch(text, a, b) for a, b in lines)]
+    return out
+
+
 def layers_in(text: str) -> list[tuple[str | bytes, Places]]:
     """What escapes and stretches decode to, and where its characters lie; compressed bytes lie at all of their stretch.
 
@@ -229,22 +265,48 @@ def layers_in(text: str) -> list[tuple[str | bytes, Places]]:
                     out.append((made[0], (made[1][0] + a, made[1][1] + a)))
     for lines in _blocks(text):
         written = "".join(text[a:b] for a, b in lines)
-        for data, wide, bytes_in in ((_base64_bytes(written), 4, 3), (_hex_bytes(written), 2, 1)):
-            if data is None:
-                continue
-            whole = np.array([lines[0][0]]), np.array([lines[-1][1]])
-            if packed(data):
-                out.append((data, whole))
-            elif made := as_text(data):
-                if made.isascii():
-                    at = np.concatenate([np.arange(a, b) for a, b in lines])
-                    k = np.arange(len(made))
-                    out.append((made, (at[k * wide // bytes_in], at[np.minimum(-(-(k + 1) * wide // bytes_in), len(at)) - 1] + 1)))
-                else:
-                    out.append((made, (whole[0].repeat(len(made)), whole[1].repeat(len(made)))))
+        if _SIGNED.search(written):
+            cuts = [m.end() for m, _ in zip(CUTS.finditer(written), range(MOST_CUTS))]
+            out += _decoded(written, lines, _base64_bytes, 4, 3, cuts)
+    for lines in _hex_blocks(text):
+        out += _decoded("".join(text[a:b] for a, b in lines), lines, _hex_bytes, 2, 1, [])
     return out
 
 
+def _decoded(written: str, lines: list[tuple[int, int]], read: Callable[[str], bytes], wide: int, bytes_in: int, cuts: list[int]) -> Iterator[tuple[str | bytes, Places]]:
+    """Layers of one stretch: ``wide`` letters of it stand for ``bytes_in`` bytes, from wherever it may begin."""
+    at = np.concatenate([np.arange(a, b) for a, b in lines])
+
+    def places(start: int, first: int, text: str) -> Places:
+        """Where the characters of text lie whose bytes begin with the stretch's ``first``."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        sizes = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        ends = first + np.cumsum(sizes)
+        return at[start + (ends - sizes) * wide // bytes_in], at[np.minimum(start - (-ends * wide // bytes_in), len(at)) - 1] + 1
+
+    heads: set[int] = set()
+    for start in range(min(wide, len(written))):
+        data = read(written[start:])
+        if start == 0 and packed(data):
+            yield data, (at[:1], at[-1:] + 1)
+            continue
+        if made := as_text(data):
+            yield made, places(start, 0, made)
+            continue
+        for m in ASCII_RUN.finditer(data):
+            yield (run := m.group().decode()), places(start, m.start(), run)
+        for m in HEADS.finditer(data):
+            where = start + m.start() * wide // bytes_in
+            if where not in heads and _reads(data[m.start() :]):
+                heads.add(where)
+                yield data[m.start() :], (at[where : where + 1], at[-1:] + 1)
+        if start and _bare_deflate(data):
+            yield Guess(data), (at[start : start + 1], at[-1:] + 1)
+    for cut in cuts:
+        if len(written) - cut >= 16 and cut >= wide and _bare_deflate(data := read(written[cut:])):
+            yield Guess(data), (at[cut : cut + 1], at[-1:] + 1)
+
+
 def _unended(text: str) -> int:
     """Where the last stretch begins, or the block of base64 lines that it ends."""
     at = len(text)
@@ -261,16 +323,12 @@ def _unended(text: str) -> int:
 
 def _pieces(data: bytes) -> Iterator[str | None]:
     """Texts that cover what is compressed in ``data``, each with the end of the one before; None for what can't be read."""
-    read, held, odd, length = codecs.getincrementaldecoder("utf-8")(), "", 0, 0
+    # bytes that are not UTF-8 stand for themselves, as the patterns hold ASCII only
+    read, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
     try:
         for chunk in unpack(data):
-            new = read.decode(chunk)
-            odd, length = odd + _odd(new), length + len(new)
-            held += new
+            held += read.decode(chunk)
             if len(held) >= CHUNK:
-                if 20 * odd > length:
-                    yield None
-                    return
                 yield held
                 # a stretch or block that is not ended goes on in the next piece
                 tail = _unended(held)
@@ -279,12 +337,10 @@ def _pieces(data: bytes) -> Iterator[str | None]:
                     tail = len(held)
                 held = held[max(0, min(tail, len(held) - OVERLAP)) :]
         held += read.decode(b"", True)
-    except (zlib.error, UnicodeDecodeError):
+    except zlib.error:
         yield None
-    if held and 20 * odd <= length:
+    if held:
         yield held
-    elif held:
-        yield None
 
 
 def read_all(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
@@ -308,7 +364,7 @@ def read_all(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[i
                 for s, kind, e in scan(piece):
                     _tell(every, base, int(spread[0][s]), kind, int(spread[1][e - 1]))
                 work.extend(_unseen(layers_in(piece), spread, seen))
-            given_up += found
+            given_up += found and not isinstance(layer, Guess)
             continue
         if places is not None:
             for s, kind, e in scan(layer):

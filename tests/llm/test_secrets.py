@@ -94,3 +94,58 @@ def test_every_way_of_packing():
             added = [x for x in every if x not in base and x[1] == 0]
             for at in (4, 4 + len(written) + 5):
                 assert any(at <= s < e <= at + len(written) for s, _, e in added), (data[:4], written[:20], at)
+
+
+def test_what_stands_in_front():
+    """Paths, names, stray letters and 0x before encoded and compressed stretches shift them, but hide nothing; spans lie on the stretch."""
+    import bz2
+    import lzma
+    import zlib
+
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    plain = f"some notes before {SECRET} and after".encode()
+    ways = [plain, gzip.compress(plain), zlib.compress(plain), bz2.compress(plain), lzma.compress(plain), raw.compress(plain) + raw.flush()]
+    for data in ways:
+        for lead in ("", "x/", "key-", "id_", "data-", "https://h.example/", "https://h/a/", "q", "ab", "abc", "a1/b2/"):
+            written = base64.b64encode(data).decode()
+            text = f"see {lead}{written} end"
+            at = text.index(written)
+            assert any(k == 0 and at <= a and b <= at + len(written) for a, k, b in found(text)[0]), (data[:4], lead)
+        for lead in ("0x", "a", "F", "id_a", "", "/0x"):
+            for written in (data.hex(), data.hex().upper()):
+                text = f"see {lead}{written} end"
+                at = text.index(written)
+                assert any(k == 0 and at <= a and b <= at + len(written) for a, k, b in found(text)[0]), (data[:4], lead)
+    for text in ("plain/words/of-a-path_that/hides-nothing/at_all/in-it", "ordinaryletterswithoutanyend" * 40, "0x" + "00" * 400):
+        assert [x for x in found(text)[0] if x[1] != 2] == [] and found(text)[1] == 0
+
+
+def test_bytes_that_are_not_text():
+    """Latin-1, and archives with runs of zeros, are scanned as they are."""
+    for data in (f"clé {SECRET} été".encode("latin-1"), b"\x00" * 5000 + SECRET.encode() + b"\x00" * 5000):
+        stretch = base64.b64encode(gzip.compress(data)).decode()
+        assert found(f"a {stretch} b") == ([(2, 0, 2 + len(stretch))], 0)
+
+
+def test_added_spans_by_brute_force():
+    """Random texts of plain and encoded secrets: an added span for each encoded one, on its stretch, and none anywhere else."""
+    r = random.Random(12)
+    words = "the sea was calm and ship went on along its shore until dusk".split()
+    encoders = [
+        lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="), lambda s: s.encode().hex(), lambda s: "".join(f"%{b:02X}" for b in s.encode()),
+        lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), lambda s: base64.b64encode(s.encode().hex().encode()).decode(),
+    ]
+    for _ in range(150):
+        text, want = "", []
+        for _ in range(r.randrange(1, 8)):
+            text += " ".join(r.choices(words, k=r.randrange(1, 9))) + " "
+            if r.random() < 0.7:
+                secret = f"{r.choice(('password', 'api_key', 'token'))}={''.join(r.choices('ghjkmnpqrstuvwyz', k=r.randrange(8, 20)))}"
+                hidden = f"{r.choice(('note ', ''))}{secret} ok"
+                made = r.choice(encoders)(hidden)
+                want.append((len(text), len(text) + len(made)))
+                # a line break alone would make the next word a line of the same block
+                text += made + r.choice((" ", ", ", ".\n"))
+        added = [x for x in found(text)[0] if x[1] == 0]
+        assert all(any(a <= s and e <= b for s, _, e in added) for a, b in want), text
+        assert all(any(a <= s and e <= b for a, b in want) for s, _, e in added), text
