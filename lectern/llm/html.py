@@ -14,7 +14,8 @@ body. Runs of text are tokens as wholes, not word by word, since words at one pl
 may be equal by chance and belong to the article all the same.
 
 Parts that their element or class tells to be menus, headers, footers, adverts and the like are left out
-wherever they stand.
+wherever they stand. So are forms, but for one that wraps the page, as some servers write it: a form that holds an article
+or a first heading, or half of the page's text in paragraphs.
 
 Defined results: a null or empty page has an empty text; pages of any length and depth are read whole; a
 null or odd url counts as one host; rows of one id are pages of their own; an empty table gives an
@@ -41,19 +42,20 @@ BROADCAST_ROWS = 20_000
 LEAST_PAGES = 3
 
 # Elements of HTML by their part in the page.
-CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody thead tr td th figure details fieldset center".split())
+CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody thead tr td th figure details fieldset center dialog menu search".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre hr figcaption address summary caption".split())
 SKIPPED = frozenset("script style noscript template textarea title svg canvas iframe object select option button".split())
-EXCLUDED = frozenset("nav header footer aside form dialog menu".split())
+EXCLUDED = frozenset("nav header footer aside form dialog menu search".split())
+PARAGRAPHS = frozenset("p li dd blockquote pre".split())
 NEVER_EXCLUDED = frozenset("html body main article".split())
 INLINE = frozenset("a abbr b big cite code em font i ins label mark q small span strong sub sup u".split())
 #: Parts of a class or id that mark what is not the article, and parts that say nothing beside them.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs "
     "sidebar widget footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
-    "comment comments disqus respond replies share sharing skip social related recommended pagination pager toolbar copyright legal".split()
+    "comment comments disqus respond replies share sharing skip social related recommended pagination pager toolbar copyright legal dialog search searchbox".split()
 )
-BESIDE = frozenset("box block wrap wrapper container inner outer top bottom left right area list item items bar section links slot unit site page global main primary secondary".split())
+BESIDE = frozenset("box block wrap wrapper container inner outer top bottom left right area list item items bar section links slot unit site page global main primary secondary table row rows col cols column columns cell grid panel pane card body content text strip tile frame holder group bar form field message".split())
 
 #: A tag whose quotes are closed; no part of it can be read in two ways.
 TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
@@ -88,8 +90,32 @@ class Page:
 
     def __init__(self, page: str):
         self.paths, self.parents, self.out, self.articles = [0], [-1], [False], [False]
+        #: The innermost form that each container is in; any form around it excludes it unless that wraps the page.
+        self.forms = [-1]
         self.blocks: list[tuple[int, str, str]] = []
         self._read(page)
+        if max(self.forms) >= 0:
+            self._judge_forms()
+
+    def _judge_forms(self) -> None:
+        within = {-1: frozenset()}  # each form with the forms around it
+        for k, form in enumerate(self.forms):
+            if form not in within:  # a form is the first container in itself
+                within[form] = within[self.forms[self.parents[k]]] | {form}
+        held: dict[int, int] = {}
+        wraps = {form for k, article in enumerate(self.articles) if article and not self.articles[self.parents[k]] for form in within[self.forms[k]]}
+        total = 0
+        for n, block, text in self.blocks:
+            if self.out[n]:
+                continue
+            total += len(text)
+            for form in within[self.forms[n]]:
+                if block == "h1":
+                    wraps.add(form)
+                if block in PARAGRAPHS:
+                    held[form] = held.get(form, 0) + len(text)
+        wraps |= {form for form, size in held.items() if 2 * size >= total}
+        self.out = [out or not within[form] <= wraps for out, form in zip(self.out, self.forms, strict=True)]
 
     def _read(self, page: str) -> None:
         stack: list[tuple[str, int]] = [("", 0)]
@@ -184,6 +210,10 @@ class Page:
                 above = stack[-1][1]
                 # a header of the article belongs to it, the page's own does not
                 out = out and not (self.articles[above] and tag == "header" and name == tag)
+                form = self.forms[above]
+                if tag == "form" and not _named("div", attributes)[1]:
+                    out, form = False, len(self.paths)
+                self.forms.append(form)
                 self.paths.append(below(self.paths[above], name))
                 self.parents.append(above)
                 self.out.append(self.out[above] or out)
