@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_text
 from lectern.operators.course import natural_key, resolve_path
+from lectern.sources import archives
 
 DOCUMENTS = r"(?i)\.(pdf|docx|html?|xhtml|txt|md)$"
 # Elements of which nothing is read, and those that start a paragraph of their own.
@@ -29,41 +27,13 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace(F.try_url_decode("name"), r"\.[^.]+$", "").alias("title"), clean_text(F.col("value")).alias("text"))
 
 
-def package_entries(packages: DataFrame, depth: int = 3) -> DataFrame:
-    """``path, entry, data, error``: the files of each package, those of packages inside it too.
+def package_entries(packages: DataFrame) -> DataFrame:
+    """``path, entry, data, error``: the files of each package, those of packages inside it too, to any depth.
 
-    ``packages`` has ``path`` and ``content`` as the binary file source gives them. A bad package or
-    entry gives a row with its error and fails nothing.
+    ``packages`` has ``path`` and ``content`` as the binary file source gives them; a package that no row holds comes in
+    parts, to ``archives.expand``. A bad package or entry gives a row with its error and fails nothing.
     """
-
-    def entries(name: str, data: bytes, left: int) -> Iterator[tuple[str, bytes | None, str | None]]:
-        try:
-            archive = zipfile.ZipFile(io.BytesIO(data))
-        except (zipfile.BadZipFile, OSError) as e:
-            yield name, None, str(e)
-            return
-        for info in archive.infolist():
-            parts = info.filename.split("/")
-            if info.is_dir() or any(p.startswith(".") for p in parts) or "__MACOSX" in parts:
-                continue
-            inner = f"{name}{info.filename}"
-            try:
-                body = archive.read(info)
-            except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError) as e:
-                yield inner, None, str(e)
-                continue
-            if left and info.filename.lower().endswith(".zip"):
-                yield from entries(inner + "/", body, left - 1)
-            else:
-                yield inner, body, None
-
-    def expand(batches):
-        for part in batches:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                for name, data, error in entries("", bytes(content), depth):
-                    yield pd.DataFrame({"path": [path], "entry": [name], "data": [data], "error": [error]})
-
-    return packages.select("path", "content").mapInPandas(expand, "path string, entry string, data binary, error string")
+    return archives.expand(archives.package_parts(packages.select("path", "content")))
 
 
 def documents_of(entries: DataFrame) -> DataFrame:
