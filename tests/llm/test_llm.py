@@ -197,6 +197,28 @@ def test_op3_cases(spark):
     assert (row["n_prompt_turns"], row["rejected"]) == (1, "")
 
 
+@pytest.mark.parametrize("many", [0, 1, 2, 3, 6, 7])
+def test_op3_answers_of_others(spark, many):
+    """Each conversation with an answer is chosen once, against the next one's answer; turns after it, ties and equal answers."""
+    rows = []
+    for k in range(many):
+        c = 10 * k + 1
+        rows += [(c, 0, "user", f"q{k // 2}", "x"), (c, 1, "assistant", f"first {k}", "x"), (c, 2, "user", None, "x"), (c, 3, "assistant", "same" if k < 2 else f"last {k}", "x"), (c, 4, "user", "bye", "x")]
+    rows += [(5, 0, "user", "no answer", "x"), (None, 0, "assistant", "nobody", "x"), (6, 0, None, None, "x")]
+    got = {r["pair_id"]: r for r in chat.format_turns(chat.with_answers_of_others(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, rank string"))).collect()}
+    assert set(got) == ({10 * k + 1 for k in range(many)} if many > 1 else set())
+    for k in range(many if many > 1 else 0):
+        r = got[10 * k + 1]
+        if many % 2 and k >= many - 3:
+            other = k + 1 if k < many - 1 else many - 3
+        else:
+            other = k ^ 1
+        same = {k, other} == {0, 1}
+        assert r["n_prompt_turns"] == (4 if same else 3) and r["prompt"].startswith(f"<|user|>\nq{k // 2}<|end|>\n<|assistant|>\nfirst {k}<|end|>\n<|user|>\n<|end|>\n")
+        assert r["chosen"] == ("" if same else f"<|assistant|>\n{'same' if k < 2 else f'last {k}'}<|end|>\n")
+        assert r["rejected"] == ("" if same else f"<|assistant|>\n{'same' if other < 2 else f'last {other}'}<|end|>\n")
+
+
 def brute_fingerprint(text):
     import xxhash
 
