@@ -42,7 +42,7 @@ def links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     rows = rows.withColumn("path", F.coalesce(F.try_url_decode(local), local)).where(F.col("path").isNotNull() | F.col("raw").rlike("(?i)^https?:"))
     rows = rows.withColumn("key", F.coalesce("path", F.substring_index("raw", "?", 1)))
     first = rows.groupBy(id_col, "key").agg(F.min("at").alias("at"))
-    rows = rows.join(first, [id_col, "key", "at"], "left_semi")
+    rows = rows.join(first.hint("merge"), [id_col, "key", "at"], "left_semi")
     kind = F.when(F.col("path").isNotNull(), "file").when(F.col("frame"), "video").otherwise("link")
     order = Window.partitionBy(id_col).orderBy("at")
     rows = rows.withColumn("kind", kind).withColumn("k", F.row_number().over(order) - 1).withColumn("videos", F.sum((F.col("kind") == "video").cast("int")).over(order))
@@ -103,7 +103,7 @@ def match_assignments(pages: DataFrame, titles: DataFrame, page: str = "page_id"
     wants = titles.select(page, "title", title_words(F.col("title")).alias("want"))
     a = wants.select(page, "title", F.size("want").alias("nw"), F.explode("want").alias("word"))
     b = lines.select(page, "line", "instruction", F.size("have").alias("nh"), F.explode("have").alias("word"))
-    shared = a.join(b, [page, "word"]).groupBy(page, "title", "line", "instruction", "nw", "nh").agg(F.count("*").alias("shared"))
+    shared = a.join(b.hint("merge"), [page, "word"]).groupBy(page, "title", "line", "instruction", "nw", "nh").agg(F.count("*").alias("shared"))
     scored = shared.withColumn("score", F.col("shared") / F.least("nw", "nh")).where(F.col("score") >= LEAST_OVERLAP)
     return scored.groupBy(page, "title").agg(F.min_by("instruction", F.struct(-F.col("score"), F.col("line"))).alias("instruction"))
 
@@ -175,3 +175,13 @@ def text_runs_to_lines(runs: DataFrame) -> DataFrame:
     rows = rows.withColumn("para", F.sum("gap").over(by)).withColumn("line", F.sum(F.greatest("gap", "ended")).over(by))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "str"))), lambda r: r["str"]), "")
     return rows.groupBy("doc", "page", "para", "line").agg(text.alias("text"))
+
+
+# Fixed value: what tells the cover sheet that an archive puts in front of an article.
+COVER = "(?i)JSTOR is a not-for-profit service"
+
+
+def without_cover(lines: DataFrame) -> DataFrame:
+    """Lines ``doc, page, line, text`` without a first page that is a cover sheet."""
+    cover = lines.where((F.col("page") == 1) & F.col("text").rlike(COVER)).select("doc", "page").distinct()
+    return lines.join(cover.hint("merge"), ["doc", "page"], "left_anti")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.order import numbered
+
 
 def upsert(base: DataFrame, delta: DataFrame, key: str, version: str) -> DataFrame:
     """One row for each key, the one of the highest version; of equals that of ``delta``."""
@@ -39,8 +41,8 @@ def import_new(base: DataFrame, batch: DataFrame, order: str) -> DataFrame:
 def assign_order(base: DataFrame, new: DataFrame, order: str) -> DataFrame:
     """``new`` with ``ord`` that goes on after the highest of its course."""
     highest = base.groupBy("course").agg(F.max("ord").alias("_max"))
-    n = F.row_number().over(Window.partitionBy("course").orderBy(order))
-    return new.withColumn("_n", n).join(highest, "course", "left").withColumn("ord", F.coalesce("_max", F.lit(0)) + F.col("_n")).drop("_max", "_n")
+    rows = numbered(new, ["course"], [F.col(order)], "_n")
+    return rows.join(highest.hint("merge"), "course", "left").withColumn("ord", F.coalesce("_max", F.lit(0)) + F.col("_n")).drop("_max", "_n")
 
 
 def merge_progress(stored: DataFrame, live: DataFrame, key: str) -> DataFrame:

@@ -33,7 +33,7 @@ def running_lines(pages: DataFrame) -> DataFrame:
     counted = lines.groupBy("doc", "key").agg(F.count_distinct("page").alias("pages"))
     sizes = pages.groupBy("doc").agg(F.count_distinct("page").alias("n"))
     enough = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") * PAGE_SHARE))
-    return counted.where(F.col("pages") >= LEAST_PAGES).join(sizes, "doc").where(F.col("pages") >= enough).select("doc", "key", "pages")
+    return counted.where(F.col("pages") >= LEAST_PAGES).join(sizes.hint("merge"), "doc").where(F.col("pages") >= enough).select("doc", "key", "pages")
 
 
 def strip_running_lines(pages: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def strip_running_lines(pages: DataFrame) -> DataFrame:
     alone = t.rlike(PAGE_NUMBER) | t.rlike(STAMP)
     seen = running_lines(pages).select("doc", "key", F.lit(True).alias("runs"))
     noise = F.col("edge") & (t != "") & (alone | ((F.length(t) < LONGEST_RUNNING) & F.coalesce("runs", F.lit(False))))
-    return lines.join(seen, ["doc", "key"], "left").where(~noise).select("doc", "page", "line", "text")
+    return lines.join(seen.hint("merge"), ["doc", "key"], "left").where(~noise).select("doc", "page", "line", "text")
 
 
 def infer_page_numbers(detected: DataFrame) -> DataFrame:

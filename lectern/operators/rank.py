@@ -35,8 +35,8 @@ def passage_terms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scope = F.col(scope_col) if scope_col else F.lit(None).cast("string")
     scopes = df.select(F.col(id_col).alias("_of"), scope.alias("scope"))
-    cut = settle(segment.sentence_arrays(df, id_col, text_col).withColumn("terms", F.transform("sents", lambda s: T.tokens(s["text"]))))
-    found = segment.windows(cut, id_col).select(id_col, "sents", "terms", F.explode_outer("spans").alias("w")).where("w is not null")
+    cut = settle(segment.windows(segment.sentence_arrays(df, id_col, text_col), id_col).withColumn("terms", F.transform("sents", lambda s: T.tokens(s["text"]))))
+    found = cut.select(id_col, "sents", "terms", F.explode_outer("spans").alias("w")).where("w is not null")
     part = lambda c: F.slice(c, F.col("w.start") + 1, F.col("w.end") - F.col("w.start") + 1)
     text = F.array_join(F.transform(part("sents"), lambda s: s["text"]), " ")
     rows = settle(found.select(id_col, F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.flatten(part("terms")).alias("tokens"), text.alias("text")))

@@ -10,6 +10,8 @@ from lectern.shared import settle
 
 #: Rows of a table derived from a batch of queries up to which it is sent to every executor; a larger one is joined by sorting.
 BROADCAST_ROWS = 200_000
+#: Characters of a word up to which it is looked at in one row.
+LONG_WORD = 256
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -40,12 +42,17 @@ def containing(texts: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
 
     def stretches(n: int) -> Column:
         """A word's substrings of ``n`` characters."""
-        found = F.transform(F.sequence(F.lit(1), F.length("word") - (n - 1)), lambda i: F.substring("word", i, F.lit(n)))
-        return F.when(F.length("word") >= n, found).otherwise(F.array().cast("array<string>"))
-
+        found = F.transform(F.sequence(F.lit(1), F.length("piece") - (n - 1)), lambda i: F.substring("piece", i, F.lit(n)))
+        return F.when(F.length("piece") >= n, found).otherwise(F.array().cast("array<string>"))
+
+    # a long word is cut into overlapping ones first, so that no row grows with it
+    longest = max(lengths)
+    width = max(LONG_WORD, 2 * longest)
+    starts = F.sequence(F.lit(0), F.greatest(F.length("word") - longest, F.lit(0)), F.lit(width - longest + 1))
+    vocabulary = vocabulary.select("word", "n", F.explode(F.transform(starts, lambda k: F.substring("word", k + 1, F.lit(width)))).alias("piece"))
     cut = F.array_distinct(F.flatten(F.array(*map(stretches, sorted(lengths)))))
     parts = settle(wanted.select("part").distinct())
-    holds = settle(vocabulary.select("word", "n", F.explode(cut).alias("part")).join(sized(parts), "part", "left_semi"))
+    holds = settle(vocabulary.select("word", "n", F.explode(cut).alias("part")).join(sized(parts), "part", "left_semi").distinct())
     # a word that no text has leaves its query without any text
     weight = wanted.join(sized(settle(holds.groupBy("part").agg(F.sum("n").alias("n")))), "part", "left")
     rarest = weight.groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r")).select("qid", "r.part")

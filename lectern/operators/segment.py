@@ -6,8 +6,15 @@ infer a filter on the array's size and push it to the scan, with all that makes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lectern.functions import text as T
 
@@ -28,47 +35,36 @@ def sentence_context(sents: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def sentence_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df``'s ``id_col``, ``sents`` (array of (p, text)) and ``before``: words before each sentence, and in all."""
-    rows = df.select(id_col, T.sentences(F.col(text_col)).alias("sents"))
-    counts = F.transform("sents", lambda s: F.size(F.split(s["text"], r"\s+")))
-    # running sums of a whole document in one text of numbers, whose growth costs a copy of bytes and no objects
-    state = F.struct(F.lit(0).alias("sum"), F.lit("0").alias("told"))
-    told = F.aggregate(counts, state, lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.concat(a["told"], F.lit(","), (a["sum"] + n).cast("string")).alias("told")))["told"]
-    return rows.select(id_col, "sents", F.split(told, ",").cast("array<int>").alias("before"))
 
+    @F.pandas_udf("array<int>")
+    def running(counts: pd.Series) -> pd.Series:
+        return counts.map(lambda c: np.concatenate([[0], np.cumsum(c)]).astype(np.int32) if c is not None else None)
 
-def windows(rows: DataFrame, id_col: str = "doc_id", words: int = WINDOW_WORDS) -> DataFrame:
-    """``rows`` of ``sentence_arrays`` with ``spans``: arrays of (start, end), the passages of each document.
-
-    One walk over the sentences finds them: a passage's end is where the sum passes its goal, and the
-    next one starts half way back, so a sentence is looked at about twice.
-    """
-    n = F.size("before") - 1
-    # for each sentence the first one up to which there are enough words, by a binary search over the sums
-    steps = F.sequence(F.lit(0), F.lit(30))
+    rows = df.select(id_col, T.sentences(F.col(text_col)).alias("sents"))
+    # only the numbers go to Python, where a sum over a document of any length takes one pass
+    return rows.select(id_col, "sents", running(F.transform("sents", lambda s: F.size(F.split(s["text"], r"\s+")))).alias("before"))
 
-    def end_of(i: Column) -> Column:
-        goal = F.get("before", i) + words
-        start = F.struct(i.alias("lo"), (n - 1).alias("hi"))
 
-        def halve(a: Column, _: Column) -> Column:
-            mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
-            return F.when(a["lo"] >= a["hi"], a).when(F.get("before", mid + 1) >= goal, F.struct(a["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), a["hi"].alias("hi")))
+def spans_of(before: np.ndarray, words: int = WINDOW_WORDS) -> list[dict[str, int]]:
+    """The passages of a document by the words before each sentence: each ends where it has enough words, and the next begins half way back."""
+    out, i, n = [], 0, len(before) - 1
+    while i < n:
+        end = min(n - 1, int(np.searchsorted(before[1:], before[i] + words)))
+        out.append({"start": i, "end": end})
+        if end == n - 1:
+            break
+        i = max(i + 1, (i + end + 1) // 2)
+    return out
 
-        return F.aggregate(steps, start, halve)["lo"]
 
-    none = F.array().cast("array<int>")
-    rows = rows.withColumn("ends", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), end_of)).otherwise(none))
-    state = F.struct(F.lit(0).alias("next"), F.lit("").alias("told"))
+def windows(rows: DataFrame, id_col: str = "doc_id", words: int = WINDOW_WORDS) -> DataFrame:
+    """``rows`` of ``sentence_arrays`` with ``spans``: arrays of (start, end), the passages of each document."""
 
-    def step(a: Column, end: Column, i: Column) -> Column:
-        onward = F.when(end >= n - 1, F.lit(1 << 30)).otherwise(F.greatest(i + 1, F.floor((i + end + 1) / 2).cast("int")))
-        return F.when(a["next"] != i, a).otherwise(F.struct(onward.alias("next"), F.concat(a["told"], F.lit(","), i.cast("string"), F.lit(":"), end.cast("string")).alias("told")))
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def spans(before: pd.Series) -> pd.Series:
+        return before.map(lambda b: spans_of(np.asarray(b), words) if b is not None else None)
 
-    indexed = F.transform("ends", lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    told = F.aggregate(indexed, state, lambda a, x: step(a, x["e"], x["i"]))["told"]
-    listed = F.filter(F.split(told, ","), lambda t: t != "")
-    spans = F.transform(listed, lambda t: F.struct(F.split(t, ":")[0].cast("int").alias("start"), F.split(t, ":")[1].cast("int").alias("end")))
-    return rows.withColumn("spans", spans).drop("ends")
+    return rows.withColumn("spans", spans("before"))
 
 
 def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WINDOW_WORDS) -> DataFrame:
@@ -76,5 +72,16 @@ def passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     One document's windows come from its own sentence counts, so nothing is shuffled.
     """
-    rows = windows(sentence_arrays(df, id_col, text_col), id_col, words)
-    return rows.select(id_col, F.explode_outer("spans").alias("w")).where("w is not null").select(id_col, "w.start", "w.end")
+    counts = F.transform(T.sentences(F.col(text_col)), lambda s: F.size(F.split(s["text"], r"\s+")))
+    rows = df.select(F.col(id_col).alias("id"), counts.alias("counts"))
+    schema = StructType([rows.schema["id"], StructField("start", IntegerType()), StructField("end", IntegerType())])
+    arrow = to_arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [spans_of(np.concatenate([[0], np.cumsum(np.asarray(c or [], np.int64))]), words) for c in batch.column(1).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+            ends = [pa.array([w[k] for x in found for w in x], pa.int32()) for k in ("start", "end")]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *ends], schema=arrow)
+
+    return rows.mapInArrow(cut, schema).withColumnRenamed("id", id_col)

@@ -101,7 +101,7 @@ def due_label(due: Column, as_of: Column) -> tuple[Column, Column]:
 
 def quotes(notes: DataFrame, sents: DataFrame, doc: str = "doc_id") -> DataFrame:
     """``note_id``, ``quote``: the sentences of each note's range, with its paragraph breaks kept."""
-    rows = notes.select("note_id", doc, "start", "end").join(sents.select(doc, "pos", "p", "text"), doc).where("pos between start and end")
+    rows = notes.select("note_id", doc, "start", "end").join(sents.select(doc, "pos", "p", "text").hint("merge"), doc).where("pos between start and end")
     before = F.lag("p").over(Window.partitionBy("note_id").orderBy("pos"))
     part = F.when(before.isNull(), F.col("text")).when(before == F.col("p"), F.concat(F.lit(" "), F.col("text"))).otherwise(F.concat(F.lit("\n\n"), F.col("text")))
     rows = rows.select("note_id", "pos", part.alias("part"))

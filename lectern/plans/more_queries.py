@@ -56,7 +56,7 @@ def unassigned_paragraphs(spark, sf_dir):
     skip = pages.unassigned_pages(P._numbers(spark, sf_dir), P._ranges(spark, sf_dir))
     paras = readings(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(T.paragraphs(F.col("text"))).alias("p", "t")).select("doc", "p")
     starts = paras.where("p % 3 = 0").select("doc", F.col("p").alias("start"), F.floor(F.col("p") / 3).cast("int").alias("page"))
-    return pages.paragraph_pages(paras, starts).join(skip, ["doc", "page"]).where("skip").select("doc", F.col("p").cast("long").alias("p"))
+    return pages.paragraph_pages(paras, starts).join(skip.hint("merge"), ["doc", "page"]).where("skip").select("doc", F.col("p").cast("long").alias("p"))
 
 
 @query(f"WITH {L._OUT} SELECT outcome, course, count(*) AS n FROM oc WHERE outcome = 'updated' GROUP BY ALL")

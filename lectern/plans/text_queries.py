@@ -79,16 +79,20 @@ def progress_summary(spark, sf_dir):
 def next_unfinished(spark, sf_dir):
     """The next unfinished reading of the course in play order, the id order here.
 
-    A course may be most of the library, so its readings are first cut into ranges of the order:
-    the window runs inside a range, and a small table tells where the later ranges start.
+    A course may be most of the library, so its readings are first cut into ranges of the order, and these into
+    wider ones: each window runs inside one of them, and small tables tell where the later ones start.
     """
-    rows = readings(spark, sf_dir).select("doc_id", "course", "ord", "completed", F.floor(F.col("ord") / 256).alias("part"))
-    inside = Window.partitionBy("course", "part").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    cut = lambda n: F.floor(F.col("ord") / n)
+    rows = readings(spark, sf_dir).select("doc_id", "course", "ord", "completed", cut(1 << 8).alias("part"), cut(1 << 16).alias("wide"))
+    onward = lambda by, *keys: Window.partitionBy(*keys).orderBy(by).rowsBetween(1, Window.unboundedFollowing)
     open_id = F.when(~F.col("completed"), F.col("doc_id"))
-    firsts = rows.groupBy("course", "part").agg(F.min(open_id).alias("first"))
-    later = firsts.withColumn("later", F.min("first").over(Window.partitionBy("course").orderBy("part").rowsBetween(1, Window.unboundedFollowing)))
-    near = rows.withColumn("near", F.min(open_id).over(inside))
-    return near.join(later, ["course", "part"]).select("doc_id", F.coalesce("near", "later").alias("next_id"))
+    near = rows.withColumn("near", F.min(open_id).over(onward("ord", "course", "part")))
+    firsts = rows.groupBy("course", "wide", "part").agg(F.min(open_id).alias("first"))
+    later = firsts.withColumn("later", F.min("first").over(onward("part", "course", "wide"))).drop("first")
+    # one row for each 65,536 readings of a course
+    last = firsts.groupBy("course", "wide").agg(F.min("first").alias("first")).withColumn("last", F.min("first").over(onward("wide", "course"))).drop("first")
+    told = near.join(later.hint("merge"), ["course", "wide", "part"]).join(last.hint("merge"), ["course", "wide"])
+    return told.select("doc_id", F.coalesce("near", "later", "last").alias("next_id"))
 
 
 @query(f"WITH {READINGS}, t AS (SELECT doc_id, unnest({tokens_sql('text')}) AS term FROM readings) SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2")

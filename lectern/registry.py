@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import base, ledger_queries, more_queries, order_queries, package_queries, page_queries, reader_queries, study_queries, text_queries  # noqa: F401
+from lectern.plans import base, ledger_queries, more_queries, order_queries, package_queries, page_queries, reader_queries, report_queries, study_queries, text_queries  # noqa: F401
 
 FLAGSHIP = "search_hits"
 

@@ -115,12 +115,12 @@ def epub_chapters(entries: DataFrame, least_chars: int = 400) -> DataFrame:
     files = entries.where("error is null").select("path", "entry", "data")
     text = F.decode("data", "UTF-8")
     container = files.where("entry = 'META-INF/container.xml'").select("path", F.regexp_extract(text, r'<rootfile\b[^>]*\bfull-path\s*=\s*"([^"]+)"', 1).alias("entry"))
-    package = files.join(container, ["path", "entry"]).select("path", F.when(F.contains("entry", F.lit("/")), F.regexp_replace("entry", "/[^/]*$", "")).otherwise("").alias("base"), text.alias("opf"))
+    package = files.join(container.hint("merge"), ["path", "entry"]).select("path", F.when(F.contains("entry", F.lit("/")), F.regexp_replace("entry", "/[^/]*$", "")).otherwise("").alias("base"), text.alias("opf"))
     attr = lambda c, name: F.regexp_extract(c, rf'\b{name}\s*=\s*"([^"]*)"', 1)
     manifest = package.select("path", "base", F.explode(F.regexp_extract_all("opf", F.lit(r"(<item\b[^>]*>)"), F.lit(1))).alias("t"))
     manifest = manifest.select("path", attr("t", "id").alias("id"), resolve_path(F.col("base"), F.substring_index(attr("t", "href"), "#", 1)).alias("entry"))
     spine = package.select("path", F.posexplode(F.regexp_extract_all("opf", F.lit(r"(<itemref\b[^>]*>)"), F.lit(1))).alias("pos", "t")).select("path", "pos", attr("t", "idref").alias("id"))
-    chapters = spine.join(manifest, ["path", "id"]).join(files, ["path", "entry"]).select("path", "pos", text.alias("html"))
+    chapters = spine.join(manifest.hint("merge"), ["path", "id"]).join(files.hint("merge"), ["path", "entry"]).select("path", "pos", text.alias("html"))
 
     @F.pandas_udf("struct<title string, text string, heading string>")
     def read(html: pd.Series) -> pd.DataFrame:

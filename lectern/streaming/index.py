@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -57,7 +57,7 @@ class PostingIndex:
         self.docs.apply(after, generation, lambda old, new: replacing(["doc_id"])(old, new).where("hash is not null"))
         return generation
 
-    def part_of(self, term: F.Column) -> F.Column:
+    def part_of(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.parts)).cast("int")
 
     def postings(self, parts: list[int] | None = None) -> DataFrame:

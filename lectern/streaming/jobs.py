@@ -127,7 +127,7 @@ def refresh_index(index: DataFrame, docs: DataFrame, build: Callable[[DataFrame]
     """
     now = docs.select(id_col, F.xxhash64(text_col).alias("hash"), text_col)
     known = index.select(id_col, "hash").distinct()
-    kept = index.join(now.select(id_col, "hash"), [id_col, "hash"], "left_semi")
-    changed = now.join(known, [id_col, "hash"], "left_anti")
-    built = build(changed.select(id_col, text_col)).join(changed.select(id_col, "hash"), id_col)
+    kept = index.join(now.select(id_col, "hash").hint("merge"), [id_col, "hash"], "left_semi")
+    changed = now.join(known.hint("merge"), [id_col, "hash"], "left_anti")
+    built = build(changed.select(id_col, text_col)).join(changed.select(id_col, "hash").hint("merge"), id_col)
     return settle(kept.unionByName(built.select(kept.columns)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,7 +50,7 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._read(self.newest().items())
 
-    def part_of(self) -> F.Column:
+    def part_of(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
 
     def apply(self, batch: DataFrame, number: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
