@@ -54,4 +54,25 @@ def test_pipeline(spark, small):
 
 
 def test_stages_are_named():
-    assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash", "decontamination", "pii", "pieces"] and cp.ORACLE_SQL is None
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "near copies", "decontamination", "pii", "pieces"] and cp.ORACLE_SQL is None
+
+
+def write(spark, path, docs, labels=(), items=()):
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, id string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, repeated rows and ids, empty and long texts, clashing names, without labels and items."""
+    long = "a long tale of the sea and of the land, told twice by sailors. " * 2000
+    rows = [(1, None), (2, ""), (3, "some words here"), (3, "some words here"), (4, long), (None, "no id here"), (None, None), (5, "Some  WORDS here"), (6, "other words altogether")]
+    write(spark, tmp_path, [(d, t, None, None, None, "k", "i") for d, t in rows])
+    got = sorted((r["doc_id"] or 0 for r in cp.run(spark, str(tmp_path)).collect()))
+    assert got == [0, 0, 1, 3, 4, 6]
+
+
+def test_empty_tables(spark, tmp_path):
+    write(spark, tmp_path, [])
+    made = cp.run(spark, str(tmp_path))
+    assert made.count() == 0 and made.columns[:2] == ["doc_id", "n_tokens"]
