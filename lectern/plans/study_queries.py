@@ -140,8 +140,9 @@ def paper_sources(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(used.hint("merge"), "doc_id", "left_semi")
 
 
+#: HTML reads the four references that pages hold with or without their semicolon, as in a title that was cut behind ``&amp``.
 _BLOCKS = """a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS x FROM pages),
-b AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(x, '</?(?:p|h1|br)>'), lambda z: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(z, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda z: z <> '') AS l FROM a)"""
+b AS (SELECT page_id, list_filter(list_transform(regexp_split_to_array(x, '</?(?:p|h1|br)>'), lambda z: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(z, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))), lambda z: z <> '') AS l FROM a)"""
 
 
 @query(f"WITH {_BLOCKS} SELECT page_id, generate_subscripts(l, 1) - 1 AS k, unnest(l) AS text FROM b")
