@@ -6,8 +6,7 @@ a cost for every step of disguise, restores the word; a word with a single readi
 itself. The restored text is scored by a log-linear model over its words, their beginnings and pairs
 of neighbours: the logistic function of a bias and the weights of what occurs, none of them below zero.
 
-Everything is learned from at most ``max_rows`` labelled texts, the ones of least hash, without the
-held-out fold. Near copies share one weight: a text counts as one over the number of texts of its
+Everything is learned from all labelled texts without the held-out fold. Near copies share one weight: a text counts as one over the number of texts of its
 label that it shares a least shingle hash with, in the middle of ``SLOTS`` hash functions (a passage
 that texts share has few of their least hashes). What occurs in
 more toxic texts than chance allows gets a weight, by a fit with an L1 penalty. Texts are scored whole.
@@ -23,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Set
 from typing import NamedTuple
 
 import numpy as np
@@ -34,8 +33,10 @@ from pyspark.sql import functions as F
 from lectern.llm import similar
 from lectern.llm.common import settle, table
 
-#: Labelled texts that are learned from at most, and the fold of five that is held out.
-MAX_ROWS, FOLDS, HELD_OUT = 20_000, 5, 0
+#: Folds, and the one that is held out.
+FOLDS, HELD_OUT = 5, 0
+#: Rows of a narrow table up to which it is sent to every executor, and features that a task sums before it passes them on.
+NARROW_ROWS, HELD = 5_000_000, 500_000
 #: Letters of a word's beginnings, and texts that a feature's weight needs at least.
 BEGINNINGS, LEAST_TEXTS = (4, 5, 6), 3.0
 #: Features expected to pass by chance alone.
@@ -90,6 +91,22 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
+def finder(wanted: Set[str]) -> Callable[[str], set[str]]:
+    """A function: those of a text's features that are ``wanted``, without making the others."""
+    firsts = {f.split(" ", 1)[0] for f in wanted if " " in f}
+
+    def find(text: str) -> set[str]:
+        words = WORD.findall(text.lower())
+        whole = set(words)
+        out = {"=" + w for w in whole}
+        out.update(w[:n] for w in whole for n in BEGINNINGS if len(w) >= n)
+        if firsts & whole:
+            out.update(f"{a} {b}" for a, b in zip(words, words[1:]) if a in firsts)
+        return out & wanted
+
+    return find
+
+
 class CharacterModel:
     """Add-half trigram model over the letters of restored words."""
 
@@ -229,23 +246,28 @@ def slots(text: str) -> np.ndarray:
     return (found[:, None] * odd).min(0).view(np.int64)
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``hash``, ``toxic``, ``text`` and ``weight`` of the distinct labelled texts, at most ``max_rows`` of them."""
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(id_col).agg((F.max("toxic") > 0).alias("toxic"))
-    chosen = settle(known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows).select(F.col(id_col).alias("label_id"), "toxic"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # at most max_rows labels, so they may be broadcast; an id may have any number of texts
-    rows = rows.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select(F.xxhash64("text").alias("hash"), "toxic", "text")
-    texts = settle(rows.groupBy("hash", "toxic").agg(F.first("text").alias("text")).orderBy("hash", "toxic").limit(max_rows))
+def narrow(df: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row: sent to every executor up to ``NARROW_ROWS`` rows, joined by sorting beyond that."""
+    return df.hint("broadcast" if df.count() <= NARROW_ROWS else "merge")
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``toxic``, ``text`` and ``weight`` of all labelled texts; those of one text share its weight, and near copies share one."""
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("label_id")).agg((F.max("toxic") > 0).alias("toxic"))
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(narrow(settle(known)), F.col("id") == F.col("label_id")).select(F.xxhash64("text", "toxic").alias("key"), "toxic", "text")
+    rows = settle(rows)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             least = [slots(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(least, pa.list_(pa.int64()))], names=["h", "t", "slots"])
 
-    each = texts.repartition(8).mapInArrow(told, "h bigint, t boolean, slots array<bigint>").select("h", "t", F.posexplode("slots").alias("slot", "least"))
-    alike = each.withColumn("n", F.count("*").over(Window.partitionBy("slot", "least", "t"))).groupBy("h", "t").agg((1 / F.sort_array(F.collect_list("n"))[SLOTS // 2]).alias("weight"))
-    return settle(texts.join(alike.hint("merge"), (F.col("hash") == F.col("h")) & (F.col("toxic") == F.col("t"))).select("hash", "toxic", "text", "weight"))
+    marks = rows.mapInArrow(told, "h bigint, t boolean, slots array<bigint>").groupBy("h", "t").agg(F.first("slots").alias("slots"), F.count("*").alias("many"))
+    each = marks.select("h", "t", "many", F.posexplode("slots").alias("slot", "least"))
+    alike = each.withColumn("n", F.count("*").over(Window.partitionBy("slot", "least", "t")))
+    weights = alike.groupBy("h").agg((1 / F.sort_array(F.collect_list("n"))[SLOTS // 2] / F.first("many")).alias("weight"))
+    return settle(rows.join(narrow(settle(weights)), F.col("key") == F.col("h")).select("toxic", "text", "weight"))
 
 
 def counted(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
@@ -253,12 +275,20 @@ def counted(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, float] = defaultdict(float)
+
+        find = (lambda text: features(WORD.findall(text.lower()))) if wanted is None else finder(wanted)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["feature", "weight"])
+
         for batch in batches:
             for text, weight in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = features(WORD.findall(text.lower()))
-                for f in found if wanted is None else found & wanted:
+                for f in find(text):
                     sums[f] += weight
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["feature", "weight"])
+                if len(sums) >= HELD:
+                    yield told()
+                    sums.clear()
+        yield told()
 
     return texts.select("text", "weight").mapInArrow(count, "feature string, weight double").groupBy("feature").agg(F.sum("weight").alias("weight"))
 
@@ -303,13 +333,19 @@ def fit(rows: list[list[int]], toxic: np.ndarray, weight: np.ndarray, n_features
     return b[:-1], float(b[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model of at most ``max_rows`` labelled texts; what comes to the driver is counts of theirs."""
-    texts = training_texts(docs, labels, max_rows, id_col, text_col)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of all labelled texts; what comes to the driver is counts of theirs, and how often each set of telling features occurs."""
+    texts = training_texts(docs, labels, id_col, text_col)
     total = {r["toxic"]: r["w"] for r in texts.groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = {w for batch in batches for text in batch.column(0).to_pylist() for w in WORD.findall(text.lower())}
+        seen: set[str] = set()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(WORD.findall(text.lower()))
+                if len(seen) >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
+                    seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
 
     padded = texts.select("text").mapInArrow(words, "word string").distinct().select(F.concat(F.lit("^^"), "word", F.lit("$")).alias("w"))
@@ -327,17 +363,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col:
     place = {f: k for k, f in enumerate(names)}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = finder(place.keys())
         for batch in batches:
-            found = [[place[f] for f in features(WORD.findall(text.lower())) & place.keys()] for text in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=["hash", "toxic", "weight", "found"])
-
-    sparse = texts.select("hash", "toxic", "weight", "text").mapInArrow(placed, "hash bigint, toxic boolean, weight double, found array<int>")
-    # texts without any feature differ in their label alone
-    bare = F.size("found") == 0
-    got = sparse.where(~bare).collect() if names else []
-    rest = {r["toxic"]: r["w"] for r in sparse.where(bare).groupBy("toxic").agg(F.sum("weight").alias("w")).collect()}
-    got = sorted((r["hash"], r["toxic"], r["weight"], sorted(r["found"])) for r in got) + [(0, k, w, []) for k, w in sorted(rest.items())]
-    b, bias = fit([g[3] for g in got], np.array([float(g[1]) for g in got]), np.array([g[2] for g in got]), len(names))
+            found = [sorted(place[f] for f in find(text)) for text in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["toxic", "weight", "found"])
+
+    # texts of the same label and features are one row of the fit
+    sparse = texts.select("toxic", "weight", "text").mapInArrow(placed, "toxic boolean, weight double, found array<int>")
+    got = sparse.groupBy("toxic", "found").agg(F.sum("weight").alias("weight")).toArrow()
+    got = sorted(zip(*(got[c].to_pylist() for c in ("toxic", "found", "weight")), strict=True))
+    b, bias = fit([g[1] for g in got], np.array([float(g[0]) for g in got]), np.array([g[2] for g in got]), len(names))
     weights = {f: float(x) for f, x in zip(names, b, strict=True) if x > 1e-6}
     # words that tell toxic texts are rare among distinct words, so their letters count more in restoring
     whole = [f[1:] for f in weights if f.startswith("=")]
@@ -359,9 +394,9 @@ def scorer(spark: SparkSession, trained: Model) -> callable:
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``held_out``, ``score`` and ``predicted`` of each row."""
-    score = scorer(docs.sparkSession, train(docs, labels, max_rows, id_col, text_col))
+    score = scorer(docs.sparkSession, train(docs, labels, id_col, text_col))
     rows = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), score(F.col(text_col).cast("string")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

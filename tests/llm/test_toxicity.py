@@ -2,6 +2,7 @@
 
 import collections
 import random
+import zlib
 
 from lectern.llm import toxicity
 
@@ -42,3 +43,18 @@ def test_spaced_words_in_a_row():
     for at in range(10, 50):
         long = spaced(*["the", "people"][: at % 3], *["and"] * at, "moron", *["for"] * 9)
         assert "moron" in toxicity.restored_words(long, model, {}), long
+
+
+def test_learns_from_all_labelled_texts(spark, monkeypatch):
+    """No labelled text is left out, features that a task passes on early are summed, and copies of one text count once."""
+    monkeypatch.setattr(toxicity, "HELD", 50)
+    r = random.Random(3)
+    plain = [f"{a}{b}" for a in ("river", "stone", "house", "winter", "garden") for b in ("", "side", "land", "ward")]
+    rows = [(k, " ".join([*r.choices(plain, k=30), *(["skrunk"] if k % 8 == 0 else [])]), int(k % 8 == 0)) for k in range(21000)]
+    rows += [(30000 + k, rows[3][1], 0) for k in range(50)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id bigint, text string")
+    known = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id bigint, toxic int")
+    kept = {x[0] for x in rows if zlib.crc32(str(x[0]).encode()) % 5 != 0}
+    texts = toxicity.training_texts(docs, known, "doc_id", "text")
+    assert texts.count() == len(kept) and abs(sum(x["weight"] for x in texts.where(texts.text == rows[3][1]).collect()) - 1) < 1e-9
+    assert "=skrunk" in toxicity.train(docs, known).weights
