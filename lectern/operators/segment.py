@@ -33,16 +33,16 @@ def sentence_context(sents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return sents.select("*", F.lag("text").over(by).alias("prev"), F.lead("text").over(by).alias("next"))
 
 
-def sentence_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df``'s ``id_col``, ``sents`` (array of (p, text)) and ``before``: words before each sentence, and in all."""
+def sentence_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
+    """``df``'s ``id_col``, the columns ``keep``, ``sents`` (array of (p, text)) and ``before``: words before each sentence, and in all."""
 
     @F.pandas_udf("array<int>")
     def running(counts: pd.Series) -> pd.Series:
         return counts.map(lambda c: np.concatenate([[0], np.cumsum(c)]).astype(np.int32) if c is not None else None)
 
-    rows = df.select(id_col, T.sentences(F.col(text_col)).alias("sents"))
+    rows = df.select(id_col, *keep, T.sentences(F.col(text_col)).alias("sents"))
     # only the numbers go to Python, where a sum over a document of any length takes one pass
-    return rows.select(id_col, "sents", running(F.transform("sents", lambda s: F.size(F.split(s["text"], r"\s+")))).alias("before"))
+    return rows.select(id_col, *keep, "sents", running(F.transform("sents", lambda s: F.size(F.split(s["text"], r"\s+")))).alias("before"))
 
 
 def spans_of(before: np.ndarray, words: int = WINDOW_WORDS) -> list[dict[str, int]]:

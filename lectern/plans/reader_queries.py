@@ -39,7 +39,7 @@ def toggle_completed(spark, sf_dir):
 SELECT qid, passages, readings, CASE WHEN passages = 0 THEN 'not_found' END AS coverage, CASE WHEN passages = 0 THEN '{reader.NO_ANSWER}' END AS answer FROM n""")
 def answer_states(spark, sf_dir):
     asked = X.questions(spark, sf_dir)
-    return reader.answer_states(asked, settle(rank.top_passages(rank.scores(X._pool(spark, sf_dir), asked))))
+    return reader.answer_states(asked, settle(rank.ranked(X._pool(spark, sf_dir), asked)))
 
 
 @query(f"WITH {READINGS} SELECT o_orderkey AS note_id, o_custkey AS doc_id, title, r.doc_id IS NULL AS gone FROM orders LEFT JOIN readings r ON r.doc_id = o_custkey")

@@ -221,15 +221,16 @@ TOP = f"{SCORES}, {_picks('scores')}"
 
 @query(f'WITH RECURSIVE {TOP} SELECT qid, n, doc_id, start, "end", score FROM top')
 def bm25_topk(spark, sf_dir):
-    return rank.top_passages(rank.scores(_pool(spark, sf_dir), questions(spark, sf_dir)))
+    return rank.ranked(_pool(spark, sf_dir), questions(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {TOP}, ins AS (SELECT t.qid, t.n, s.pos, list_distinct({tokens_sql('s.text')}) AS toks FROM top t JOIN sents s ON s.doc_id = t.doc_id AND s.pos BETWEEN t.start AND t."end"),
 w AS (SELECT qid, n, pos, (SELECT count(*) FROM terms x WHERE x.qid = ins.qid AND list_contains(ins.toks, x.term)) AS w FROM ins)
 SELECT qid, n, arg_min(pos, (-w, pos)) AS focus FROM w GROUP BY 1, 2""")
 def focus_sentence(spark, sf_dir):
-    top = settle(rank.top_passages(rank.scores(_pool(spark, sf_dir), questions(spark, sf_dir))))
-    return rank.focus_sentences(top, segment.sentence_arrays(readings(spark, sf_dir)), questions(spark, sf_dir))
+    top = settle(rank.ranked(_pool(spark, sf_dir), questions(spark, sf_dir)))
+    picked = readings(spark, sf_dir).join(search.sized(settle(top.select("doc_id").distinct())), "doc_id", "left_semi")
+    return rank.focus_sentences(top, segment.sentence_arrays(picked), questions(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {TOP}, blocks AS (SELECT t.qid, t.n, '<passage n="' || t.n || '" title="' || replace(r.title, chr(34), chr(39)) || '" course="' || replace(coalesce(r.course, ''), chr(34), chr(39)) || '">' || chr(10) || p.text || chr(10) || '</passage>' AS block
@@ -238,12 +239,12 @@ SELECT qid, string_agg(block, chr(10) ORDER BY n) AS pack, count(*) AS passages
 def prompt_pack(spark, sf_dir):
     """The passages of each question wrapped in tags, in rank order."""
     pool = _pool(spark, sf_dir)
-    top = settle(rank.top_passages(rank.scores(pool, questions(spark, sf_dir))))
+    top = settle(rank.ranked(pool, questions(spark, sf_dir)))
     titles = readings(spark, sf_dir).select("doc_id", "title", "course")
-    parts = top.join(pool.select("doc_id", "start", "end", "text").hint("merge"), ["doc_id", "start", "end"]).select("qid", "n", "doc_id", "text")
+    parts = settle(pool.select("doc_id", "start", "end", "text").join(search.sized(top), ["doc_id", "start", "end"]).select("qid", "n", "doc_id", "text"))
     quoted = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit("'"))
     block = F.format_string('<passage n="%d" title="%s" course="%s">\n%s\n</passage>', "n", quoted("title"), quoted("course"), "text")
-    blocks = parts.join(titles.hint("merge"), "doc_id").select("qid", "n", block.alias("block"))
+    blocks = titles.join(search.sized(parts), "doc_id").select("qid", "n", block.alias("block"))
     return blocks.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "block"))), lambda b: b["block"]), "\n").alias("pack"), F.count("*").alias("passages"))
 
 
@@ -268,7 +269,7 @@ def _scoped_questions(spark, sf_dir):
 @query(f'WITH RECURSIVE {SCOPED} SELECT qid, n, doc_id, start, "end", score FROM top')
 def bm25_scoped(spark, sf_dir):
     """Questions in one course or in all, ranked with the statistics of their scope."""
-    return rank.top_passages(rank.scores(_pool(spark, sf_dir, "course"), _scoped_questions(spark, sf_dir)))
+    return rank.ranked(_pool(spark, sf_dir, "course"), _scoped_questions(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {SCOPED}, f AS (SELECT qid, count(*) AS passages, count(DISTINCT doc_id) AS readings FROM top GROUP BY 1),
@@ -278,7 +279,7 @@ FROM sq LEFT JOIN f USING (qid) LEFT JOIN s ON s.within IS NOT DISTINCT FROM sq.
 def retrieval_coverage(spark, sf_dir):
     """How much each question found, of how many readings; a question without passages is answered at once."""
     pool, asked = _pool(spark, sf_dir, "course"), _scoped_questions(spark, sf_dir)
-    return rank.coverage(rank.top_passages(rank.scores(pool, asked)), pool, asked)
+    return rank.coverage(rank.ranked(pool, asked), pool, asked)
 
 
 @query(rf"""WITH {TO_SENTS}, x AS (SELECT doc_id, pos, rtrim(text, '.') || ' (Smith & Lee, 2004, p. 12) [3-5, 9] (pp. 4-6).' || (CASE WHEN pos % 2 = 0 THEN ' See https://a.example/x' ELSE '' END) AS text FROM sents),
