@@ -52,13 +52,13 @@ def infer_page_numbers(detected: DataFrame) -> DataFrame:
     A detection counts if another page of the document agrees on its offset; other pages take the nearest
     trusted offset, the earlier of equals.
     """
+    alike = F.count("*").over(Window.partitionBy("doc", "off"))
     rows = detected.withColumn("off", F.col("detected") - F.col("page"))
-    support = rows.where("off is not null").groupBy("doc", "off").agg(F.count("*").alias("s")).where("s >= 2").select("doc", "off", F.lit(True).alias("ok"))
-    rows = rows.join(support, ["doc", "off"], "left").withColumn("off", F.when(F.col("ok"), F.col("off")))
+    rows = rows.withColumn("off", F.when(F.col("off").isNotNull() & (alike >= 2), F.col("off")))
     at = F.when(F.col("off").isNotNull(), F.struct(F.col("page").alias("page"), F.col("off").alias("off")))
-    by = Window.partitionBy("doc").orderBy("page")
-    rows = rows.withColumn("before", F.last(at, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("after", F.first(at, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # the next one is the last one of the way back: a frame that is open at its end is summed anew for each row
+    onward, back = (Window.partitionBy("doc").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.desc("page"), F.asc("page")))
+    rows = rows.withColumn("after", F.last(at, ignorenulls=True).over(onward)).withColumn("before", F.last(at, ignorenulls=True).over(back))
     near = F.when(F.col("after").isNull() | (F.col("page") - F.col("before.page") <= F.col("after.page") - F.col("page")), F.col("before.off")).otherwise(F.col("after.off"))
     return rows.select("doc", "page", (F.col("page") + near).alias("n"), F.col("off").isNotNull().alias("sure"))
 
@@ -80,11 +80,12 @@ def unassigned_pages(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
 
     An unnumbered page next to an assigned one is kept.
     """
-    joined = numbers.join(ranges, "doc").withColumn("inside", F.coalesce(F.exists("ranges", lambda r: (F.col("n") >= r["a"]) & (F.col("n") <= r["b"])), F.lit(False)))
-    lands = joined.groupBy("doc").agg(F.bool_or(F.col("sure") & F.col("inside")).alias("lands")).where("lands").select("doc")
+    inside = F.coalesce(F.exists("ranges", lambda r: (F.col("n") >= r["a"]) & (F.col("n") <= r["b"])), F.lit(False))
+    joined = numbers.join(ranges.hint("merge"), "doc").withColumn("inside", inside)
     by = Window.partitionBy("doc").orderBy("page")
     beside = F.coalesce(F.lag("inside").over(by), F.lit(False)) | F.coalesce(F.lead("inside").over(by), F.lit(False))
-    rows = joined.withColumn("beside", beside).join(lands, "doc")
+    lands = F.bool_or(F.col("sure") & F.col("inside")).over(Window.partitionBy("doc"))
+    rows = joined.withColumns({"beside": beside, "lands": lands}).where("lands")
     skip = ~F.col("inside") & F.col("n").isNotNull() & ~(~F.col("sure") & F.col("beside"))
     return rows.select("doc", "page", skip.alias("skip"))
 
