@@ -10,7 +10,7 @@ from lectern.operators import classify, library, pages, segment, study
 from lectern.plans import ledger_queries as L
 from lectern.plans import page_queries as P
 from lectern.plans.base import READINGS, TO_SENTS, query, readings, table
-from lectern.shared import fresh_path
+from lectern.shared import fresh_path, settle
 
 
 @query(f"WITH {TO_SENTS} SELECT s.doc_id, count(*) AS sentences FROM sents s JOIN readings r USING (doc_id) WHERE r.course = 'src0' GROUP BY 1")
@@ -54,7 +54,9 @@ SELECT p.doc, p.p FROM p JOIN sk ON sk.doc = p.doc AND sk.page = p.p // 3 WHERE
 def unassigned_paragraphs(spark, sf_dir):
     """Paragraphs on pages that are not assigned; page k starts at paragraph 3k."""
     skip = pages.unassigned_pages(P._numbers(spark, sf_dir), P._ranges(spark, sf_dir))
-    paras = readings(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(T.paragraphs(F.col("text"))).alias("p", "t")).select("doc", "p")
+    # texts are cut once; their numbers of paragraphs serve for the paragraphs and for where pages start
+    many = settle(readings(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.size(T.paragraphs(F.col("text"))).alias("n"))).where("n > 0")
+    paras = many.select("doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
     starts = paras.where("p % 3 = 0").select("doc", F.col("p").alias("start"), F.floor(F.col("p") / 3).cast("int").alias("page"))
     return pages.paragraph_pages(paras, starts).join(skip.hint("merge"), ["doc", "page"]).where("skip").select("doc", F.col("p").cast("long").alias("p"))
 
