@@ -196,8 +196,15 @@ def kinds_of_rows(paras: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, "p", kind.alias("kind"))
 
 
-def narration_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cleanup: bool = True, unassigned: DataFrame | None = None) -> DataFrame:
-    """Sentences with what is spoken and why one is passed over: ``id_col, pos, p, speak, skip``.
+def _flags(paras: DataFrame, id_col: str) -> DataFrame:
+    """``id_col``, ``_flags``: for rows ``id_col, p``, an array that is true at each of a document's ``p``, as long as its last one asks for."""
+    rows = paras.where("p >= 0").groupBy(id_col).agg(F.array_sort(F.collect_set(F.col("p").cast("int"))).alias("at"))
+    until = F.transform("at", lambda p, i: F.array_append(F.array_repeat(F.lit(False), p - F.coalesce(F.get("at", i - 1), F.lit(-1)) - 1), F.lit(True)))
+    return rows.select(id_col, F.flatten(until).alias("_flags"))
+
+
+def narration_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cleanup: bool = True, unassigned: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Sentences with what is spoken and why one is passed over: ``id_col, pos, p, speak, skip`` and the columns ``keep``.
 
     ``unassigned`` has ``id_col, p``: paragraphs on pages that are not assigned; that reason comes before the others. Without
     ``cleanup`` only these are passed over, and sentences are spoken as they are written.
@@ -205,14 +212,15 @@ def narration_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     none = F.array().cast("array<string>")
     if cleanup:
         # the text goes along, so that a document's sentences and kinds meet in its own row
-        rows = kind_arrays(df, id_col, text_col, text_col)
+        rows = kind_arrays(df, id_col, text_col, text_col, *keep)
     else:
-        rows = df.select(id_col, text_col, none.alias("kinds"))
-    rows = rows.select(id_col, "kinds", F.posexplode_outer(T.sentences(F.col(text_col))).alias("pos", "s")).where("pos is not null")
-    rows = rows.select(id_col, "pos", F.col("s.p").alias("p"), F.col("s.text").alias("text"), F.get("kinds", F.col("s.p")).alias("skip"))
+        rows = df.select(id_col, text_col, *keep, none.alias("kinds"))
+    reason = F.get("kinds", F.col("s.p"))
     if unassigned is not None:
-        left_out = unassigned.select(F.col(id_col).alias("_of"), F.col("p").alias("_p"), F.lit("unassigned").alias("_why")).distinct()
-        rows = rows.join(left_out.hint("merge"), (F.col(id_col) == F.col("_of")) & (F.col("p") == F.col("_p")), "left")
-        rows = rows.select(id_col, "pos", "p", "text", F.coalesce("_why", "skip").alias("skip"))
+        rows = rows.join(_flags(unassigned, id_col).hint("merge"), id_col, "left")
+        reason = F.when(F.get("_flags", F.col("s.p")), "unassigned").otherwise(reason)
+    held = ["kinds", "_flags"] if unassigned is not None else ["kinds"]
+    rows = rows.select(id_col, *keep, *held, F.posexplode_outer(T.sentences(F.col(text_col))).alias("pos", "s")).where("pos is not null")
+    rows = rows.select(id_col, *keep, "pos", F.col("s.p").alias("p"), F.col("s.text").alias("text"), reason.alias("skip"))
     speak = F.when(F.col("skip").isNull(), T.speakable(F.col("text"))).otherwise(F.col("text")) if cleanup else F.col("text")
-    return rows.select(id_col, "pos", "p", speak.alias("speak"), "skip")
+    return rows.select(id_col, "pos", "p", speak.alias("speak"), "skip", *keep)

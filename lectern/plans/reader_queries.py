@@ -143,7 +143,6 @@ FROM sents s JOIN readings r USING (doc_id) LEFT JOIN un ON un.doc = s.doc_id AN
 def words_left_assigned(spark, sf_dir):
     """Words that are still to be heard when only pages that are not assigned are passed over."""
     docs = readings(spark, sf_dir)
-    plan = classify.narration_plan(docs, cleanup=False, unassigned=M.unassigned_paragraphs(spark, sf_dir).withColumnRenamed("doc", "doc_id"))
+    rows = classify.narration_plan(docs, cleanup=False, unassigned=M.unassigned_paragraphs(spark, sf_dir).withColumnRenamed("doc", "doc_id"), keep=("position",))
     left = F.col("skip").isNull() & (F.col("pos") >= F.col("position"))
-    rows = plan.join(docs.select("doc_id", "position").hint("merge"), "doc_id")
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("skip").alias("unassigned"), F.sum(F.when(left, T.word_count(F.col("speak"))).otherwise(0)).alias("words_left"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lectern.operators import pages
+from lectern.operators import classify, pages
 
 
 def walked(detected):
@@ -33,3 +33,12 @@ def test_work_in_proportion(spark):
     plan = skips._jdf.queryExecution().executedPlan().toString()
     assert "currentrow$(), unboundedfollowing$()" not in plan and plan.count("Range (0, 2000") == 1
     assert sorted(r["page"] for r in skips.where("not skip").collect()) == [5, 6] and skips.count() == 1000
+
+
+def test_unassigned_paragraphs_of_a_plan(spark):
+    """Paragraphs that are not assigned, in any order and twice, of documents with others; kept columns stay; nothing is joined by sentence."""
+    docs = spark.createDataFrame([(1, "One. Two.\n\nThree.\n\nFour.", "x"), (2, "Five.\n\nSix.", "y"), (3, None, "z")], "doc_id int, text string, at string")
+    left_out = spark.createDataFrame([(1, 2), (1, 0), (1, 2), (2, 9), (4, 0)], "doc_id int, p bigint")
+    rows = classify.narration_plan(docs, cleanup=False, unassigned=left_out, keep=("at",))
+    got = {(r["doc_id"], r["speak"]): (r["skip"], r["at"]) for r in rows.collect()}
+    assert got == {(1, "One."): ("unassigned", "x"), (1, "Two."): ("unassigned", "x"), (1, "Three."): (None, "x"), (1, "Four."): ("unassigned", "x"), (2, "Five."): (None, "y"), (2, "Six."): (None, "y")}
