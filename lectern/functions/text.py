@@ -41,21 +41,24 @@ def trim(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Line ends made one kind, soft hyphens and line-break hyphens gone, runs of blanks and empty lines collapsed."""
+    """Line ends made one kind, soft hyphens and line-break hyphens gone, runs of blanks and empty lines collapsed.
+
+    A single blank and a bare line end stay what they are, so they are no matches.
+    """
     for pattern, to in (
-        (r"\r\n?", "\n"), ("­", ""), (r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2"), (r"[ \t\f\x0B]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n"),
+        (r"\r\n?", "\n"), ("­", ""), (r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2"), (r"[\t\f\x0B][ \t\f\x0B]*| [ \t\f\x0B]+", " "), (r" +\n *|\n +", "\n"), (r"\n{3,}", "\n\n"),
     ):
         c = F.regexp_replace(c, pattern, to)
     return trim(c)
 
 
-def raw_paragraphs(c: Column) -> Column:
+def raw_paragraphs(c: Column, cleaned: bool = False) -> Column:
     """Paragraphs of the cleaned text with their line breaks."""
-    return F.filter(F.transform(F.split(clean_text(c), r"\n\s*\n"), lambda p: trim(p)), lambda p: p != "")
+    return F.filter(F.transform(F.split(c if cleaned else clean_text(c), r"\n\s*\n"), lambda p: trim(p)), lambda p: p != "")
 
 
-def paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(clean_text(c), r"\n\s*\n"), lambda p: trim(F.regexp_replace(p, "\n", " "))), lambda p: p != "")
+def paragraphs(c: Column, cleaned: bool = False) -> Column:
+    return F.filter(F.transform(F.split(c if cleaned else clean_text(c), r"\n\s*\n"), lambda p: trim(F.regexp_replace(p, "\n", " "))), lambda p: p != "")
 
 
 def split_long(sentence: Column) -> Column:
@@ -64,14 +67,14 @@ def split_long(sentence: Column) -> Column:
     return F.when(F.length(sentence) > LONGEST_SENTENCE, pieces).otherwise(F.array(sentence))
 
 
-def sentences(c: Column) -> Column:
-    """Array of (p, text): the sentences of each paragraph, in order."""
+def sentences(c: Column, cleaned: bool = False) -> Column:
+    """Array of (p, text): the sentences of each paragraph, in order; ``cleaned`` tells that the text is clean."""
 
     def of(paragraph: Column, p: Column) -> Column:
         parts = F.filter(F.transform(F.split(paragraph, SENTENCE_BREAK), lambda s: trim(s)), lambda s: s != "")
         return F.transform(F.flatten(F.transform(parts, lambda s: split_long(s))), lambda s: F.struct(p.alias("p"), s.alias("text")))
 
-    return F.flatten(F.transform(paragraphs(c), of))
+    return F.flatten(F.transform(paragraphs(c, cleaned), of))
 
 
 def _folded(c: str) -> str:
@@ -213,13 +216,17 @@ SPEAKABLE = (
 )
 
 
+#: What every match of these patterns holds; most sentences hold nothing of it.
+MARKED = r"(?i)[(\[0-9]|https?:|www\.|doi:|\s[\s.,;:!?]"
+
+
 def speakable(c: Column) -> Column:
     """The sentence as it is spoken: without links, citations and footnote numbers, unless nothing would be left."""
     out = c
     for pattern, to in SPEAKABLE:
         out = F.regexp_replace(out, pattern, to)
-    out = trim(out)
-    return F.when(out.rlike("[A-Za-z]{2}"), out).otherwise(c)
+    out = F.when(c.rlike(MARKED), out).otherwise(c)
+    return _once(trim(out), lambda o: F.when(o.rlike("[A-Za-z]{2}"), o).otherwise(c))
 
 
 def listen_minutes(words: Column, rate: Column) -> Column:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 
 # Patterns that tell years, headings of reference lists, publishers, and marks of entries. Word borders are
-# written out as ASCII ones.
-YEAR = r"(?<![A-Za-z0-9_])(?:(?:1[6-9][0-9][0-9]|20[0-9][0-9])[a-z]?|n\.\s?d\.)(?![A-Za-z0-9_])"
+# written out as ASCII ones; the letters that a match begins with are tested first.
+YEAR = r"(?=[12n])(?<![A-Za-z0-9_])(?:(?:1[6-9][0-9][0-9]|20[0-9][0-9])[a-z]?|n\.\s?d\.)(?![A-Za-z0-9_])"
 REF_HEADING = (
     r"(?i)^(?:[0-9]+\.?\s*)?(references?|reference list|notes|endnotes|end notes|bibliography|works cited|sources|"
     r"literature cited|selected bibliography|suggested readings?)\s*:?$"
 )
-PUBLISHED = r"(?<![A-Za-z0-9_])(?:Press|Publish[A-Za-z0-9_]*|Journal|Quarterly|Review|University|Vol\.|vol\.|no\.|pp\.|Retrieved|doi|Ibid|op\. cit|Eds?\.)"
+PUBLISHED = r"(?=[PJQRUVvnpdIoE])(?<![A-Za-z0-9_])(?:Press|Publish[A-Za-z0-9_]*|Journal|Quarterly|Review|University|Vol\.|vol\.|no\.|pp\.|Retrieved|doi|Ibid|op\. cit|Eds?\.)"
 ENTRY_MARKS = (
     r"(?<![A-Za-z0-9_])(Press|Publish|Journal|Review|University|Vol\.|vol\.|no\.|pp\.|Retrieved|doi|https?:|ed\.|eds\.|Ibid|Ibid\.|op\. cit)(?![A-Za-z0-9_])"
 )
@@ -29,7 +29,7 @@ def let(value: Column, use) -> Column:
 
 
 def flat(p: Column) -> Column:
-    return T.trim(F.regexp_replace(p, r"\s+", " "))
+    return T.trim(F.regexp_replace(p, r"[^\S ]\s*| \s+", " "))
 
 
 def _is_entry(p: Column) -> Column:
@@ -57,7 +57,8 @@ def is_symbol_noise(p: Column) -> Column:
         letters, signs = F.regexp_count(t, F.lit("[A-Za-z0-9]")), F.regexp_count(t, F.lit(r"[~^|\\{}<>_=;]"))
         return F.length(t).between(1, 60) & ((letters / F.length(t) < 0.5) | (signs >= 3))
 
-    return let(F.regexp_replace(p, r"\s+", ""), odd)
+    # a longer paragraph is told by its first signs
+    return F.when(p.rlike(r"\A(?:\s*\S){61}"), False).otherwise(let(F.regexp_replace(p, r"\s+", ""), odd))
 
 
 def _lines(p: Column) -> Column:
@@ -74,13 +75,13 @@ def is_table_fragment(p: Column, lines: Column, median_line: Column) -> Column:
     return (n >= 5) & (average < median_line * 0.5) & (ends < 0.25) & (closed / F.greatest(words / 18, F.lit(1.0)) < 0.35)
 
 
-def kind_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
+def kind_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *keep: str, cleaned: bool = False) -> DataFrame:
     """``id_col``, the columns ``keep`` and ``kinds``: 'table', 'references' or null for each paragraph, in order.
 
     Each step is a column of its own that later ones read several times, so that it is computed once.
     """
     base = [id_col, *keep]
-    read = F.transform(T.raw_paragraphs(F.col(text_col)), lambda p: F.struct(p.alias("raw"), flat(p).alias("t"), _lines(p).alias("lines")))
+    read = F.transform(T.raw_paragraphs(F.col(text_col), cleaned), lambda p: F.struct(p.alias("raw"), flat(p).alias("t"), _lines(p).alias("lines")))
     rows = df.select(*base, read.alias("read"))
     lengths = F.array_sort(F.flatten(F.transform("read", lambda x: F.transform(x["lines"], lambda l: F.length(l)))))
     median = let(lengths, lambda l: F.coalesce(F.get(l, F.floor(F.size(l) / 2).cast("int")), F.lit(80)))
@@ -93,7 +94,7 @@ def kind_arrays(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             (is_table_fragment(x["raw"], x["lines"], F.col("median")) | is_symbol_noise(x["raw"])).alias("table"),
             citeish(x["t"]).alias("cite"),
             _is_entry(x["t"]).alias("entry"),
-            F.exists(F.slice(F.split(x["raw"], "\n"), 1, 2), lambda l: T.trim(l).rlike(REF_HEADING)).alias("head"),
+            F.exists(F.slice(x["lines"], 1, 2), lambda l: l.rlike(REF_HEADING)).alias("head"),
         )).alias("f"),
     )
     n = F.size("f")
@@ -210,9 +211,11 @@ def narration_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``cleanup`` only these are passed over, and sentences are spoken as they are written.
     """
     none = F.array().cast("array<string>")
+    # kinds and sentences are both of the cleaned text
+    df = df.withColumn(text_col, T.clean_text(F.col(text_col)))
     if cleanup:
         # the text goes along, so that a document's sentences and kinds meet in its own row
-        rows = kind_arrays(df, id_col, text_col, text_col, *keep)
+        rows = kind_arrays(df, id_col, text_col, text_col, *keep, cleaned=True)
     else:
         rows = df.select(id_col, text_col, *keep, none.alias("kinds"))
     reason = F.get("kinds", F.col("s.p"))
@@ -220,7 +223,7 @@ def narration_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = rows.join(_flags(unassigned, id_col).hint("merge"), id_col, "left")
         reason = F.when(F.get("_flags", F.col("s.p")), "unassigned").otherwise(reason)
     held = ["kinds", "_flags"] if unassigned is not None else ["kinds"]
-    rows = rows.select(id_col, *keep, *held, F.posexplode_outer(T.sentences(F.col(text_col))).alias("pos", "s")).where("pos is not null")
+    rows = rows.select(id_col, *keep, *held, F.posexplode_outer(T.sentences(F.col(text_col), cleaned=True)).alias("pos", "s")).where("pos is not null")
     rows = rows.select(id_col, *keep, "pos", F.col("s.p").alias("p"), F.col("s.text").alias("text"), reason.alias("skip"))
     speak = F.when(F.col("skip").isNull(), T.speakable(F.col("text"))).otherwise(F.col("text")) if cleanup else F.col("text")
     return rows.select(id_col, "pos", "p", speak.alias("speak"), "skip", *keep)
