@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators import search
 from lectern.shared import settle
 
 # What may be lost after a letter of a broken ligature.
@@ -30,13 +31,23 @@ def candidates(word: Column) -> Column:
 
 
 def word_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    return df.select(id_col, F.explode_outer(F.regexp_extract_all(text_col, F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).where("w is not null")
 
 
 def word_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``id_col, word, own`` and ``word, n``: words of each document and of all, in lower case, written once."""
+    """``id_col, word, own`` and ``word, n, docs, only``: words of each document and of all, in lower case, written once.
+
+    ``docs`` tells how many documents have a word, ``only`` the one that does if it is one.
+    """
     own = settle(word_rows(df, id_col, text_col).groupBy(id_col, F.lower("w").alias("word")).agg(F.count("*").alias("own")))
-    return own, settle(own.groupBy("word").agg(F.sum("own").alias("n")))
+    return own, settle(own.groupBy("word").agg(F.sum("own").alias("n"), F.count("*").alias("docs"), F.max(id_col).alias("only")))
+
+
+def _forms(words: DataFrame, every: DataFrame, col: str) -> DataFrame:
+    """``words`` by their candidates that the library has: ``rank``, ``form``, ``low`` and ``all``, its count."""
+    tried = words.select("*", F.explode_outer(candidates(F.col(col))).alias("c")).where("c is not null")
+    tried = settle(tried.select(*words.columns, "c.rank", "c.form", F.lower("c.form").alias("low")))
+    return settle(tried.join(every.select(F.col("word").alias("low"), F.col("n").alias("all")).hint("merge"), "low"))
 
 
 def damaged_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -47,11 +58,12 @@ def damaged_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own, every = counts or word_counts(df, id_col, text_col)
     # a word that the library never uses is one that this document alone has
-    alone = own.join(every.hint("merge"), "word").where("n = own").select(id_col, "word", "own")
-    tried = alone.select(id_col, "word", "own", F.explode(candidates(F.col("word"))).alias("c")).select(id_col, "word", "own", "c.rank", "c.form")
-    known = settle(tried).join(every.select(F.col("word").alias("form"), F.col("n").alias("all")), "form")
-    mine = own.select(F.col(id_col).alias("of"), F.col("word").alias("same"), F.col("own").alias("mine"))
-    seen = known.join(mine, (F.col(id_col) == F.col("of")) & (F.col("form") == F.col("same")), "left").withColumn("seen", F.col("all") - F.coalesce("mine", F.lit(0)))
+    alone = every.where(F.col("docs") == 1).select(F.col("only").alias(id_col), "word", F.col("n").alias("own"))
+    known = _forms(alone, every, "word")
+    # of all documents' words only those that are such a form stay
+    asked = search.sized(settle(known.select(F.col(id_col), F.col("form").alias("word")).distinct()))
+    mine = own.join(asked, [id_col, "word"], "left_semi").select(F.col(id_col).alias("of"), F.col("word").alias("same"), F.col("own").alias("mine"))
+    seen = known.join(mine.hint("merge"), (F.col(id_col) == F.col("of")) & (F.col("form") == F.col("same")), "left").withColumn("seen", F.col("all") - F.coalesce("mine", F.lit(0)))
     best = seen.groupBy(id_col, "word", "own").agg(F.max(F.struct("seen", (-F.col("rank")).alias("first"), "form")).alias("b")).where(F.col("b.seen") >= LEAST_SEEN)
     fixes = best.select(id_col, "word", "own", F.col("b.form").alias("fix"))
     gate = fixes.groupBy(id_col).agg(F.count("*").alias("words"), F.sum("own").alias("places")).where((F.col("words") >= LEAST_WORDS) & (F.col("places") >= LEAST_PLACES))
@@ -59,19 +71,21 @@ def damaged_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def rare_words(df: DataFrame, fixes: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """``id_col``, ``w``, ``exact``: pass two, real but rare words of damaged documents, case by case."""
-    gated = fixes.select(id_col).distinct()
-    own, every = counts or word_counts(df, id_col, text_col)
-    exact = settle(word_rows(df.join(gated, id_col, "left_semi"), id_col, text_col).groupBy(id_col, "w").agg(F.count("*").alias("here")))
-    left = exact.withColumn("word", F.lower("w")).join(fixes.select(id_col, "word"), [id_col, "word"], "left_anti")
-    left = left.join(every, "word").join(own, [id_col, "word"]).withColumn("seen", F.col("n") - F.col("own")).drop("n", "own")
-    tried = left.select(id_col, "w", "here", "seen", F.explode(candidates(F.col("w"))).alias("c")).select(id_col, "w", "here", "seen", "c.rank", F.col("c.form").alias("form"))
-    known = settle(tried.withColumn("low", F.lower("form"))).join(every.select(F.col("word").alias("low"), F.col("n").alias("all")), "low")
-    mine = own.select(id_col, F.col("word").alias("low"), F.col("own").alias("mine"))
-    known = known.join(mine, [id_col, "low"], "left").withColumn("count", F.col("all") - F.coalesce("mine", F.lit(0)))
+    """``id_col``, ``w``, ``exact``: pass two, real but rare words of damaged documents, case by case.
+
+    Candidates are made once for each word, and what a damaged document has of a word comes from its own rows.
+    """
+    gated = search.sized(settle(fixes.select(id_col).distinct()))
+    _, every = counts or word_counts(df, id_col, text_col)
+    exact = settle(word_rows(df.join(gated, id_col, "left_semi"), id_col, text_col).groupBy(id_col, "w").agg(F.count("*").alias("here")).withColumn("word", F.lower("w")))
+    forms = search.sized(_forms(exact.select("w").distinct(), every, "w"))
+    mine = exact.groupBy(id_col, F.col("word").alias("low")).agg(F.sum("here").alias("mine"))
+    left = exact.withColumn("own", F.sum("here").over(Window.partitionBy(id_col, "word"))).join(fixes.select(id_col, "word").hint("merge"), [id_col, "word"], "left_anti")
+    known = settle(left.join(forms, "w")).join(every.select("word", "n").hint("merge"), "word").withColumn("seen", F.col("n") - F.col("own")).drop("n", "own", "word")
+    known = known.join(mine.hint("merge"), [id_col, "low"], "left").withColumn("count", F.col("all") - F.coalesce("mine", F.lit(0)))
     best = known.groupBy(id_col, "w", "here", "seen").agg(F.max(F.struct("count", (-F.col("rank")).alias("first"), "form")).alias("b"))
     intact = exact.select(id_col, F.col("w").alias("form"), F.col("here").alias("intact"))
-    rows = best.select(id_col, "w", "here", "seen", F.col("b.count").alias("count"), F.col("b.form").alias("form")).join(intact, [id_col, "form"], "left")
+    rows = best.select(id_col, "w", "here", "seen", F.col("b.count").alias("count"), F.col("b.form").alias("form")).join(intact.hint("merge"), [id_col, "form"], "left")
     ok = (F.col("count") >= LEAST_SEEN) & (F.col("count") >= RARER * F.greatest("seen", F.lit(1))) & (F.coalesce("intact", F.lit(0)) * INTACT < F.col("here"))
     return rows.where(ok).select(id_col, "w", F.col("form").alias("exact"))
 
