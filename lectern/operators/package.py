@@ -52,7 +52,7 @@ def course_package(courses: DataFrame, files: DataFrame, id_col: str = "id") ->
     to link; files that no item links come last, in the order of their names. What a course's first
     item of a title sets as a task counts. A page's lines tell how much of each of its files is to be read.
     """
-    parsed = courses.select(id_col, F.coalesce("root", F.lit("")).alias("root"), "course").where("course is not null")
+    parsed = settle(courses.select(id_col, F.coalesce("root", F.lit("")).alias("root"), "course").where("course is not null"))
     items = course.course_items(parsed, id_col).select(
         id_col, "module", "name", "item", trim(F.coalesce("title", F.lit(""))).alias("title"), F.coalesce("type", F.lit("")).alias("type"), "content",
         clean_text(course.strip_boilerplate(page_text(F.col("content")))).alias("text"),
