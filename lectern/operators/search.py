@@ -37,7 +37,7 @@ def containing(texts: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
     lengths = [r["n"] for r in wanted.select(F.length("part").alias("n")).distinct().collect()]
     if not lengths:
         return texts.select(*key, F.lit(None).cast(asked.schema["qid"].dataType).alias("qid")).where("false")
-    rows = texts.select(*key, F.explode(words_of(F.col("folded"))).alias("word"))
+    rows = texts.select(*key, F.explode_outer(words_of(F.col("folded"))).alias("word")).where("word is not null")
     vocabulary = settle(rows.groupBy("word").agg(F.count("*").alias("n")))
 
     def stretches(n: int) -> Column:
@@ -57,8 +57,8 @@ def containing(texts: DataFrame, asked: DataFrame, key: list[str]) -> DataFrame:
     weight = wanted.join(sized(settle(holds.groupBy("part").agg(F.sum("n").alias("n")))), "part", "left")
     rarest = weight.groupBy("qid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part")).alias("r")).select("qid", "r.part")
     by_word = settle(holds.select("part", "word").join(rarest.hint("merge"), "part").select("qid", "word"))
-    met = rows.join(sized(by_word), "word").select(*key, "qid").distinct()
-    tested = met.join(texts.select(*(F.col(k).alias(f"_{k}") for k in key), "folded").hint("merge"), [F.col(k) == F.col(f"_{k}") for k in key])
+    met = settle(rows.join(sized(by_word), "word").select(*key, "qid").distinct())
+    tested = texts.select(*key, "folded").join(sized(met), key)
     tested = tested.join(sized(asked), "qid")
     return tested.where(F.forall("terms", lambda t: F.contains("folded", t))).select(*key, "qid")
 

@@ -163,9 +163,12 @@ SELECT qid, doc_id, pos, (list_sum(l[1:k]) + (k - 1) * n)::BIGINT AS a, (list_su
 def highlight(spark, sf_dir):
     """All marked ranges of every hit; a quoted phrase's own occurrences never touch."""
     docs = readings(spark, sf_dir)
-    sents = segment.sentences(docs).select("doc_id", "pos", "text")
-    terms = search.sized(settle(questions(spark, sf_dir).select("qid", T.parse_query(F.col("q")).alias("terms"))))
-    hits = _hits(spark, sf_dir).join(sents.hint("merge"), ["doc_id", "pos"]).join(terms, "qid")
+    # the sentences that are searched and those that are marked are cut once
+    sents = settle(segment.sentences(docs).select("doc_id", "pos", "text"))
+    asked = questions(spark, sf_dir).select("qid", "q")
+    terms = search.sized(settle(asked.select("qid", T.parse_query(F.col("q")).alias("terms"))))
+    found = settle(search.search_hits(sents, docs.select("doc_id", "title", "course"), asked))
+    hits = sents.join(search.sized(found), ["doc_id", "pos"]).join(terms, "qid")
     ranges = hits.select("qid", "doc_id", "pos", F.explode(T.highlight_ranges(F.col("text"), F.col("terms"))).alias("r"))
     return ranges.select("qid", "doc_id", "pos", F.col("r.a").cast("long").alias("a"), F.col("r.b").cast("long").alias("b"))
 
