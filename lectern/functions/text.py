@@ -166,8 +166,8 @@ def stem(w: Column) -> Column:
 def tokens(c: Column) -> Column:
     """Stemmed search terms in order, without stop words and single characters."""
     found = F.transform(F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0)), lambda t: F.regexp_replace(t, "'s$", ""))
-    stop = F.array(*(F.lit(w) for w in sorted(set(STOP_WORDS))))
-    return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t)), lambda t: stem(t))
+    stop = sorted(set(STOP_WORDS))
+    return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(stop)), lambda t: stem(t))
 
 
 def highlight_ranges(text: Column, terms: Column) -> Column:

@@ -18,7 +18,7 @@ POSTINGS = "term string, doc_id bigint, tf bigint"
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``term, doc_id, tf`` of ``doc_id, text``."""
-    return docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return docs.select("doc_id", F.explode_outer(T.tokens(F.col("text"))).alias("term")).where("term is not null").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 class PostingIndex:
