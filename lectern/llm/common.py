@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lectern.shared import settle, shared_dir
+from lectern.shared import forget, settle, shared_dir
 
-__all__ = ["map_texts", "settle", "shared_dir", "table"]
+__all__ = ["forget", "map_texts", "settle", "shared_dir", "table"]
 
 #: Rows that a Python task holds in its output before it hands them on.
 SLICE_ROWS = 256

@@ -7,7 +7,7 @@ used, shingles that are common in a sample of the texts come last, which keeps b
 shingle that two texts share, its place tells how many more they can share at most; a pair for which that is not
 enough is no candidate of the bucket.
 
-Each candidate is held against the shingles of both texts. Equal sets are one class. A first round
+Each candidate is held against the shingles of both texts, which are read again for these alone. Equal sets are one class. A first round
 tries a few partners of each class, a second one partner in each bucket that the first has not
 connected it with, and the last round all pairs of a bucket that are not connected then, so that a
 large group of near copies doesn't meet in pairs. A bucket of more than ``BUCKET_ROWS`` classes is dealt
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_texts, settle
+from lectern.llm.common import forget, map_texts, settle
 from lectern.llm.simhash import components, keep_first
 
 WORDS = 5
@@ -54,6 +54,8 @@ SMALL_BUCKET = 8
 BUCKET_ROWS = 1 << 16
 #: Large buckets that are told to every task at once; beyond that the table of these is joined by sorting.
 BROADCAST_ROWS = 100_000
+#: Classes whose texts are read again up to which their marks are sent to every task; beyond that texts and marks are joined by sorting.
+SENT_MARKS = 5_000_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -263,17 +265,34 @@ def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, tallies: DataFrame) -> DataFrame:
+def _marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, mark, text`` of each row; the mark tells rows of different ids or texts apart."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.select("id", F.xxhash64("id", "text").alias("mark"), "text")
+
+
+def _texts_of(keys: DataFrame, classes: DataFrame, marked: DataFrame) -> DataFrame:
+    """``key`` and ``text`` of those classes (``key, mark`` of one of its rows) whose key is in ``keys``."""
+    wanted = settle(classes.select("key", "mark").join(keys.hint("merge"), "key", "left_semi"))
+    sent = wanted.hint("broadcast" if wanted.count() <= SENT_MARKS else "merge")
+    found = settle(marked.select("mark", "text").join(sent, "mark").groupBy("key").agg(F.first("text").alias("text")))
+    forget(wanted)
+    return found
+
+
+def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], tallies: DataFrame) -> DataFrame:
     """Those of the pairs ``src``, ``dst`` of classes that are similar, by the shingles of their texts.
 
-    Pairs of long texts are held against their ``tallies`` (``key, n, tally``) first.
+    Pairs of long texts are held against their ``tallies`` (``key, n, tally``) first. ``texts_of`` gives ``key, text``
+    of a table of keys; it is asked for what the pairs need alone.
     """
     a = tallies.withColumnsRenamed({"key": "src", "n": "n", "tally": "tally"}).hint("merge")
     b = tallies.withColumnsRenamed({"key": "dst", "n": "m", "tally": "other"}).hint("merge")
     both = pairs.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", "n", "m", "tally", "other")
     pairs = settle(both.mapInArrow(_tallied, "src bigint, dst bigint"))
-    left = texts.select(F.col("key").alias("src"), F.col("text").alias("src_text"))
-    right = texts.select(F.col("key").alias("dst"), F.col("text").alias("dst_text"))
+    texts = texts_of(pairs.select(F.col("src").alias("key")).union(pairs.select("dst")).distinct())
+    left = texts.select(F.col("key").alias("src"), F.col("text").alias("src_text")).hint("merge")
+    right = texts.select(F.col("key").alias("dst"), F.col("text").alias("dst_text")).hint("merge")
     both = pairs.join(left, "src").join(right, "dst").select("src", "dst", "src_text", "dst_text").sortWithinPartitions("src")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +309,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, tallies: DataFrame) -> DataFra
             good = [similar(of(a, t), of(b, u)) for a, b, t, u in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
-    return settle(both.mapInArrow(check, "src bigint, dst bigint"))
+    good = settle(both.mapInArrow(check, "src bigint, dst bigint"))
+    forget(pairs, texts)
+    return good
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -318,22 +339,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         return run
 
-    rows = settle(map_texts(df, "key bigint, n bigint, prefix array<bigint>, bits binary, tally binary", make, id_col, text_col))
-    one = F.first(F.struct("n", "prefix", "bits", "tally")).alias("one")
-    classes = settle(rows.groupBy("key").agg(F.min(id_col).alias("least_id"), one).select("key", "least_id", "one.*"))
-    posted = classes.select(F.posexplode("prefix").alias("i", "p"), "key", F.col("n").cast("int").alias("n")).select("p", "key", "n", "i").repartition("p").sortWithinPartitions("p")
+    marked = _marked(df, id_col, text_col)
+    held = marked.select(F.struct("id", "mark").alias("row"), "text")
+    full = settle(map_texts(held, "key bigint, n bigint, prefix array<bigint>, bits binary, tally binary", make, "row", "text"))
+    rows = settle(full.select(F.col("row.id").alias(id_col), "key"))
+    one = F.first(F.struct("row.mark", "n", "prefix", "bits", "tally")).alias("one")
+    wide = settle(full.groupBy("key").agg(F.min("row.id").alias("least_id"), one).select("key", "least_id", "one.*"))
+    forget(full)
+    posted = wide.select(F.posexplode("prefix").alias("i", "p"), "key", F.col("n").cast("int").alias("n")).select("p", "key", "n", "i").repartition("p").sortWithinPartitions("p")
     shared = settle(posted.mapInArrow(_in_buckets(_shared, ["p", "key", "n", "i", "centre"], BUCKET_ROWS), "p bigint, key bigint, n bigint, i bigint, centre bigint"))
-    tallies = settle(classes.where("tally is not null").select("key", "n", "tally"))
-    met = settle(shared.select("key").distinct().join(classes.select("key", "least_id"), "key"))
-
-    def keyed():
-        return lambda texts: [np.array([_key(shingles(t)) for t in texts], np.uint64).view(np.int64), texts]
-
-    # a class of rows without ids has no least id: all such rows are read again
-    wanted = met.where("least_id is not null").select(F.col("least_id").alias(id_col))
-    some = df.select(id_col, text_col).join(wanted, id_col, "left_semi").union(df.select(id_col, text_col).where(F.col(id_col).isNull()))
-    again = map_texts(some, "key bigint, text string", keyed, id_col, text_col).select("key", "text")
-    texts = settle(again.join(met.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    tallies = settle(wide.where("tally is not null").select("key", "n", "tally"))
+    classes = settle(wide.select("key", "least_id", "mark", "n", "bits"))
+    forget(wide)
+    texts_of = partial(_texts_of, classes=classes, marked=marked)
 
     # of a class's centres those that the sketches allow, so that the few partners tried are likely to be similar
     met_centres = settle(shared.where("key <> centre").select("key", "centre").distinct())
@@ -342,7 +360,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     likely = both.select("key", "centre", "n", "m", "bits", "centre_bits").mapInArrow(_allowed, "key bigint, centre bigint")
     few = likely.groupBy("key").agg(F.slice(F.sort_array(F.collect_set("centre")), 1, PARTNERS).alias("c")).select("key", F.explode("c").alias("c"))
     tried = settle(few.select(F.least("key", "c").alias("src"), F.greatest("key", "c").alias("dst")))
-    roots = settle(components(_verified(tried, texts, tallies)))
+    roots = settle(components(_verified(tried, texts_of, tallies)))
     bits = classes.select(F.col("key").alias("node"), "bits")
     sizes = settle(shared.groupBy("p").agg(F.count("*").alias("size")).where(F.col("size") > BUCKET_ROWS))
     for most in LATER:
@@ -354,14 +372,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         new = settle(pairs.join(tried.hint("merge"), ["src", "dst"], "left_anti"))
         if new.isEmpty():
             continue
-        links, tried = _verified(new, texts, tallies), tried.union(new)
+        links, tried = _verified(new, texts_of, tallies), tried.union(new)
         if not links.isEmpty():
             roots = settle(_joined(roots, links))
 
     rooted = classes.join(roots, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("root", "key").alias("root"))
     ids = settle(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = settle(rooted.join(ids, "root").select("key", "component_id"))
-    return rows.select(id_col, "key").join(named, "key").select(id_col, "component_id")
+    forget(shared, tallies, classes, met_centres)
+    return rows.join(named, "key").select(id_col, "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +74,10 @@ def settle(df: DataFrame) -> DataFrame:
     path = passing_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete the files of tables that ``settle`` gave and that nothing reads any more."""
+    for df in settled:
+        for folder in {unquote(f).rsplit("/", 1)[0] for f in df.inputFiles()}:
+            files_of(df.sparkSession, folder).remove("")

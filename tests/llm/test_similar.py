@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
+from lectern import shared
 from lectern.llm import similar
 
 
@@ -138,3 +139,28 @@ def test_parts_of_a_bucket(spark, monkeypatch):
     assert got == want
     alone = run(similar._dealt(placed, sizes, all_parts=False))
     assert set(map(tuple, alone)) < set(want)
+
+
+def test_only_texts_of_pairs_are_read_again(spark, monkeypatch, tmp_path):
+    """Texts that share a passage, but whose sketches differ, are not read again, and no wide table stays in the shared folder."""
+    monkeypatch.setattr(similar, "COMMON_ROWS", 10**9)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    made, plain = [], similar.settle
+
+    def spy(df):
+        out = plain(df)
+        made.append((set(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "settle", spy)
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    passage = r.choices(words, k=30)
+    texts = {k: " ".join(passage + r.choices(words, k=60)) for k in range(40)}
+    texts |= {40: texts[3] + " one", 41: texts[3] + " two", 42: texts[3]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {x["doc_id"] for x in similar.one_of_each(df).collect()} == brute(texts) == set(range(40))
+    assert sum(n for columns, n in made if {"p", "centre"} <= columns) > 40
+    assert 3 <= sum(n for columns, n in made if columns == {"key", "text"}) <= 6
+    left = [set(spark.read.parquet(str(f)).columns) for f in tmp_path.iterdir()]
+    assert left and not any({"text", "prefix", "bits", "tally"} & columns for columns in left)
