@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import similar
-from lectern.llm.common import settle, table
+from lectern.llm.common import forget, settle, table
 
 #: Folds, and the one that is held out.
 FOLDS, HELD_OUT = 5, 0
@@ -64,14 +64,33 @@ BORDERS = (0.4, -1.0, -2.0)
 WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.escape("".join(MEANT))
 #: Letters apart, a word with odd characters inside, or one with a letter three times in a row.
-DISGUISED = re.compile(
+_PLACE = (
     rf"(?<![^\W\d_])[^\W\d_](?:[{re.escape(BETWEEN)}][\w{_SIGNS}](?![^\W\d_])){{3,}}"
-    rf"|[{_SIGNS}]*[^\W\d_]+[{_SIGNS}*._\-~][\w{_SIGNS}*._\-~]*[\w{_SIGNS}]"
-    rf"|[{_SIGNS}]+[^\W\d_][\w{_SIGNS}*._\-~]*"
-    r"|\w*([^\W\d_])\1\1\w*"
+    rf"|[{_SIGNS}]*+[^\W\d_]++[{_SIGNS}*._\-~][\w{_SIGNS}*._\-~]*[\w{_SIGNS}]"
+    rf"|[{_SIGNS}]++[^\W\d_][\w{_SIGNS}*._\-~]*"
+    r"|\w*(?P<thrice>[^\W\d_])(?P=thrice){2}\w*"
 )
-#: A text without any of these has single readings only; this is checked first, and fast.
-ODD = re.compile(rf"[{_SIGNS}*_~\-]|\w\.\w|([^\W\d_])\1\1|(?<!\w)\w[ .]\w[ .]\w[ .]\w(?!\w)")
+#: No place begins between two letters, as it would begin at the first of them then; so a word is read once, not from each of its letters.
+_BORDER = r"(?:(?<![^\W\d_])|(?![^\W\d_]))"
+DISGUISED = re.compile(f"{_BORDER}(?P<place>{_PLACE})")
+#: For texts without a letter three times: plain words in a row are one match without a place, as no place begins in them.
+DISGUISED_ONLY = re.compile(rf"{_BORDER}(?:(?:[^\W\d_]{{2,}}+(?:[^\w{_SIGNS}*._\-~]|\.[ \n]))++|(?P<place>{_PLACE}))")
+#: A text without any of these has single readings only: a sign, a point between letters, a letter three times, letters apart.
+#: Those that begin with a fixed set are searched first, and fast; the last two only where they may be.
+ODD_SIGN, ODD_POINT, TREBLED = re.compile(rf"[{_SIGNS}*_~\-]"), re.compile(r"\.(?<=\w\.)\w"), re.compile(r"([^\W\d_])\1\1")
+MAY_BE_APART, APART = re.compile(r"[ .]\w[ .]\w[ .]"), re.compile(r"(?<!\w)\w[ .]\w[ .]\w[ .]\w(?!\w)")
+
+
+def trebled(text: str) -> bool:
+    """Whether a text has a letter three times in a row."""
+    units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = units[1:] == units[:-1]
+    return bool((same[1:] & same[:-1]).any()) and TREBLED.search(text) is not None
+
+
+def odd(text: str) -> bool:
+    """Whether a text may have more than one reading."""
+    return bool(ODD_SIGN.search(text) or ODD_POINT.search(text) or MAY_BE_APART.search(text) and APART.search(text)) or trebled(text)
 
 
 class Model(NamedTuple):
@@ -93,16 +112,18 @@ def features(words: list[str]) -> set[str]:
 
 def finder(wanted: Set[str]) -> Callable[[str], set[str]]:
     """A function: those of a text's features that are ``wanted``, without making the others."""
-    firsts = {f.split(" ", 1)[0] for f in wanted if " " in f}
+    pairs = {f for f in wanted if " " in f}
+    full, begins = {f[1:] for f in wanted if f[0] == "="}, {f for f in wanted if f[0] != "=" and " " not in f}
+    firsts, short = {f.split(" ", 1)[0] for f in pairs}, {f[: BEGINNINGS[0]] for f in begins}
 
     def find(text: str) -> set[str]:
         words = WORD.findall(text.lower())
         whole = set(words)
-        out = {"=" + w for w in whole}
-        out.update(w[:n] for w in whole for n in BEGINNINGS if len(w) >= n)
-        if firsts & whole:
-            out.update(f"{a} {b}" for a, b in zip(words, words[1:]) if a in firsts)
-        return out & wanted
+        out = {"=" + w for w in whole & full}
+        out |= {w[:n] for w in whole if w[: BEGINNINGS[0]] in short for n in BEGINNINGS if len(w) >= n} & begins
+        if not firsts.isdisjoint(whole):
+            out |= {f"{a} {b}" for a, b in zip(words, words[1:]) if a in firsts} & pairs
+        return out
 
     return find
 
@@ -174,11 +195,13 @@ def restored(text: str, model: CharacterModel, kept: dict[str, list[str]]) -> tu
     These are of the text as written and of other readings. Disguised places are kept with their readings.
     """
     text = text.lower()
-    if not ODD.search(text):
+    if not odd(text):
         return WORD.findall(text), set(), set()
     pieces, others, at = [], [text], 0
-    for m in DISGUISED.finditer(text):
-        written = m.group()
+    for m in (DISGUISED if trebled(text) else DISGUISED_ONLY).finditer(text):
+        written = m["place"]
+        if not written:
+            continue
         found = kept.get(written)
         if found is None:
             # a stretched word may be longer than any limit: runs beyond three carry nothing more
@@ -255,7 +278,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     """``toxic``, ``text`` and ``weight`` of all labelled texts; those of one text share its weight, and near copies share one."""
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("label_id")).agg((F.max("toxic") > 0).alias("toxic"))
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(narrow(settle(known)), F.col("id") == F.col("label_id")).select(F.xxhash64("text", "toxic").alias("key"), "toxic", "text")
+    known = settle(known)
+    rows = rows.join(narrow(known), F.col("id") == F.col("label_id")).select(F.xxhash64("text", "toxic").alias("key"), "toxic", "text")
     rows = settle(rows)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +291,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     each = marks.select("h", "t", "many", F.posexplode("slots").alias("slot", "least"))
     alike = each.withColumn("n", F.count("*").over(Window.partitionBy("slot", "least", "t")))
     weights = alike.groupBy("h").agg((1 / F.sort_array(F.collect_list("n"))[SLOTS // 2] / F.first("many")).alias("weight"))
-    return settle(rows.join(narrow(settle(weights)), F.col("key") == F.col("h")).select("toxic", "text", "weight"))
+    weights = settle(weights)
+    out = settle(rows.join(narrow(weights), F.col("key") == F.col("h")).select("toxic", "text", "weight"))
+    forget(known, rows, weights)
+    return out
 
 
 def counted(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
@@ -352,6 +379,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grams = padded.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 2), lambda i: F.col("w").substr(i, F.lit(3)))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     trigrams: dict[str, float] = {r["gram"]: float(r["n"]) for r in grams.collect()}
     if not (total.get(True) and total.get(False)):
+        forget(texts)
         return Model({}, math.log(MISS / (1 - MISS)), trigrams)
 
     rate = total[True] / (total[True] + total[False])
@@ -371,6 +399,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # texts of the same label and features are one row of the fit
     sparse = texts.select("toxic", "weight", "text").mapInArrow(placed, "toxic boolean, weight double, found array<int>")
     got = sparse.groupBy("toxic", "found").agg(F.sum("weight").alias("weight")).toArrow()
+    forget(texts, in_toxic)
     got = sorted(zip(*(got[c].to_pylist() for c in ("toxic", "found", "weight")), strict=True))
     b, bias = fit([g[1] for g in got], np.array([float(g[0]) for g in got]), np.array([g[2] for g in got]), len(names))
     weights = {f: float(x) for f, x in zip(names, b, strict=True) if x > 1e-6}

@@ -2,6 +2,8 @@
 
 import collections
 import random
+import re
+import time
 import zlib
 
 from lectern.llm import toxicity
@@ -58,3 +60,28 @@ def test_learns_from_all_labelled_texts(spark, monkeypatch):
     texts = toxicity.training_texts(docs, known, "doc_id", "text")
     assert texts.count() == len(kept) and abs(sum(x["weight"] for x in texts.where(texts.text == rows[3][1]).collect()) - 1) < 1e-9
     assert "=skrunk" in toxicity.train(docs, known).weights
+
+
+def test_places_are_found_in_one_reading():
+    """The places are those of the plain expressions, tried at each character, and a long word is not read from each of its letters."""
+    signs = re.escape("".join(toxicity.MEANT))
+    plain = re.compile(
+        rf"(?<![^\W\d_])[^\W\d_](?:[{re.escape(toxicity.BETWEEN)}][\w{signs}](?![^\W\d_])){{3,}}"
+        rf"|[{signs}]*[^\W\d_]+[{signs}*._\-~][\w{signs}*._\-~]*[\w{signs}]"
+        rf"|[{signs}]+[^\W\d_][\w{signs}*._\-~]*"
+        r"|\w*([^\W\d_])\1\1\w*"
+    )
+    plain_odd = re.compile(rf"[{signs}*_~\-]|\w\.\w|([^\W\d_])\1\1|(?<!\w)\w[ .]\w[ .]\w[ .]\w(?!\w)")
+    r = random.Random(4)
+    for _ in range(20000):
+        text = "".join(r.choices(r.choice(("abcaab aé", "ab1_.-*~ !@$0é", "aa..  __11!!", "a b.c-d_1", "ab \n\t,.;ñß9_²٣𝒜")), k=r.choice((3, 8, 20, 60)))).lower()
+        found = (toxicity.DISGUISED if toxicity.trebled(text) else toxicity.DISGUISED_ONLY).finditer(text)
+        assert [m.span() for m in found if m["place"]] == [m.span() for m in plain.finditer(text)], text
+        assert toxicity.odd(text) == bool(plain_odd.search(text)), text
+    wanted = {"=stone", "ston", "stones", "river side"}
+    for text in ("stones by the river side", "stone river river side sto", "Stoned riverside", ""):
+        assert toxicity.finder(wanted)(text) == toxicity.features(toxicity.WORD.findall(text.lower())) & wanted
+    began = time.process_time()
+    model = toxicity.CharacterModel({"^^i": 1.0, "^id": 1.0})
+    assert "ab" * 30000 in toxicity.restored_words("ab" * 30000 + " 1d10t", model, {})
+    assert time.process_time() - began < 2
