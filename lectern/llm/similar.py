@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,15 +58,20 @@ BROADCAST_ROWS = 100_000
 SENT_MARKS = 5_000_000
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The hashes of a text's distinct shingles, sorted."""
+def hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included, in order."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    starts = list(accumulate([len(w) + 1 for w in tokens], initial=0))
-    ends = starts[words:] or starts[-1:]
-    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64))
+    joined = b" ".join(tokens)
+    starts = list(accumulate((len(w) + 1 for w in tokens), initial=0))
+    ends = [end - 1 for end in starts[words:] or starts[-1:]]
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts, ends)), repeat(SEED)), np.uint64, len(ends))
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of a text's distinct shingles, sorted."""
+    return np.unique(hashes(text, words))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:

@@ -22,10 +22,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator, Set
+from collections.abc import Callable, Iterable, Iterator, Set
+from functools import lru_cache
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,8 +48,8 @@ CHANCE = 0.05
 SLOTS = 8
 #: Score of a text of which nothing is known, the penalty of weights, and steps of the fit.
 MISS, PENALTY, STEPS = 0.02, 0.05, 1000
-#: Restored places that a task remembers, and the longest of them in characters.
-KEPT, KEPT_CHARS = 20_000, 200
+#: Stretches with restored places that a task remembers, and the longest of them in characters.
+KEPT, KEPT_CHARS = 30_000, 200
 
 # What each sign or digit may stand for in disguised words.
 MEANT = {
@@ -76,21 +79,81 @@ DISGUISED = re.compile(f"{_BORDER}(?P<place>{_PLACE})")
 #: For texts without a letter three times: plain words in a row are one match without a place, as no place begins in them.
 DISGUISED_ONLY = re.compile(rf"{_BORDER}(?:(?:[^\W\d_]{{2,}}+(?:[^\w{_SIGNS}*._\-~]|\.[ \n]))++|(?P<place>{_PLACE}))")
 #: A text without any of these has single readings only: a sign, a point between letters, a letter three times, letters apart.
-#: Those that begin with a fixed set are searched first, and fast; the last two only where they may be.
-ODD_SIGN, ODD_POINT, TREBLED = re.compile(rf"[{_SIGNS}*_~\-]"), re.compile(r"\.(?<=\w\.)\w"), re.compile(r"([^\W\d_])\1\1")
-MAY_BE_APART, APART = re.compile(r"[ .]\w[ .]\w[ .]"), re.compile(r"(?<!\w)\w[ .]\w[ .]\w[ .]\w(?!\w)")
+#: Letters apart with a point are found by the points, so only blanks are left to search.
+ODD_ASCII, ODD_OTHER = b"*_~-" + "".join(c for c in MEANT if c.isascii()).encode(), [c for c in MEANT if not c.isascii()]
+ODD_POINT, TREBLED = re.compile(r"\.(?<=\w\.)\w"), re.compile(r"([^\W\d_])\1\1")
+LONG_RUN = re.compile(r"(.)\1{3,}")
+MAY_BE_APART, APART = re.compile(r" \w \w "), re.compile(r"(?<!\w)\w \w \w \w(?!\w)")
+#: Letters apart, as in a place, and what those with a blank among them hold, which begins with a fixed sign and is searched fast.
+_ONE, _NEXT = rf"[\w{_SIGNS}]", rf"[{re.escape(BETWEEN)}][\w{_SIGNS}]"
+SPACED = re.compile(rf"(?<![^\W\d_])[^\W\d_](?:{_NEXT}(?![^\W\d_])){{3,}}")
+MAY_BE_SPACED = re.compile(rf" (?:(?<={_ONE}[ ]){_ONE}{_NEXT}{_NEXT}|(?<={_ONE}{_NEXT}[ ]){_ONE}{_NEXT}|(?<={_ONE}{_NEXT}{_NEXT}[ ]){_ONE})(?![^\W\d_])")
+
+# What replaces the ASCII characters that are no letters, and those that no place holds but as a blank.
+_ASCII = bytes(range(128))
+_LETTERS = bytes(k if k > 127 or chr(k).isalpha() else 32 for k in range(256))
+_PLACES = bytes(k if k > 127 or chr(k).isalnum() or k in ODD_ASCII + b"." else 32 for k in range(256))
+
+
+def blanked(text: str, table: bytes, keeps: Callable[[str], bool]) -> str:
+    """``text`` with a blank for each character that ``table`` (ASCII) or ``keeps`` (others) doesn't keep."""
+    units = text.encode("utf-8", "surrogatepass")
+    if not text.isascii():
+        others = units.translate(None, _ASCII).decode("utf-8", "surrogatepass")
+        if not others.isalpha():  # letters are always kept
+            gone = [c for c in set(others) if not keeps(c)]
+            if gone:
+                units = text.translate(dict.fromkeys(map(ord, gone), " ")).encode("utf-8", "surrogatepass")
+    return units.translate(table).decode("utf-8", "surrogatepass")
+
+
+def words_of(text: str) -> list[str]:
+    """``WORD.findall(text)``, faster."""
+    return blanked(text, _LETTERS, lambda c: c.isalnum() and not c.isdecimal()).split()
+
+
+def stretches(text: str) -> list[str]:
+    """The parts of a text between characters that no place holds; letters apart by blanks stay together. Each place is in one part."""
+    spaced = blanked(text, _PLACES, lambda c: c.isalnum() or c in MEANT)
+    apart = [m.span() for m in SPACED.finditer(text) if " " in m[0]] if MAY_BE_SPACED.search(text) else []
+    if not apart:
+        return spaced.split()
+    pieces, at = [], 0
+    for start, end in apart:
+        pieces += [spaced[at:start], spaced[start:end].replace(" ", "\0")]
+        at = end
+    return [part.replace("\0", " ") for part in "".join([*pieces, spaced[at:]]).split()]
+
+
+def thrice(text: str) -> np.ndarray:
+    """The places from which a character comes three times in a row."""
+    units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = units[1:] == units[:-1]
+    return np.flatnonzero(same[1:] & same[:-1])
 
 
 def trebled(text: str) -> bool:
     """Whether a text has a letter three times in a row."""
-    units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    same = units[1:] == units[:-1]
-    return bool((same[1:] & same[:-1]).any()) and TREBLED.search(text) is not None
+    return any(map(WORD.match, {text[k] for k in thrice(text).tolist()}))
+
+
+def stretched(words: Iterable[str]) -> set[str]:
+    """Those of ``words``, which are of letters, that have one three times in a row."""
+    joined, out, end = " ".join(words), set(), -1
+    for at in thrice(joined).tolist():
+        if at > end:
+            start, end = joined.rfind(" ", 0, at) + 1, joined.find(" ", at)
+            end = len(joined) if end < 0 else end
+            out.add(joined[start:end])
+    return out
 
 
 def odd(text: str) -> bool:
     """Whether a text may have more than one reading."""
-    return bool(ODD_SIGN.search(text) or ODD_POINT.search(text) or MAY_BE_APART.search(text) and APART.search(text)) or trebled(text)
+    units = text.encode("utf-8", "surrogatepass")
+    if len(units.translate(None, ODD_ASCII)) < len(units) or any(c in text for c in ODD_OTHER) or ODD_POINT.search(text):
+        return True
+    return bool(MAY_BE_APART.search(text) and APART.search(text)) or trebled(text)
 
 
 class Model(NamedTuple):
@@ -112,17 +175,24 @@ def features(words: list[str]) -> set[str]:
 
 def finder(wanted: Set[str]) -> Callable[[str], set[str]]:
     """A function: those of a text's features that are ``wanted``, without making the others."""
-    pairs = {f for f in wanted if " " in f}
-    full, begins = {f[1:] for f in wanted if f[0] == "="}, {f for f in wanted if f[0] != "=" and " " not in f}
-    firsts, short = {f.split(" ", 1)[0] for f in pairs}, {f[: BEGINNINGS[0]] for f in begins}
+    seconds: dict[str, dict[str, str]] = defaultdict(dict)
+    for f in wanted:
+        if " " in f:
+            first, second = f.split(" ", 1)
+            seconds[first][second] = f
+    seconds, full = dict(seconds), {f[1:]: f for f in wanted if f[0] == "="}
+    begins = {n: {f for f in wanted if len(f) == n and f[0] != "=" and " " not in f} for n in BEGINNINGS}
+    short = {f[: BEGINNINGS[0]] for of in begins.values() for f in of}
 
     def find(text: str) -> set[str]:
-        words = WORD.findall(text.lower())
+        words = words_of(text.lower())
         whole = set(words)
-        out = {"=" + w for w in whole & full}
-        out |= {w[:n] for w in whole if w[: BEGINNINGS[0]] in short for n in BEGINNINGS if len(w) >= n} & begins
-        if not firsts.isdisjoint(whole):
-            out |= {f"{a} {b}" for a, b in zip(words, words[1:]) if a in firsts} & pairs
+        out = {full[w] for w in whole if w in full}
+        longer = [w for w in whole if w[: BEGINNINGS[0]] in short]
+        for n, of in begins.items():
+            out |= of.intersection([w[:n] for w in longer])
+        if not seconds.keys().isdisjoint(whole):
+            out.update([seconds[a][b] for a, b in zip(words, words[1:]) if a in seconds and b in seconds[a]])
         return out
 
     return find
@@ -146,13 +216,14 @@ class CharacterModel:
         return found if found is not None else self.unseen.get(before, self.other)
 
 
-def readings(c: str, place: int, border: float | None = None) -> list[tuple[str, float]]:
+@lru_cache(4096)
+def readings(c: str, inside: bool, border: float | None = None) -> tuple[tuple[str, float], ...]:
     """What one written character may mean, with costs: letters, nothing, or (a blank) the border of two words."""
     if c in MEANT:
-        return [(m, REPLACED) for m in MEANT[c]] + ([(c, KEPT_ODD)] if c.isdigit() else [("", DROPPED + REPLACED)])
+        return (*((m, REPLACED) for m in MEANT[c]), (c, KEPT_ODD) if c.isdigit() else ("", DROPPED + REPLACED))
     if c in BETWEEN:
-        return [("", DROPPED if place else KEPT_ODD)] + ([(" ", border)] if place and border is not None else [])
-    return [(c, 0.0)]
+        return (("", DROPPED if inside else KEPT_ODD), *([(" ", border)] if inside and border is not None else []))
+    return ((c, 0.0),)
 
 
 def restore(written: str, model: CharacterModel, border: float | None = None) -> str:
@@ -162,26 +233,28 @@ def restore(written: str, model: CharacterModel, border: float | None = None) ->
     """
     # a state's path is a linked list of its letters, so long runs take no more than their length
     best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    last = ""
+    last, cost_of, step = "", model.cost.get, model.step
     for place, c in enumerate(written):
         new: dict[str, tuple[float, tuple | None]] = {}
-        options = readings(c, place, border)
+        options = readings(c, place > 0, border)
         if c == last and c not in BETWEEN:
-            options = [*options, ("", DROPPED)]
+            options = (*options, ("", DROPPED))
         for state, (cost, path) in best.items():
             for letter, extra in options:
                 if letter == " ":
                     if state == "^^":
                         continue
-                    to, total = "^^", cost + extra + model.step(state, "$")
+                    to, total = "^^", cost + extra + step(state, "$")
+                elif letter:
+                    found = cost_of(state + letter)
+                    to, total = state[1] + letter, cost + extra + (found if found is not None else step(state, letter))
                 else:
-                    to = state[1] + letter if letter else state
-                    total = cost + extra + (model.step(state, letter) if letter else 0.0)
+                    to, total = state, cost + extra
                 if to not in new or total < new[to][0]:
                     new[to] = (total, (letter, path) if letter else path)
         best = new
         last = c
-    path = min(((cost + model.step(state, "$"), state, path) for state, (cost, path) in best.items()), key=lambda x: x[:2])[2]
+    path = min(((cost + step(state, "$"), state, path) for state, (cost, path) in best.items()), key=itemgetter(0, 1))[2]
     letters = []
     while path is not None:
         letters.append(path[0])
@@ -189,51 +262,87 @@ def restore(written: str, model: CharacterModel, border: float | None = None) ->
     return "".join(reversed(letters))
 
 
-def restored(text: str, model: CharacterModel, kept: dict[str, list[str]]) -> tuple[list[str], set[str], set[str]]:
-    """The words of a text with disguised places restored, further words that are in it, and further pairs of neighbours.
+class Reading(NamedTuple):
+    """A text with its disguised places restored: all words that it may hold, and pairs of neighbours in further readings of its places."""
 
-    These are of the text as written and of other readings. Disguised places are kept with their readings.
-    """
-    text = text.lower()
-    if not odd(text):
-        return WORD.findall(text), set(), set()
-    pieces, others, at = [], [text], 0
-    for m in (DISGUISED if trebled(text) else DISGUISED_ONLY).finditer(text):
+    found: Set[str]
+    pairs: Set[str]
+    text: str
+    parts: list[str]
+    first: dict[str, list[str]]
+
+    def words(self) -> list[str]:
+        """The words of the restored text, in order."""
+        return [w for part in self.parts for w in (self.first[part] if part in self.first else (part,))] if self.first else self.parts
+
+    def near(self, firsts: Set[str]) -> set[str]:
+        """Pairs of neighbours, restored, as written and in further readings; of those in the text, the ones that begin with one of ``firsts``."""
+        told = [self.words()] + [words_of(self.text)] * bool(self.first)
+        return {f"{a} {b}" for words in told for a, b in zip(words, words[1:]) if a in firsts} | self.pairs
+
+
+def read(part: str, model: CharacterModel) -> tuple[list[str], frozenset[str], frozenset[str]]:
+    """Of a stretch of text: its words with places restored, all words that it may hold, and pairs of neighbours of further readings."""
+    pieces, others, at = [], [], 0
+    for m in (DISGUISED if TREBLED.search(part) else DISGUISED_ONLY).finditer(part):
         written = m["place"]
         if not written:
             continue
-        found = kept.get(written)
-        if found is None:
-            # a stretched word may be longer than any limit: runs beyond three carry nothing more
-            short = re.sub(r"(.)\1{3,}", r"\1\1\1", written)
-            apart = sum(c in BETWEEN for c in short)
-            # a single sign between plain letters has its parts among the words of the text already
-            borders = BORDERS if apart > 1 or apart and any(c in MEANT for c in short) else ()
-            found = list(dict.fromkeys(restore(short, model, b) for b in (None, *borders)))
-            if len(written) <= KEPT_CHARS:
-                if len(kept) >= KEPT:
-                    kept.clear()
-                kept[written] = found
-        pieces += [text[at : m.start()], found[0]]
-        others += found[1:]
+        # a stretched word may be longer than any limit: runs beyond three carry nothing more
+        short = LONG_RUN.sub(r"\1\1\1", written)
+        apart = sum(map(short.count, BETWEEN))
+        # a single sign between plain letters has its parts among the words of the text already
+        borders = BORDERS if apart > 1 or apart and not MEANT.keys().isdisjoint(short) else ()
+        found = list(dict.fromkeys(restore(short, model, b) for b in (None, *borders)))
+        pieces += [part[at : m.start()], found[0]]
+        others += map(WORD.findall, found[1:])
         at = m.end()
-    more: set[str] = set()
+    first = WORD.findall("".join([*pieces, part[at:]]))
+    pairs = frozenset(" ".join(p) for words in others for p in zip(words, words[1:]))
+    return first, frozenset(first).union(WORD.findall(part), *others), pairs
+
+
+def restored(text: str, model: CharacterModel, kept: dict[str, tuple]) -> Reading:
+    """The words that a text may hold. Stretches with disguised places are kept with their readings."""
+    text = text.lower()
+    if not odd(text):
+        words = words_of(text)
+        return Reading(set(words), frozenset(), text, words, {})
+    parts = stretches(text)
+    found = set(parts)
+    # plain words, also with points around them, have no place but that of a letter three times in a row
+    bare = {part: part.strip(".") for part in found if not part.isalpha()}
+    found.difference_update(bare)
+    plain = set(filter(str.isalpha, bare.values()))
+    long = stretched(found | plain) if trebled(text) else frozenset()
+    first: dict[str, list[str]] = {}
     pairs: set[str] = set()
-    for other in others:
-        words = WORD.findall(other)
-        more.update(words)
-        pairs.update(map(" ".join, zip(words, words[1:])))
-    return WORD.findall("".join([*pieces, text[at:]])), more, pairs
+    for part in [*(found & long), *bare]:
+        word = bare.get(part, part)
+        if word in plain and word not in long:
+            first[part] = [word]
+            found.add(word)
+            continue
+        readings_of = kept.get(part)
+        if readings_of is None:
+            readings_of = read(part, model)
+            if len(part) <= KEPT_CHARS:
+                if len(kept) >= KEPT:
+                    kept.clear()
+                kept[part] = readings_of
+        first[part], more, further = readings_of
+        found |= more
+        pairs |= further
+    return Reading(found, pairs, text, parts, first)
 
 
-def restored_words(text: str, model: CharacterModel, kept: dict[str, list[str]]) -> set[str]:
-    """The distinct words of the restored text."""
-    words, more, _ = restored(text, model, kept)
-    return more.union(words)
+def restored_words(text: str, model: CharacterModel, kept: dict[str, tuple]) -> set[str]:
+    """The distinct words of the restored text, of the text as written and of other readings."""
+    return set(restored(text, model, kept).found)
 
 
 class Scorer:
-    """Scores of texts under a model; restored places are remembered for a while."""
+    """Scores of texts under a model; what was restored is remembered for a while."""
 
     def __init__(self, model: Model):
         self.letters, self.kept, self.bias = CharacterModel(model.trigrams), {}, model.bias
@@ -245,13 +354,13 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if not text:
             return 1 / (1 + math.exp(-self.bias))
-        words, more, pairs = restored(text, self.letters, self.kept)
-        all_words = more.union(words)
+        reading = restored(text, self.letters, self.kept)
+        all_words = reading.found
         total = sum(map(self.whole.__getitem__, all_words & self.whole.keys()))
         if self.short:
             total += sum(map(self.begins.__getitem__, {w[:n] for w in all_words if w[:4] in self.short for n in BEGINNINGS if len(w) >= n} & self.begins.keys()))
-        if self.firsts:
-            near = {f"{a} {b}" for a, b in zip(words, words[1:]) if a in self.firsts} | pairs
+        if not self.firsts.isdisjoint(all_words):
+            near = reading.near(self.firsts)
             total += sum(map(self.pairs.__getitem__, near & self.pairs.keys()))
         return 1 / (1 + math.exp(-min(700.0, max(-700.0, total + self.bias))))
 
@@ -262,7 +371,7 @@ def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
 
 def slots(text: str) -> np.ndarray:
     """The least shingle hashes of a whole text under ``SLOTS`` hash functions; near copies share most of them."""
-    found = similar.shingles(text)
+    found = similar.hashes(text)
     if not len(found):
         return np.zeros(SLOTS, np.int64)
     odd = np.uint64(0x9E3779B97F4A7C15) * (2 * np.arange(SLOTS, dtype=np.uint64) + np.uint64(1))
@@ -303,7 +412,7 @@ def counted(texts: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, float] = defaultdict(float)
 
-        find = (lambda text: features(WORD.findall(text.lower()))) if wanted is None else finder(wanted)
+        find = (lambda text: features(words_of(text.lower()))) if wanted is None else finder(wanted)
 
         def told() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], names=["feature", "weight"])
@@ -369,7 +478,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         seen: set[str] = set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(WORD.findall(text.lower()))
+                seen.update(words_of(text.lower()))
                 if len(seen) >= HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
                     seen.clear()
@@ -416,9 +525,10 @@ def scorer(spark: SparkSession, trained: Model) -> callable:
     sent = spark.sparkContext.broadcast(tuple(trained))
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         of = Scorer(Model(*sent.value))
-        return texts.map(lambda t: of.score(t if isinstance(t, str) else None)).astype("float64")
+        for texts in batches:
+            yield texts.map(lambda t: of.score(t if isinstance(t, str) else None)).astype("float64")
 
     return score
 

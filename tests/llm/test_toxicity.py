@@ -85,3 +85,38 @@ def test_places_are_found_in_one_reading():
     model = toxicity.CharacterModel({"^^i": 1.0, "^id": 1.0})
     assert "ab" * 30000 in toxicity.restored_words("ab" * 30000 + " 1d10t", model, {})
     assert time.process_time() - began < 2
+
+
+def test_a_stretch_is_read_once(monkeypatch):
+    """A disguised stretch is read once, plain words are not read, and a full memory changes nothing of what is found."""
+    text = "stones by the river side, $tones by the r.i.v.e.r "
+    plain, parts = toxicity.read, []
+    monkeypatch.setattr(toxicity, "read", lambda *x: parts.append(x[0]) or plain(*x))
+    model, kept = toxicity.CharacterModel({"^^s": 1.0, "^st": 1.0}), {}
+    once = toxicity.restored_words(text, model, kept)
+    assert sorted(parts) == ["$tones", "r.i.v.e.r"]
+    assert toxicity.restored_words(text * 20, model, kept) == once and len(parts) == 2
+    monkeypatch.setattr(toxicity, "KEPT", 1)
+    assert toxicity.restored_words(text * 3, model, {}) == once
+    for wanted in ({"=stone", "ston", "stones", "river side", "the river"}, {"the r", "=side"}, {"by the"}, set()):
+        assert toxicity.finder(wanted)(text) == toxicity.features(toxicity.WORD.findall(text)) & wanted
+
+
+
+def test_stretches_hold_each_place():
+    """Words are those of the expression, and a text restored by stretches, also remembered ones, has the words of one restored as a whole."""
+    words = "idiot stupid moron loser and the of a".split()
+    model = toxicity.CharacterModel({g: 9.0 for w in words for p in [f"^^{w}$"] for g in (p[k : k + 3] for k in range(len(p) - 2))})
+    r, kept = random.Random(5), {}
+    kinds = ("abcaab aé", "ab1_.-*~ !@$0é", "aa..  __11!!", "a b.c-d_1", "ab \n\t,.;ñß9_²٣𝒜", "a b c d.e ,f\x00\x85 ", "İiß½Ⅷ€¡“”—a b", " a. b$", "aaa b.c. $a.")
+    for _ in range(5000):
+        text = "".join(r.choices(r.choice(kinds), k=r.choice((3, 8, 20, 60)))).lower()
+        assert toxicity.words_of(text) == toxicity.WORD.findall(text), text
+        found = toxicity.restored(text, model, kept)
+        if not toxicity.odd(text):
+            assert found.words() == toxicity.words_of(text) and found.found == set(found.words())
+            continue
+        first, every, pairs = toxicity.read(text, model)
+        written = toxicity.WORD.findall(text)
+        near = {" ".join(p) for of in (first, written) for p in zip(of, of[1:])} | pairs
+        assert found.words() == first and found.found == every and found.near(every) == near, text
